@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The workload this library reproduces is a static, batch dataset: it has no
+watermarks, event-time windows, state or late-data handling. Every operator in
+``ledgerlens.operators`` is a batch DataFrame transform; nothing is provided here
+on purpose rather than inventing streaming features the workload does not use.
+"""
