@@ -90,7 +90,8 @@ def max_per_key(df: DataFrame, key: str, col: str, alias: str | None = None) ->
 def person_bridge(orders: DataFrame, customers: DataFrame, person: str = "customer_unique_id") -> DataFrame:
     """One order -> person bridge (order_id, customer_id, person), built once and reused."""
     c = customers.select("customer_id", person)
-    return orders.select("order_id", "customer_id").join(c, "customer_id", "left")
+    return (orders.select("order_id", "customer_id").join(c, "customer_id", "left")
+            .where(F.col(person).isNotNull()))
 
 
 def rfm(orders: DataFrame, customers: DataFrame, payments: DataFrame,
@@ -105,6 +106,7 @@ def rfm(orders: DataFrame, customers: DataFrame, payments: DataFrame,
     pay = payments.groupBy("order_id").agg(F.sum("payment_value").alias("payment_value"))
     base = (o.select("order_id", "customer_id", ts)
             .join(customers.select("customer_id", person), "customer_id", "left")
+            .where(F.col(person).isNotNull())
             .join(pay, "order_id", "left"))
     ref = base.agg(F.max(ts).alias("m")).first()["m"]  # one-row global scalar (A21)
     if ref is None:

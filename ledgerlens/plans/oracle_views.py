@@ -121,3 +121,45 @@ def with_views(body: str, mart: bool = False, extra: str = "") -> str:
     if extra:
         ctes += ",\n" + extra.strip()
     return "WITH " + ctes + "\n" + body.strip()
+
+# Customer features (A7 M14 M13), person = customer_unique_id.
+CUSTOMER = r"""
+c_bridge AS (SELECT o.order_id, c.customer_unique_id AS person
+             FROM c_orders o LEFT JOIN c_customers c ON o.customer_id = c.customer_id
+             WHERE c.customer_unique_id IS NOT NULL),
+c_pay_order AS (SELECT order_id, sum(payment_value) AS payment_value FROM c_payments GROUP BY order_id),
+c_rfm_base AS (SELECT o.order_id, o.order_purchase_timestamp AS ts, b.person, p.payment_value
+               FROM c_orders o JOIN c_bridge b ON o.order_id = b.order_id
+               LEFT JOIN c_pay_order p ON o.order_id = p.order_id
+               WHERE o.order_status = 'delivered'),
+c_ref AS (SELECT max(ts) + INTERVAL 1 DAY AS ref FROM c_rfm_base),
+c_rfm AS (SELECT person AS customer_unique_id,
+                 CAST(floor(date_diff('microsecond', max(ts), (SELECT ref FROM c_ref)) / 86400000000.0) AS INTEGER) AS recency_days,
+                 count(DISTINCT order_id) AS frequency, coalesce(sum(payment_value), 0) AS monetary,
+                 count(DISTINCT order_id) > 1 AS is_repeat_customer
+          FROM c_rfm_base GROUP BY person HAVING count(payment_value) > 0),
+c_item_person AS (SELECT b.person, coalesce(p.product_category_name, 'unknown') AS cat,
+                         i.freight_value / nullif(i.price, 0) AS fr
+                  FROM c_items i LEFT JOIN c_products p ON i.product_id = p.product_id
+                  JOIN c_bridge b ON i.order_id = b.order_id),
+c_item_feats AS (SELECT person, count(DISTINCT cat) AS category_diversity, avg(fr) AS avg_freight_ratio
+                 FROM c_item_person GROUP BY person),
+c_pay_counts AS (SELECT b.person, p.payment_type, count(*) AS n FROM c_payments p JOIN c_bridge b ON p.order_id = b.order_id
+                 WHERE p.payment_type IS NOT NULL GROUP BY b.person, p.payment_type),
+c_pref AS (SELECT person, payment_type AS preferred_payment_type FROM (
+             SELECT *, row_number() OVER (PARTITION BY person ORDER BY n DESC, payment_type ASC) AS rn FROM c_pay_counts) WHERE rn = 1),
+c_pay_feats AS (SELECT b.person, avg(p.payment_installments) AS avg_installments
+                FROM c_payments p JOIN c_bridge b ON p.order_id = b.order_id GROUP BY b.person),
+c_rev AS (SELECT b.person, avg(r.review_score) AS avg_review_score
+          FROM c_reviews r JOIN c_bridge b ON r.order_id = b.order_id GROUP BY b.person),
+c_cust AS (SELECT r.customer_unique_id, r.recency_days, r.frequency, r.monetary, r.is_repeat_customer,
+                  i.category_diversity, i.avg_freight_ratio, pf.avg_installments, rv.avg_review_score,
+                  pr.preferred_payment_type
+           FROM c_rfm r LEFT JOIN c_item_feats i ON r.customer_unique_id = i.person
+           LEFT JOIN c_pay_feats pf ON r.customer_unique_id = pf.person
+           LEFT JOIN c_rev rv ON r.customer_unique_id = rv.person
+           LEFT JOIN c_pref pr ON r.customer_unique_id = pr.person),
+c_ready AS (SELECT * REPLACE (CASE WHEN preferred_payment_type = 'not_defined' THEN 'boleto' ELSE preferred_payment_type END AS preferred_payment_type),
+                   ln(1 + monetary) AS monetary_log, ln(1 + avg_freight_ratio) AS avg_freight_ratio_log
+            FROM c_cust WHERE avg_review_score IS NOT NULL)
+"""
