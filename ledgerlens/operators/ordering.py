@@ -121,10 +121,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     targets = targets.select(*by, "p", "_h", F.floor("_h").cast("long").alias("_lo"),
                              F.ceil("_h").cast("long").alias("_hi"))
     tl = targets.select(*by, "p", "_h", "_lo", F.explode(F.array("_lo", "_hi")).alias("_pos")).distinct()
-    cond = [tl[b] == vp[b] for b in by] + [(vp["before"] <= tl["_pos"]), (vp["before"] + vp["cnt"] > tl["_pos"])]
+    vpr = vp.select(*[F.col(b).alias(f"_v_{b}") for b in by], F.col("value").alias("_val"),
+                    F.col("before").alias("_bef"), F.col("cnt").alias("_cnt"))
+    cond = [F.col(b).eqNullSafe(F.col(f"_v_{b}")) for b in by] + [
+        F.col("_bef") <= F.col("_pos"), F.col("_bef") + F.col("_cnt") > F.col("_pos")]
     tl = F.broadcast(tl) if not by else tl  # at most 2 * len(probs) rows when ungrouped
-    hit = tl.join(vp, cond, "inner").select(
-        *[tl[b] for b in by], tl["p"], tl["_h"], tl["_lo"], tl["_pos"], vp["value"])
+    hit = tl.join(vpr, cond, "inner").select(*by, "p", "_h", "_lo", "_pos", F.col("_val").alias("value"))
     # range join above matches exactly one distinct value per target position
     agg = hit.groupBy(*by, "p", "_h", "_lo").agg(
         F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("value"))).alias("_vlo"),
