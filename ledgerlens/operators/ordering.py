@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.temporal import epoch_micros
+from ledgerlens.session import ensure_checkpoint_dir
 
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
@@ -39,6 +40,11 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
     n = _n_parts(df, n_parts)
     r = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in by + order_cols]) \
           .withColumn("_rp", F.spark_partition_id())
+    # The partition id depends on the sampled range bounds, which depend on upstream row
+    # order; materialise once (reliable checkpoint in the shared checkpoint dir) so the
+    # totals and the in-partition sums see the same assignment, also after a lost executor.
+    ensure_checkpoint_dir(df.sparkSession)
+    r = r.checkpoint(eager=True)
     tot = r.groupBy(*by, "_rp").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     wo = Window.partitionBy(*by).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_rp", *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
@@ -187,7 +193,8 @@ def resample_count(df: DataFrame, ts: str, freq: str = "D", name: str = "n") ->
     counts = df.where(F.col(ts).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias(name))
     span = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     cal = span.select(F.explode(F.sequence("lo", "hi", step)).alias("bucket"))
-    return cal.join(counts, "bucket", "left").select("bucket", F.coalesce(F.col(name), F.lit(0)).alias(name))
+    return cal.join(counts, "bucket", "left").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"),
+                                                     F.coalesce(F.col(name), F.lit(0)).alias(name))
 
 
 def trim_tail(df: DataFrame, ts: str, cutoff) -> tuple[DataFrame, DataFrame]:

@@ -100,3 +100,46 @@ def with_stages(df: DataFrame) -> DataFrame:
 
 def with_month(df: DataFrame, ts: str = "order_purchase_timestamp", name: str = "year_month") -> DataFrame:
     return df.withColumn(name, month_start(ts))
+
+
+def auto_trim_cutoff(df: DataFrame, ts: str = "order_purchase_timestamp", share: float = 0.5):
+    """W9 rule: the last day whose (zero-filled) daily count is at least ``share`` times the
+    median daily count. Returns a midnight timestamp (so ``ts <= cutoff`` drops the later
+    part of that day too, T10)."""
+    import datetime as _dt
+    from ledgerlens.operators.ordering import exact_quantiles, resample_count
+    daily = resample_count(df, ts, "D")
+    med = exact_quantiles(daily, "n", [0.5]).first()
+    if med is None:
+        return None
+    day = daily.where(F.col("n") >= share * med["q"]).agg(F.max("bucket").alias("d")).first()["d"]
+    return None if day is None else _dt.datetime(day.year, day.month, day.day)
+
+
+def trimmed_mart(t: Tables) -> tuple[DataFrame, object]:
+    """The mart without its truncated export tail."""
+    m = order_mart(t)
+    cut = auto_trim_cutoff(m)
+    return (m if cut is None else m.where(F.col("order_purchase_timestamp") <= F.lit(cut).cast("timestamp_ntz"))), cut
+
+
+def split_frame(df: DataFrame, ts: str = "order_purchase_timestamp", frac: float = 0.8) -> tuple[DataFrame, object]:
+    """W1 applied: adds ``split`` = train / test around the positional split timestamp."""
+    from ledgerlens.operators.ordering import chrono_split, with_split
+    split_ts, _ = chrono_split(df, ts, frac)
+    return with_split(df, ts, split_ts), split_ts
+
+
+def comparison_windows(df: DataFrame, ts: str = "order_purchase_timestamp", key: str = "order_id",
+                       k: int = 5, name: str = "window_label") -> DataFrame:
+    """Label the test windows of the last two rolling folds 'A' (chunk k-1) and 'B'
+    (chunk k through the end of the data) in one pass."""
+    from ledgerlens.operators.ordering import rolling_folds
+    folds = rolling_folds(df, ts, key, k)
+    b = folds.agg(F.min(F.when(F.col("chunk") == k - 1, F.col(ts))).alias("a"),
+                  F.min(F.when(F.col("chunk") == k, F.col(ts))).alias("b"),
+                  F.max(ts).alias("e")).first()
+    c = F.col(ts)
+    lab = (F.when((c >= F.lit(b["a"])) & (c < F.lit(b["b"])), F.lit("A"))
+            .when((c >= F.lit(b["b"])) & (c <= F.lit(b["e"])), F.lit("B")))
+    return df.withColumn(name, lab)

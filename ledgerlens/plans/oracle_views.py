@@ -163,3 +163,33 @@ c_ready AS (SELECT * REPLACE (CASE WHEN preferred_payment_type = 'not_defined' T
                    ln(1 + monetary) AS monetary_log, ln(1 + avg_freight_ratio) AS avg_freight_ratio_log
             FROM c_cust WHERE avg_review_score IS NOT NULL)
 """
+
+# Trimmed mart (W9 auto cutoff), exact row index, chronological split, rolling folds.
+SPLIT = r"""
+c_day_counts AS (SELECT CAST(order_purchase_timestamp AS DATE) AS day, count(*) AS n FROM c_mart GROUP BY 1),
+c_daily AS (SELECT d.day, coalesce(c.n, 0) AS n FROM (
+              SELECT CAST(unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
+              FROM c_day_counts) d LEFT JOIN c_day_counts c ON d.day = c.day),
+c_cut AS (SELECT CAST(max(day) AS TIMESTAMP) AS cutoff FROM c_daily
+          WHERE n >= 0.5 * (SELECT quantile_cont(n, 0.5) FROM c_daily)),
+c_trim AS (SELECT * FROM c_mart WHERE order_purchase_timestamp <= (SELECT cutoff FROM c_cut)),
+c_idx AS (SELECT *, row_number() OVER (ORDER BY order_purchase_timestamp, order_id) - 1 AS row_idx FROM c_trim),
+c_split AS (SELECT order_purchase_timestamp AS split_ts FROM c_idx
+            WHERE row_idx = (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM c_trim)),
+c_split_rows AS (SELECT *, CASE WHEN order_purchase_timestamp < (SELECT split_ts FROM c_split) THEN 'train' ELSE 'test' END AS split FROM c_trim),
+c_fold_size AS (SELECT count(*) // 6 AS size FROM c_trim),
+c_folds AS (SELECT *, CASE WHEN row_idx < (SELECT size FROM c_fold_size) * 6 THEN CAST(row_idx // (SELECT size FROM c_fold_size) AS INTEGER) END AS chunk FROM c_idx),
+c_win_bounds AS (SELECT min(order_purchase_timestamp) FILTER (WHERE chunk = 4) AS a_start,
+                        min(order_purchase_timestamp) FILTER (WHERE chunk = 5) AS b_start,
+                        max(order_purchase_timestamp) AS b_end FROM c_folds),
+c_windows AS (SELECT t.*, CASE WHEN t.order_purchase_timestamp >= w.a_start AND t.order_purchase_timestamp < w.b_start THEN 'A'
+                               WHEN t.order_purchase_timestamp >= w.b_start AND t.order_purchase_timestamp <= w.b_end THEN 'B' END AS window_label
+              FROM c_trim t, c_win_bounds w),
+c_train_stats AS (SELECT primary_seller_id, count(is_late) AS n, avg(CAST(is_late AS DOUBLE)) AS late_rate
+                  FROM c_split_rows WHERE split = 'train' GROUP BY primary_seller_id),
+c_overall AS (SELECT 1 - avg(CAST(is_late AS DOUBLE)) AS on_time FROM c_split_rows WHERE split = 'train'),
+c_encoded AS (SELECT r.*, coalesce(CASE WHEN s.n >= 5 THEN 1 - s.late_rate ELSE (SELECT on_time FROM c_overall) END,
+                                   (SELECT on_time FROM c_overall)) AS seller_on_time_rate,
+                     NOT coalesce(s.n >= 5, false) AS is_new_or_thin_history_seller
+              FROM c_split_rows r LEFT JOIN c_train_stats s ON r.primary_seller_id = s.primary_seller_id)
+"""
