@@ -193,3 +193,17 @@ c_encoded AS (SELECT r.*, coalesce(CASE WHEN s.n >= 5 THEN 1 - s.late_rate ELSE
                      NOT coalesce(s.n >= 5, false) AS is_new_or_thin_history_seller
               FROM c_split_rows r LEFT JOIN c_train_stats s ON r.primary_seller_id = s.primary_seller_id)
 """
+
+# Windows joined with the train-only seller rate and delivery stages (D*), and the scored split (E*).
+DRIFT = r"""
+c_wfull AS (SELECT w.*, e.seller_on_time_rate, e.is_new_or_thin_history_seller, e.split,
+                   date_diff('microsecond', w.order_purchase_timestamp, w.order_approved_at) / 3600000000.0 AS stage1_purchase_to_approval_hrs,
+                   date_diff('microsecond', w.order_approved_at, w.order_delivered_carrier_date) / 3600000000.0 AS stage2_approval_to_carrier_hrs,
+                   date_diff('microsecond', w.order_delivered_carrier_date, w.order_delivered_customer_date) / 3600000000.0 AS stage3_carrier_to_customer_hrs,
+                   date_diff('microsecond', w.order_purchase_timestamp, w.order_estimated_delivery_date) / 86400000000.0 AS estimated_delivery_window_days,
+                   date_diff('microsecond', w.order_purchase_timestamp, w.order_estimated_delivery_date) / 86400000000.0
+                     - date_diff('microsecond', w.order_purchase_timestamp, w.order_delivered_customer_date) / 86400000000.0 AS slack_days
+            FROM c_windows w JOIN c_encoded e ON w.order_id = e.order_id),
+c_scored AS (SELECT order_id, split, is_late, CAST(is_late AS INTEGER) AS label, 1 - seller_on_time_rate AS score,
+                    is_new_or_thin_history_seller FROM c_encoded)
+"""
