@@ -207,3 +207,23 @@ c_wfull AS (SELECT w.*, e.seller_on_time_rate, e.is_new_or_thin_history_seller,
 c_scored AS (SELECT order_id, split, is_late, CAST(is_late AS INTEGER) AS label, 1 - seller_on_time_rate AS score,
                     is_new_or_thin_history_seller FROM c_encoded)
 """
+
+# Causal data with the seller-stratified propensity and brute-force 1-NN pairs.
+CAUSAL = r"""
+c_causal AS (SELECT t.*, r.review_score FROM c_trim t
+             JOIN (SELECT order_id, avg(review_score) AS review_score FROM c_reviews GROUP BY order_id) r ON t.order_id = r.order_id),
+c_rate_full AS (SELECT primary_seller_id, 1 - avg(CAST(is_late AS DOUBLE)) AS seller_on_time_rate FROM c_causal GROUP BY primary_seller_id),
+c_cd AS (SELECT c.*, f.seller_on_time_rate, 1 - f.seller_on_time_rate AS propensity
+         FROM c_causal c LEFT JOIN c_rate_full f ON c.primary_seller_id = f.primary_seller_id),
+c_ctrl AS (SELECT propensity AS score, min(order_id) AS cid FROM c_cd WHERE NOT is_late AND propensity IS NOT NULL GROUP BY propensity),
+c_pairs AS (SELECT treated_id, treated_score, control_id, control_score, distance FROM (
+              SELECT t.order_id AS treated_id, t.propensity AS treated_score, c.cid AS control_id, c.score AS control_score,
+                     abs(t.propensity - c.score) AS distance,
+                     row_number() OVER (PARTITION BY t.order_id ORDER BY abs(t.propensity - c.score), c.score, c.cid) AS rn
+              FROM c_cd t CROSS JOIN c_ctrl c WHERE t.is_late) WHERE rn = 1),
+c_pv AS (SELECT p.*, t.review_score AS t_review_score, c.review_score AS c_review_score,
+                t.seller_customer_distance_km AS t_seller_customer_distance_km, c.seller_customer_distance_km AS c_seller_customer_distance_km,
+                t.avg_price AS t_avg_price, c.avg_price AS c_avg_price, t.total_freight AS t_total_freight, c.total_freight AS c_total_freight,
+                t.seller_on_time_rate AS t_seller_on_time_rate, c.seller_on_time_rate AS c_seller_on_time_rate
+         FROM c_pairs p LEFT JOIN c_cd t ON p.treated_id = t.order_id LEFT JOIN c_cd c ON p.control_id = c.order_id)
+"""
