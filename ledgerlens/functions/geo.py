@@ -22,7 +22,9 @@ def haversine_km(lat1, lng1, lat2, lng2, radius_km: float = EARTH_RADIUS_KM) ->
     dlat = p2 - p1
     dlng = F.radians(_c(lng2)) - F.radians(_c(lng1))
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dlng / 2), 2)
-    return F.lit(2 * radius_km) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
+    s = F.sqrt(a)
+    # clamp with CASE, not least(): least() skips nulls and would turn a null into 1.0
+    return F.lit(2 * radius_km) * F.asin(F.when(s > 1.0, F.lit(1.0)).otherwise(s))
 
 
 def in_box(lat, lng, lat_lo: float, lat_hi: float, lng_lo: float, lng_hi: float) -> Column:

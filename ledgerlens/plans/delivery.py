@@ -116,9 +116,18 @@ def auto_trim_cutoff(df: DataFrame, ts: str = "order_purchase_timestamp", share:
     return None if day is None else _dt.datetime(day.year, day.month, day.day)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a reused intermediate once (reliable checkpoint in the cluster's shared
+    ``spark.checkpoint.dir``): later eager steps read it instead of re-running its joins,
+    and lineage is cut, so a lost executor does not replay the whole plan."""
+    from ledgerlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def trimmed_mart(t: Tables) -> tuple[DataFrame, object]:
-    """The mart without its truncated export tail."""
-    m = order_mart(t)
+    """The mart without its truncated export tail (W9); the mart is materialised once."""
+    m = materialise(order_mart(t))
     cut = auto_trim_cutoff(m)
     return (m if cut is None else m.where(F.col("order_purchase_timestamp") <= F.lit(cut).cast("timestamp_ntz"))), cut
 

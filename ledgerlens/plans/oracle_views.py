@@ -100,11 +100,11 @@ c_mart_raw AS (
   LEFT JOIN c_customer_geo cg ON o.customer_id = cg.customer_id
   WHERE o.order_status = 'delivered'),
 c_mart_dist AS (
-  SELECT *, 2 * 6371.0 * asin(least(sqrt(
-            pow(sin((radians(customer_lat) - radians(seller_lat)) / 2), 2)
-          + cos(radians(seller_lat)) * cos(radians(customer_lat))
-            * pow(sin((radians(customer_lng) - radians(seller_lng)) / 2), 2)), 1.0)) AS seller_customer_distance_km
-  FROM c_mart_raw WHERE payment_installments IS NOT NULL),
+  SELECT * EXCLUDE (hs), 2 * 6371.0 * asin(CASE WHEN hs > 1.0 THEN 1.0 ELSE hs END) AS seller_customer_distance_km FROM (
+    SELECT *, sqrt(pow(sin((radians(customer_lat) - radians(seller_lat)) / 2), 2)
+                   + cos(radians(seller_lat)) * cos(radians(customer_lat))
+                     * pow(sin((radians(customer_lng) - radians(seller_lng)) / 2), 2)) AS hs
+    FROM c_mart_raw WHERE payment_installments IS NOT NULL)),
 c_mart AS (
   SELECT * FROM c_mart_dist
   WHERE seller_customer_distance_km IS NOT NULL

@@ -18,7 +18,7 @@ _EXTRA = SPLIT + "," + DRIFT
 
 def encoded(spark, sf_dir):
     df, _ = D.split_frame(trimmed(spark, sf_dir))
-    return rate_encode(df.where(F.col("split") == "train"), df, "primary_seller_id", "is_late", 5)
+    return D.materialise(rate_encode(df.where(F.col("split") == "train"), df, "primary_seller_id", "is_late", 5))
 
 
 def windows(spark, sf_dir):
