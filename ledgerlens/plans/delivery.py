@@ -107,12 +107,16 @@ def auto_trim_cutoff(df: DataFrame, ts: str = "order_purchase_timestamp", share:
     median daily count. Returns a midnight timestamp (so ``ts <= cutoff`` drops the later
     part of that day too, T10)."""
     import datetime as _dt
-    from ledgerlens.operators.ordering import exact_quantiles, resample_count
-    daily = resample_count(df, ts, "D")
-    med = exact_quantiles(daily, "n", [0.5]).first()
+    from ledgerlens.operators.ordering import resample_count
+    from ledgerlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # the daily series has one row per calendar day (bounded by the time span, not by the
+    # data volume), so an exact percentile over it is a small single aggregate
+    daily = resample_count(df, ts, "D").checkpoint(eager=True)
+    med = daily.agg(F.percentile("n", 0.5).alias("q")).first()["q"]
     if med is None:
         return None
-    day = daily.where(F.col("n") >= share * med["q"]).agg(F.max("bucket").alias("d")).first()["d"]
+    day = daily.where(F.col("n") >= share * med).agg(F.max("bucket").alias("d")).first()["d"]
     return None if day is None else _dt.datetime(day.year, day.month, day.day)
 
 

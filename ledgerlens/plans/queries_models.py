@@ -125,3 +125,10 @@ def q_propensity_matched_effect(spark, sf_dir):
     pairs = C.match_pairs(p, "order_id", "is_late", "propensity_score")
     pv = C.pair_values(pairs, p, "order_id", ["review_score"])
     return C.matched_effect(pv, "review_score")
+
+
+@query("segment_names", ids="M5 T14 F11")
+def q_segment_names(spark, sf_dir):
+    """Rule-based name of each k-means cluster (from the k-row centroid profile)."""
+    _, prof = segmented(spark, sf_dir)
+    return prof.select("cluster", "customer_segment", "size")

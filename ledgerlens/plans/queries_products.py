@@ -97,3 +97,12 @@ def q_dashboard_segment_sizes(spark, sf_dir):
 def q_dashboard_profile_grid(spark, sf_dir):
     _, prof = segmented(spark, sf_dir)
     return PR.profile_grid(prof, PROFILE_COLS)
+
+
+@query("dashboard_spotlight", ids="P6 A11")
+def q_dashboard_spotlight(spark, sf_dir):
+    """The dissatisfied vs satisfied-core comparison (review score gap)."""
+    from ledgerlens.operators.models import SEGMENT_NAMES
+    _, prof = segmented(spark, sf_dir)
+    two = [SEGMENT_NAMES["dissatisfied"], SEGMENT_NAMES["core"]]
+    return prof.where(F.col("customer_segment").isin(two)).select("customer_segment", "size", "avg_review_score")
