@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from ledgerlens.operators.reshape import one_hot
 from ledgerlens.plans import delivery as D
 from ledgerlens.plans.segmentation import FINAL_CLUSTER_FEATURES
 from ledgerlens.plans.walk_forward import month_plan
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import ensure_checkpoint_dir, scratch_path
 
 KMEANS_SEEDS = tuple(range(42, 52))   # ten restarts
 PROFILE_COLS = ["recency_days", "monetary", "avg_review_score", "category_diversity", "avg_installments",
@@ -92,7 +93,7 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
     fallback = {}
     if with_stages:
         fallback = {r["cutoff"]: r for r in stages.select("cutoff", *[f"fallback_{c}" for c in stage_cols]).distinct().collect()}
-    scored = []
+    out_path = scratch_path(spark, f"walk_forward/{uuid.uuid4().hex}")
     for m in months:
         part = df.where(F.col("year_month") <= F.lit(m))
         r = rates.where(F.col("cutoff") == F.lit(m)).select(
@@ -115,14 +116,14 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
         else:
             tr, te, _ = M.scaled_vectors(train, test, features)
             model = M.fit_logit(tr, features, "is_late")
-        scored.append(M.positive_probability(model.transform(te)).select(
-            F.col("year_month").alias("test_month"), F.col("is_late").cast("int").alias("label"), "score"))
-    if not scored:
+        # each month appends its scored test rows to a shared scratch table: the driver
+        # plan stays one month deep and finished months survive a lost executor
+        (M.positive_probability(model.transform(te))
+         .select(F.col("year_month").alias("test_month"), F.col("is_late").cast("int").alias("label"), "score")
+         .write.mode("append").parquet(out_path))
+    if not months:
         return spark.createDataFrame([], "test_month timestamp_ntz, test_size long, test_late_rate double, auc double")
-    allp = scored[0]
-    for x in scored[1:]:
-        allp = allp.unionByName(x)
-    res = auc(allp, "label", "score", by=["test_month"])  # one job for every month
+    res = auc(spark.read.parquet(out_path), "label", "score", by=["test_month"])  # one job for every month
     return res.select("test_month", F.col("n").alias("test_size"),
                       (F.col("n_pos") / F.col("n")).alias("test_late_rate"), "auc")
 

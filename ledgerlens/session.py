@@ -25,6 +25,9 @@ def build_session(master: str | None = None, app: str = "ledgerlens",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster; only applies to a new JVM
+            b = b.config("spark.driver.memory", "8g")
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
