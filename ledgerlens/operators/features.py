@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.geo import haversine_km, in_box
@@ -203,24 +203,39 @@ def rate_encode(train: DataFrame, apply: DataFrame, entity: str, label: str, min
             .drop("has_sufficient_history"))
 
 
+def _as_of_cutoffs(per: DataFrame, entity: str, period: str, sums: Sequence[str], cutoffs: DataFrame) -> DataFrame:
+    """For every (cutoff, entity): the entity's sums over all periods strictly before the
+    cutoff.
+
+    Running sums per entity over its own periods (a window over at most #periods rows per
+    entity, so a hot entity is no larger than any other), then each cutoff joins only the
+    one interval [period, next_period) that precedes it - output is exactly one row per
+    (entity, cutoff) with history, never entity-periods x cutoffs.
+    """
+    w = Window.partitionBy(entity).orderBy(period)
+    run = per.select(entity, period, F.lead(period).over(w).alias("_next"),
+                     *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in sums])
+    cut = F.broadcast(cutoffs.select(F.col(cutoffs.columns[0]).alias("cutoff")).distinct())  # calendar-bounded
+    cond = (F.col(period) < F.col("cutoff")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("cutoff")))
+    return run.join(cut, cond, "inner").select("cutoff", entity, *sums)
+
+
 def stats_at_cutoff(df: DataFrame, entity: str, label: str, period: str, cutoffs: DataFrame,
                     min_n: int = 5) -> DataFrame:
     """M7 / §4.3-d: entity on-time rate using only rows with ``period < cutoff``, for every
     cutoff at once.
 
     Aggregates once to (entity, period, n, n_late) - map-side combined, so a hot entity is
-    one row per period - then joins the small cutoff list on ``period < cutoff`` and sums.
-    The cutoff list is the distinct periods (bounded by the calendar), broadcast.
+    one row per period - then takes the as-of running sums for each cutoff.
     Returns (cutoff, entity, entity_orders, entity_on_time_rate, has_sufficient_history,
     overall_on_time_rate).
     """
     lab = F.col(label).cast("int")
-    per = df.groupBy(entity, period).agg(F.count(label).alias("n"), F.sum(lab).alias("n_late"))
-    cut = F.broadcast(cutoffs.select(F.col(cutoffs.columns[0]).alias("cutoff")).distinct())
-    hist = per.join(cut, F.col(period) < F.col("cutoff"), "inner")
-    ent = hist.groupBy("cutoff", entity).agg(F.sum("n").alias("entity_orders"), F.sum("n_late").alias("n_late"))
-    tot = (hist.groupBy("cutoff").agg(F.sum("n").alias("tn"), F.sum("n_late").alias("tl"))
-           .select("cutoff", (1 - F.col("tl") / F.col("tn")).alias("overall_on_time_rate")))
+    per = df.groupBy(entity, period).agg(F.count(label).alias("n"), F.sum(lab).cast("long").alias("n_late"))
+    ent = _as_of_cutoffs(per, entity, period, ["n", "n_late"], cutoffs).withColumnRenamed("n", "entity_orders")
+    tot_p = per.groupBy(period).agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late")).withColumn("_all", F.lit(0))
+    tot = (_as_of_cutoffs(tot_p, "_all", period, ["n", "n_late"], cutoffs)
+           .select("cutoff", (1 - F.col("n_late") / F.col("n")).alias("overall_on_time_rate")))
     return (ent.join(F.broadcast(tot), "cutoff", "left")
             .withColumn("has_sufficient_history", F.col("entity_orders") >= min_n)
             .withColumn("entity_on_time_rate",
@@ -240,11 +255,9 @@ def stage_stats_at_cutoff(df: DataFrame, entity: str, stages: Sequence[str], per
     clean = df.filter(ok)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(s).alias(f"_s_{s}") for s in stages]
     per = clean.groupBy(entity, period).agg(*aggs)
-    cut = F.broadcast(cutoffs.select(F.col(cutoffs.columns[0]).alias("cutoff")).distinct())
-    hist = per.join(cut, F.col(period) < F.col("cutoff"), "inner")
-    ent = hist.groupBy("cutoff", entity).agg(
-        F.sum("n").alias("stage_orders"),
-        *[(F.sum(f"_s_{s}") / F.sum("n")).alias(f"avg_{s}") for s in stages])
+    ent = _as_of_cutoffs(per, entity, period, ["n"] + [f"_s_{s}" for s in stages], cutoffs)
+    ent = ent.select("cutoff", entity, F.col("n").alias("stage_orders"),
+                     *[(F.col(f"_s_{s}") / F.col("n")).alias(f"avg_{s}") for s in stages])
     fb = ent.groupBy("cutoff").agg(*[F.avg(f"avg_{s}").alias(f"fallback_{s}") for s in stages])
     return ent.join(F.broadcast(fb), "cutoff", "left")
 
