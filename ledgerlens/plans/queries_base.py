@@ -108,7 +108,7 @@ _MART_DOUBLES = R("avg_price") | R("total_freight", "total_weight_g", "total_vol
 
 
 @query("order_mart", "SELECT " + ", ".join(D.MART_COLUMNS) + " FROM c_mart", mart=True, rnd=_MART_DOUBLES,
-       ids="A2 A4 A5 A6 A9 F1 F2 F4 F5 F9 F10 J1 J2 J7 J8 S3 X3 X8 X9 A13")
+       ids="A2 A4 A5 A6 A9 F1 F2 F4 F5 F9 F10 J1 J2 J7 J8 S3 X3 X8 X9 A13 T2 T4 T24")
 def q_order_mart(spark, sf_dir):
     return mart(spark, sf_dir)
 
@@ -117,7 +117,7 @@ def q_order_mart(spark, sf_dir):
 SELECT c.customer_state, count(m.is_late) AS orders, avg(CAST(m.is_late AS DOUBLE)) AS late_rate
 FROM c_mart m LEFT JOIN c_customers c ON m.customer_id = c.customer_id
 WHERE c.customer_state IS NOT NULL GROUP BY c.customer_state
-""", mart=True, rnd=R("late_rate"), ids="A12 J1")
+""", mart=True, rnd=R("late_rate"), ids="A12 J1 T3")
 def q_late_rate_by_state(spark, sf_dir):
     t = T(spark, sf_dir)
     m = D.order_mart(t).join(t.customers.select("customer_id", "customer_state"), "customer_id", "left")

@@ -42,7 +42,7 @@ def q_rfm(spark, sf_dir):
 
 
 @query("customer_features", "SELECT * FROM c_cust", extra=CUSTOMER, rnd=_CUST_DOUBLES,
-       ids="M14 A1 A3 A8 J3 J4 F7 X7")
+       ids="M14 A1 A3 A8 J3 J4 F7 X7 T5 T7 T23 T27")
 def q_customer_features(spark, sf_dir):
     return S.customer_table(T(spark, sf_dir))
 

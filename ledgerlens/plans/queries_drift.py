@@ -30,7 +30,7 @@ def windows(spark, sf_dir):
 @query("feature_correlations", corr_rows_sql("c_encoded WHERE split = 'train'", "CAST(is_late AS INTEGER)",
                                              COMPARISON_FEATURES).replace("FROM c_encoded WHERE split = 'train'",
                                                                           "FROM (SELECT * FROM c_encoded WHERE split = 'train')"),
-       mart=True, extra=SPLIT, rnd=R("r", "t", "p", d=5), ids="D1")
+       mart=True, extra=SPLIT, rnd=R("r", "t", "p", d=5), ids="D1 T12")
 def q_feature_correlations(spark, sf_dir):
     enc = encoded(spark, sf_dir)
     return DR.corr_table(enc.where(F.col("split") == "train"), "is_late", COMPARISON_FEATURES).select(
@@ -129,7 +129,7 @@ def q_slack_analysis(spark, sf_dir):
 SELECT window_label, count(*) AS n, count(DISTINCT primary_seller_id) AS sellers, avg(CAST(is_late AS DOUBLE)) AS late_rate,
        avg(CASE WHEN is_new_or_thin_history_seller THEN 0.0 ELSE 1.0 END) * 100 AS pct_with_history
 FROM c_wfull WHERE window_label IS NOT NULL GROUP BY window_label
-""", mart=True, extra=_EXTRA, rnd=R("late_rate", "pct_with_history"), ids="D10 V8 T13 A21")
+""", mart=True, extra=_EXTRA, rnd=R("late_rate", "pct_with_history"), ids="D10 V8 T13 A21 T11")
 def q_window_summary(spark, sf_dir):
     w = windows(spark, sf_dir).where(F.col("window_label").isNotNull())
     return w.groupBy("window_label").agg(

@@ -30,7 +30,7 @@ SELECT s.primary_seller_id, s.total_orders, s.late_orders, s.on_time_rate, s.avg
   FROM c_cd WHERE primary_seller_id IS NOT NULL GROUP BY primary_seller_id) s
 LEFT JOIN c_sellers se ON s.primary_seller_id = se.seller_id
 """, mart=True, extra=_EXTRA, rnd=R("on_time_rate", "avg_review_score") | R("avg_price", "avg_distance_km", d=4),
-       ids="P3 A18 J2")
+       ids="P3 A18 J2 S4 T28")
 def q_seller_performance(spark, sf_dir):
     t, o = orders_export(spark, sf_dir)
     return PR.seller_performance(t, o)

@@ -78,7 +78,7 @@ SELECT window_label, min(order_purchase_timestamp) AS "start", max(order_purchas
   FROM (SELECT order_purchase_timestamp, CAST(epoch_us(order_purchase_timestamp) AS DOUBLE) AS x FROM c_trim),
        (SELECT quantile_cont(CAST(epoch_us(order_purchase_timestamp) AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM c_trim))
 GROUP BY window_label
-""", mart=True, extra=SPLIT, ids="W5 A22 T25")
+""", mart=True, extra=SPLIT, ids="W5 A22 T25 X11")
 def q_quantile_windows(spark, sf_dir):
     from ledgerlens.operators.profile import window_range
     w = O.quantile_bins(trimmed(spark, sf_dir), TS, ["Q1", "Q2", "Q3", "Q4"], name="window_label")
