@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.geo import haversine_km, in_box
 from ledgerlens.functions.numeric import safe_ratio
-from ledgerlens.functions.temporal import plus_days, whole_days_between
+from ledgerlens.functions.temporal import ntz_lit, plus_days, whole_days_between
 
 
 def first_non_null(value: str | Column, order_cols: Sequence[str]) -> Column:
@@ -112,7 +112,7 @@ def rfm(orders: DataFrame, customers: DataFrame, payments: DataFrame,
     if ref is None:
         ref_col = F.lit(None).cast("timestamp_ntz")
     else:
-        ref_col = plus_days(F.lit(ref).cast("timestamp_ntz"), 1)
+        ref_col = plus_days(ntz_lit(ref), 1)
     out = base.groupBy(person).agg(
         whole_days_between(ref_col, F.max(ts)).alias("recency_days"),
         F.countDistinct("order_id").alias("frequency"),

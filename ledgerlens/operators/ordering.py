@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.temporal import epoch_micros
+from ledgerlens.functions.temporal import epoch_micros, ntz_lit
 from ledgerlens.session import ensure_checkpoint_dir
 
 
@@ -93,7 +93,7 @@ def chrono_split(df: DataFrame, ts: str, frac: float = 0.8, n_parts: int | None
 
 
 def with_split(df: DataFrame, ts: str, split_ts, name: str = "split") -> DataFrame:
-    return df.withColumn(name, F.when(F.col(ts) < F.lit(split_ts), "train").otherwise("test"))
+    return df.withColumn(name, F.when(F.col(ts) < ntz_lit(split_ts), "train").otherwise("test"))
 
 
 def rolling_folds(df: DataFrame, ts: str, key: str, k: int = 5, n_parts: int | None = None,
@@ -200,9 +200,9 @@ def resample_count(df: DataFrame, ts: str, freq: str = "D", name: str = "n") ->
 def trim_tail(df: DataFrame, ts: str, cutoff) -> tuple[DataFrame, DataFrame]:
     """Keep rows with ``ts <= cutoff`` (a timestamp compare, so a date cutoff
     means midnight). Returns (kept rows, one-row before/after/removed report)."""
-    kept = df.where(F.col(ts) <= F.lit(cutoff))
+    kept = df.where(F.col(ts) <= ntz_lit(cutoff))
     rep = df.agg(F.count(F.lit(1)).alias("rows_before"),
-                 F.count_if(F.col(ts) <= F.lit(cutoff)).alias("rows_after"))
+                 F.count_if(F.col(ts) <= ntz_lit(cutoff)).alias("rows_after"))
     rep = rep.withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
     return kept, rep
 

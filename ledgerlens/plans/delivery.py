@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.geo import haversine_km, in_box
-from ledgerlens.functions.temporal import hours_between, fractional_days, month_start, weekday_mon0
+from ledgerlens.functions.temporal import hours_between, fractional_days, month_start, ntz_lit, weekday_mon0
 from ledgerlens.operators.features import (BRAZIL_BOX, attach_point, geo_centroid, max_per_key, order_rollup)
 from ledgerlens.sources.tables import Tables
 
@@ -133,7 +133,7 @@ def trimmed_mart(t: Tables) -> tuple[DataFrame, object]:
     """The mart without its truncated export tail (W9); the mart is materialised once."""
     m = materialise(order_mart(t))
     cut = auto_trim_cutoff(m)
-    return (m if cut is None else m.where(F.col("order_purchase_timestamp") <= F.lit(cut).cast("timestamp_ntz"))), cut
+    return (m if cut is None else m.where(F.col("order_purchase_timestamp") <= ntz_lit(cut))), cut
 
 
 def split_frame(df: DataFrame, ts: str = "order_purchase_timestamp", frac: float = 0.8) -> tuple[DataFrame, object]:
@@ -153,6 +153,6 @@ def comparison_windows(df: DataFrame, ts: str = "order_purchase_timestamp", key:
                   F.min(F.when(F.col("chunk") == k, F.col(ts))).alias("b"),
                   F.max(ts).alias("e")).first()
     c = F.col(ts)
-    lab = (F.when((c >= F.lit(b["a"])) & (c < F.lit(b["b"])), F.lit("A"))
-            .when((c >= F.lit(b["b"])) & (c <= F.lit(b["e"])), F.lit("B")))
+    lab = (F.when((c >= ntz_lit(b["a"])) & (c < ntz_lit(b["b"])), F.lit("A"))
+            .when((c >= ntz_lit(b["b"])) & (c <= ntz_lit(b["e"])), F.lit("B")))
     return df.withColumn(name, lab)

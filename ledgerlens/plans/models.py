@@ -15,6 +15,7 @@ from ledgerlens.operators.features import stage_stats_at_cutoff, stats_at_cutoff
 from ledgerlens.operators.reshape import one_hot
 from ledgerlens.plans import delivery as D
 from ledgerlens.plans.segmentation import FINAL_CLUSTER_FEATURES
+from ledgerlens.functions.temporal import ntz_lit
 from ledgerlens.plans.walk_forward import month_plan
 from ledgerlens.session import ensure_checkpoint_dir, scratch_path
 
@@ -95,21 +96,21 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
         fallback = {r["cutoff"]: r for r in stages.select("cutoff", *[f"fallback_{c}" for c in stage_cols]).distinct().collect()}
     out_path = scratch_path(spark, f"walk_forward/{uuid.uuid4().hex}")
     for m in months:
-        part = df.where(F.col("year_month") <= F.lit(m))
-        r = rates.where(F.col("cutoff") == F.lit(m)).select(
+        part = df.where(F.col("year_month") <= ntz_lit(m))
+        r = rates.where(F.col("cutoff") == ntz_lit(m)).select(
             "primary_seller_id", F.col("entity_on_time_rate").alias("seller_on_time_rate"))
         part = part.join(r, "primary_seller_id", "left").withColumn(
             "seller_on_time_rate", F.coalesce(F.col("seller_on_time_rate"), F.lit(overall.get(m))))
         if with_stages:
-            s = stages.where(F.col("cutoff") == F.lit(m))
+            s = stages.where(F.col("cutoff") == ntz_lit(m))
             fb = fallback.get(m)
             part = part.join(s.select("primary_seller_id", *[F.col(f"avg_{c}").alias(f"seller_avg_{c}") for c in stage_cols]),
                              "primary_seller_id", "left")
             for c in stage_cols:
                 part = part.withColumn(f"seller_avg_{c}", F.coalesce(F.col(f"seller_avg_{c}"),
                                                                       F.lit(fb[f"fallback_{c}"] if fb else None)))
-        train = part.where(F.col("year_month") < F.lit(m))
-        test = part.where(F.col("year_month") == F.lit(m))
+        train = part.where(F.col("year_month") < ntz_lit(m))
+        test = part.where(F.col("year_month") == ntz_lit(m))
         if fit == "forest":
             tr, te = M.assemble(train, features), M.assemble(test, features)
             model = M.fit_forest(tr, "is_late")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.temporal import month_start
+from ledgerlens.functions.temporal import month_start, ntz_lit
 from ledgerlens.operators import ordering as O
 from ledgerlens.operators import quality as Q
 from ledgerlens.operators.features import rate_encode, stage_stats_at_cutoff, stats_at_cutoff
@@ -32,7 +32,7 @@ FROM c_split_rows
 def q_chrono_split(spark, sf_dir):
     df, split_ts = D.split_frame(trimmed(spark, sf_dir))
     lab = F.col("is_late").cast("double")
-    return df.agg(F.lit(split_ts).cast("timestamp_ntz").alias("split_ts"), F.count(F.lit(1)).alias("n_rows"),
+    return df.agg(ntz_lit(split_ts).alias("split_ts"), F.count(F.lit(1)).alias("n_rows"),
                   F.count_if(F.col("split") == "train").alias("train_rows"),
                   F.count_if(F.col("split") == "test").alias("test_rows"),
                   F.avg(F.when(F.col("split") == "train", lab)).alias("train_late_rate"),
@@ -92,8 +92,8 @@ SELECT (SELECT cutoff FROM c_cut) AS cutoff, (SELECT count(*) FROM c_mart) AS ro
 def q_trim_tail(spark, sf_dir):
     m = mart(spark, sf_dir)
     cut = D.auto_trim_cutoff(m)
-    _, rep = O.trim_tail(m, TS, F.lit(cut).cast("timestamp_ntz"))
-    return rep.select(F.lit(cut).cast("timestamp_ntz").alias("cutoff"), "rows_before", "rows_after", "rows_removed")
+    _, rep = O.trim_tail(m, TS, ntz_lit(cut))
+    return rep.select(ntz_lit(cut).alias("cutoff"), "rows_before", "rows_after", "rows_removed")
 
 
 @query("weekly_volume", """
