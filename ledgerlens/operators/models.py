@@ -3,14 +3,16 @@ coefficients and per-fold metric rows reach the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.scaling import scale_apply, scale_fit
@@ -25,6 +27,23 @@ SEGMENT_NAMES = {
 }
 
 
+# Independent fits (restarts, k values, folds, walk-forward months) are submitted as
+# concurrent Spark jobs from this many driver threads, as CrossValidator(parallelism=...)
+# does. Each fit is still distributed; the pool only overlaps their driver-side iterations.
+FIT_PARALLELISM = 4
+
+
+def run_parallel(tasks: Sequence[Callable[[], object]], parallelism: int | None = None) -> list:
+    """Run zero-argument callables that each launch Spark jobs; results in input order."""
+    tasks = list(tasks)
+    parallelism = FIT_PARALLELISM if parallelism is None else parallelism
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    wrap = inheritable_thread_target(SparkSession.active())  # threads keep the job tags / local properties
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(lambda t: wrap(t)(), tasks)
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(
         df.select("*", *[F.col(c).cast("double").alias(f"__f_{c}") for c in features])
@@ -42,14 +61,13 @@ def scaled_vectors(train: DataFrame, apply: DataFrame | None, features: Sequence
 
 def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42,), features_col: str = "features",
                max_iter: int = 300):
-    """M2/M4: best-of-restarts k-means (lowest training cost), k-means|| init."""
-    best = None
-    for s in seeds:
+    """M2/M4: best-of-restarts k-means (lowest training cost, ties to the earlier seed),
+    k-means|| init. Restarts run as concurrent jobs."""
+    def one(s):
         m = KMeans(k=k, seed=int(s), featuresCol=features_col, maxIter=max_iter, initMode="k-means||").fit(df)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
+        return m, m.summary.trainingCost
+    fits = run_parallel([lambda s=s: one(s) for s in seeds])
+    return min(fits, key=lambda mc: mc[1])
 
 
 def select_k(df: DataFrame, ks: Sequence[int], seeds: Sequence[int], features_col: str = "features") -> DataFrame:
@@ -58,7 +76,7 @@ def select_k(df: DataFrame, ks: Sequence[int], seeds: Sequence[int], features_co
     ev = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
     rows = []
-    for k in ks:
+    for k in ks:  # the restarts of each k already fill the fit pool
         m, cost = fit_kmeans(df, k, seeds, features_col)
         rows.append((int(k), float(cost), float(ev.evaluate(m.transform(df)))))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

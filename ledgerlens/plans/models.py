@@ -95,7 +95,8 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
     if with_stages:
         fallback = {r["cutoff"]: r for r in stages.select("cutoff", *[f"fallback_{c}" for c in stage_cols]).distinct().collect()}
     out_path = scratch_path(spark, f"walk_forward/{uuid.uuid4().hex}")
-    for m in months:
+
+    def fit_month(i, m):
         part = df.where(F.col("year_month") <= ntz_lit(m))
         r = rates.where(F.col("cutoff") == ntz_lit(m)).select(
             "primary_seller_id", F.col("entity_on_time_rate").alias("seller_on_time_rate"))
@@ -117,14 +118,17 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
         else:
             tr, te, _ = M.scaled_vectors(train, test, features)
             model = M.fit_logit(tr, features, "is_late")
-        # each month appends its scored test rows to a shared scratch table: the driver
-        # plan stays one month deep and finished months survive a lost executor
+        # each month writes its scored test rows to its own folder of a shared scratch
+        # table: the driver plan stays one month deep, finished months survive a lost
+        # executor, and concurrent months never share a commit folder
         (M.positive_probability(model.transform(te))
          .select(F.col("year_month").alias("test_month"), F.col("is_late").cast("int").alias("label"), "score")
-         .write.mode("append").parquet(out_path))
+         .write.mode("overwrite").parquet(f"{out_path}/fold={i}"))
+
+    M.run_parallel([lambda i=i, m=m: fit_month(i, m) for i, m in enumerate(months)])
     if not months:
         return spark.createDataFrame([], "test_month timestamp_ntz, test_size long, test_late_rate double, auc double")
-    res = auc(spark.read.parquet(out_path), "label", "score", by=["test_month"])  # one job for every month
+    res = auc(spark.read.parquet(out_path).drop("fold"), "label", "score", by=["test_month"])  # one job for every month
     return res.select("test_month", F.col("n").alias("test_size"),
                       (F.col("n_pos") / F.col("n")).alias("test_late_rate"), "auc")
 

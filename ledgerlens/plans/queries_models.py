@@ -63,8 +63,7 @@ def q_logit_auc(spark, sf_dir):
 def q_rolling_fold_auc(spark, sf_dir):
     """Five rolling-origin folds: per fold train-only seller rate, scaler and LR."""
     f = PM.materialise(rolling_folds(trimmed(spark, sf_dir), "order_purchase_timestamp", "order_id", 5))
-    rows = []
-    for i in range(1, 6):
+    def one_fold(i):
         tr = f.where(F.col("chunk") < i)
         te = f.where(F.col("chunk") == i)
         tr_e = rate_encode(tr, tr, "primary_seller_id", "is_late", 5)
@@ -76,7 +75,8 @@ def q_rolling_fold_auc(spark, sf_dir):
         r = auc(sc.withColumn("label", F.col("is_late").cast("int")), "label", "score").first()
         rng = te.agg(F.min("order_purchase_timestamp").alias("s"), F.max("order_purchase_timestamp").alias("e"),
                      F.avg(F.col("is_late").cast("double")).alias("lr")).first()
-        rows.append((i, rng["s"], rng["e"], rng["lr"], r["auc"]))
+        return (i, rng["s"], rng["e"], rng["lr"], r["auc"])
+    rows = M.run_parallel([lambda i=i: one_fold(i) for i in range(1, 6)])  # folds are independent jobs
     return spark.createDataFrame(rows, "fold int, test_start timestamp_ntz, test_end timestamp_ntz, test_late_rate double, auc double")
 
 

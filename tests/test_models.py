@@ -46,3 +46,21 @@ def test_name_segments_rule():
     n = M.name_segments(rows)
     assert n[1].startswith("Dissatisfied") and n[2].startswith("High-Value") and n[3].startswith("Repeat")
     assert n[4].startswith("Low-Spend") and n[0] == "Satisfied Core"
+
+
+def test_parallel_fits_match_serial(spark):
+    """Restarts submitted as concurrent jobs give the serial answer (order and best fit)."""
+    from ledgerlens.operators import models as M
+    assert M.run_parallel([lambda i=i: spark.range(i * 10).count() for i in range(6)], 3) == [0, 10, 20, 30, 40, 50]
+    rows = [(float(i % 3) * 5 + (i % 7) * 0.1, float(i % 5)) for i in range(300)]
+    vec = M.assemble(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])
+    old = M.FIT_PARALLELISM
+    try:
+        M.FIT_PARALLELISM = 1
+        serial = M.fit_kmeans(vec, 3, seeds=[1, 2, 3, 4])
+        M.FIT_PARALLELISM = 4
+        par = M.fit_kmeans(vec, 3, seeds=[1, 2, 3, 4])
+    finally:
+        M.FIT_PARALLELISM = old
+    assert abs(serial[1] - par[1]) < 1e-9
+    assert sorted(map(tuple, serial[0].clusterCenters())) == sorted(map(tuple, par[0].clusterCenters()))
