@@ -30,16 +30,20 @@ SEGMENT_NAMES = {
 # Independent fits (restarts, k values, folds, walk-forward months) are submitted as
 # concurrent Spark jobs from this many driver threads, as CrossValidator(parallelism=...)
 # does. Each fit is still distributed; the pool only overlaps their driver-side iterations.
+# A session can set its own with the conf key below.
 FIT_PARALLELISM = 4
+FIT_PARALLELISM_CONF = "ledgerlens.fit.parallelism"
 
 
 def run_parallel(tasks: Sequence[Callable[[], object]], parallelism: int | None = None) -> list:
     """Run zero-argument callables that each launch Spark jobs; results in input order."""
     tasks = list(tasks)
-    parallelism = FIT_PARALLELISM if parallelism is None else parallelism
+    spark = SparkSession.active()
+    if parallelism is None:
+        parallelism = int(spark.conf.get(FIT_PARALLELISM_CONF, str(FIT_PARALLELISM)))
     if parallelism <= 1 or len(tasks) <= 1:
         return [t() for t in tasks]
-    wrap = inheritable_thread_target(SparkSession.active())  # threads keep the job tags / local properties
+    wrap = inheritable_thread_target(spark)  # threads keep the job tags / local properties
     with ThreadPool(min(parallelism, len(tasks))) as pool:
         return pool.map(lambda t: wrap(t)(), tasks)
 
@@ -63,22 +67,26 @@ def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42,), features_col
                max_iter: int = 300):
     """M2/M4: best-of-restarts k-means (lowest training cost, ties to the earlier seed),
     k-means|| init. Restarts run as concurrent jobs."""
-    def one(s):
-        m = KMeans(k=k, seed=int(s), featuresCol=features_col, maxIter=max_iter, initMode="k-means||").fit(df)
-        return m, m.summary.trainingCost
-    fits = run_parallel([lambda s=s: one(s) for s in seeds])
+    fits = run_parallel([lambda s=s: _kmeans_once(df, k, s, features_col, max_iter) for s in seeds])
     return min(fits, key=lambda mc: mc[1])
 
 
+def _kmeans_once(df: DataFrame, k: int, seed: int, features_col: str = "features", max_iter: int = 300):
+    m = KMeans(k=k, seed=int(seed), featuresCol=features_col, maxIter=max_iter, initMode="k-means||").fit(df)
+    return m, m.summary.trainingCost
+
+
 def select_k(df: DataFrame, ks: Sequence[int], seeds: Sequence[int], features_col: str = "features") -> DataFrame:
     """M2 + M3 (+T22: one fit per k gives both): k, inertia, silhouette (squared Euclidean,
     O(n k) closed form from ``ClusteringEvaluator``)."""
     ev = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:  # the restarts of each k already fill the fit pool
-        m, cost = fit_kmeans(df, k, seeds, features_col)
-        rows.append((int(k), float(cost), float(ev.evaluate(m.transform(df)))))
+    ks, seeds = [int(k) for k in ks], list(seeds)
+    # every (k, restart) fit goes to one pool; the best restart per k keeps the earlier seed on ties
+    fits = run_parallel([lambda k=k, s=s: _kmeans_once(df, k, s, features_col) for k in ks for s in seeds])
+    best = [min(fits[i * len(seeds):(i + 1) * len(seeds)], key=lambda mc: mc[1]) for i in range(len(ks))]
+    sil = run_parallel([lambda m=m: ev.evaluate(m.transform(df)) for m, _ in best])
+    rows = [(k, float(cost), float(si)) for k, (_, cost), si in zip(ks, best, sil)]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
