@@ -56,15 +56,43 @@ def poisson_cdf(lam: float, kmax: int = 12) -> list[float]:
     return out
 
 
-def bootstrap_weights(key: str, rep: int, seed: int, frac: float) -> Column:
-    """Resampling multiplicity of a row in replicate ``rep``: Poisson(frac) drawn by
-    inverse CDF from a hash of (key, rep, seed) - the standard Poisson bootstrap for
-    sampling with replacement, reproducible and without shuffles or a driver loop."""
-    u = (F.abs(F.xxhash64(F.col(key), F.lit(rep), F.lit(seed))) % 1_000_000_007) / F.lit(1_000_000_007.0)
-    w = F.lit(0)
-    for c in poisson_cdf(frac):
-        w = w + (u >= F.lit(c)).cast("int")
-    return w
+# Fixed values of the replicate hash (must stay as written for oracle parity): integer
+# arithmetic mod the prime 2^31 - 1 with the MINSTD multipliers 48271 and 16807, offsets
+# 1000003 (seed) and 7919 (replicate); every intermediate product stays below 2^62, so the
+# same values come out of any engine with 64-bit integers.
+HASH_MOD = 2147483647
+HASH_SEED_MUL, HASH_REP_MUL = 1000003, 7919
+HASH_STEPS = (("mul", 48271), ("square", 12345), ("mul", 16807), ("square", 54321), ("mul", 48271))
+
+
+def replicate_uniform(key: str, rep: int, seed: int) -> Column:
+    """u in [0, 1) from (key, rep, seed): an offset, then multiply / square-add rounds mod p."""
+    m = HASH_MOD
+    x = F.pmod(F.col(key).cast("long"), F.lit(m)) + F.lit((seed * HASH_SEED_MUL + rep * HASH_REP_MUL) % m)
+    for kind, c in HASH_STEPS:
+        x = (x * x + F.lit(c)) % m if kind == "square" else (x * F.lit(c)) % m
+    return x.cast("double") / F.lit(float(m))
+
+
+def replicate_uniform_sql(key: str, rep: str, seed: int) -> str:
+    """The same hash as a SQL expression (``rep`` is a SQL integer expression)."""
+    m = HASH_MOD
+    x = f"((({key}) % {m} + {m}) % {m} + ({seed * HASH_SEED_MUL % m} + ({rep}) * {HASH_REP_MUL}) % {m})"
+    for kind, c in HASH_STEPS:
+        x = f"(({x} * {x} + {c}) % {m})" if kind == "square" else f"(({x} * {c}) % {m})"
+    return f"(CAST({x} AS DOUBLE) / CAST({m} AS DOUBLE))"
+
+
+def bootstrap_weights(u: Column, frac: float) -> Column:
+    """Resampling multiplicity of a row in one replicate: Poisson(frac) drawn by inverse
+    CDF from the replicate uniform ``u`` - the standard Poisson bootstrap for sampling with
+    replacement, reproducible and without shuffles or a driver loop."""
+    return sum((u >= F.lit(c)).cast("int") for c in poisson_cdf(frac))
+
+
+def bootstrap_weights_sql(u: str, frac: float) -> str:
+    """Poisson(frac) inverse CDF of a SQL uniform column ``u``."""
+    return "(" + " + ".join(f"CAST({u} >= CAST('{c!r}' AS DOUBLE) AS INTEGER)" for c in poisson_cdf(frac)) + ")"
 
 
 def bootstrap_corr(df: DataFrame, key: str, x: str, y: str, reps: int = 20, frac: float = 0.7,
@@ -73,20 +101,27 @@ def bootstrap_corr(df: DataFrame, key: str, x: str, y: str, reps: int = 20, frac
     (weighted sums per replicate), -> (rep, r)."""
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     both = xs.isNotNull() & ys.isNotNull()
+    # hash -> uniform -> weight once per (row, replicate) in a narrow projection; the
+    # aggregate then only reads plain columns
+    u = df.select(xs.alias("_x"), ys.alias("_y"), both.alias("_ok"),
+                  *[replicate_uniform(key, r, seed).alias(f"_u{r}") for r in range(reps)])
+    wts = u.select("_x", "_y", *[F.when(F.col("_ok"), bootstrap_weights(F.col(f"_u{r}"), frac))
+                                 .otherwise(0).cast("double").alias(f"_w{r}") for r in range(reps)])
+    xs, ys = F.col("_x"), F.col("_y")
     aggs = []
     for r in range(reps):
-        w = F.when(both, bootstrap_weights(key, r, seed, frac)).otherwise(0).cast("double")
+        w = F.col(f"_w{r}")
         aggs += [F.sum(w).alias(f"w{r}"), F.sum(w * xs).alias(f"x{r}"), F.sum(w * ys).alias(f"y{r}"),
                  F.sum(w * xs * xs).alias(f"xx{r}"), F.sum(w * ys * ys).alias(f"yy{r}"),
                  F.sum(w * xs * ys).alias(f"xy{r}")]
-    wide = df.agg(*aggs)
+    wide = wts.agg(*aggs)
     stack = ", ".join(f"{r}, w{r}, x{r}, y{r}, xx{r}, yy{r}, xy{r}" for r in range(reps))
     long = wide.selectExpr(f"stack({reps}, {stack}) AS (rep, w, sx, sy, sxx, syy, sxy)")
     cov = F.col("sxy") / F.col("w") - (F.col("sx") / F.col("w")) * (F.col("sy") / F.col("w"))
     vx = F.col("sxx") / F.col("w") - F.pow(F.col("sx") / F.col("w"), 2)
     vy = F.col("syy") / F.col("w") - F.pow(F.col("sy") / F.col("w"), 2)
-    den = F.sqrt(vx * vy)
-    return long.select("rep", F.try_divide(cov, F.when(den > 0, den)).alias("r"))
+    # a constant replicate (or rounding below zero) gives a null r, not an error
+    return long.select("rep", F.when(vx * vy > 0, cov / F.sqrt(vx * vy)).alias("r"))
 
 
 def bootstrap_summary(reps: DataFrame) -> DataFrame:

@@ -70,9 +70,29 @@ def q_same_entity_corr(spark, sf_dir):
         "window_label", "r", "n")
 
 
-@query("bootstrap_corr", None, ids="D4")
+def _bootstrap_sql(reps: int = 20, frac: float = 0.7, seed: int = 42) -> str:
+    u = DR.replicate_uniform_sql("d.order_id", "g.rep", seed)
+    w = DR.bootstrap_weights_sql("u", frac)
+    return f"""
+SELECT avg(r) AS mean_r, stddev_pop(r) AS std_r, min(r) AS min_r, max(r) AS max_r, count(r) AS reps FROM (
+  SELECT rep, CASE WHEN vx * vy > 0 THEN cv / sqrt(vx * vy) END AS r FROM (
+    SELECT rep, sxy / sw - (sx / sw) * (sy / sw) AS cv, sxx / sw - pow(sx / sw, 2) AS vx,
+           syy / sw - pow(sy / sw, 2) AS vy FROM (
+      SELECT rep, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx,
+             sum(w * y * y) AS syy, sum(w * x * y) AS sxy FROM (
+        SELECT rep, x, y, CAST(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN {w} ELSE 0 END AS DOUBLE) AS w FROM (
+          SELECT g.rep, d.x, d.y, {u} AS u
+          FROM (SELECT order_id, CAST(seller_customer_distance_km AS DOUBLE) AS x,
+                       CAST(CAST(is_late AS INTEGER) AS DOUBLE) AS y
+                FROM c_wfull WHERE window_label = 'B') d,
+               (SELECT range AS rep FROM range({reps})) g))
+      GROUP BY rep)))"""
+
+
+@query("bootstrap_corr", _bootstrap_sql(), mart=True, extra=_EXTRA, rnd=R("mean_r", "std_r", "min_r", "max_r", d=6),
+       ids="D4")
 def q_bootstrap_corr(spark, sf_dir):
-    """Rows-only: replicate weights come from Spark's xxhash64, which the oracle lacks."""
+    """Replicate weights from an integer hash that the oracle restates in SQL."""
     w = windows(spark, sf_dir).where(F.col("window_label") == "B")
     reps = DR.bootstrap_corr(w, "order_id", "seller_customer_distance_km", "is_late", 20, 0.7, 42)
     return DR.bootstrap_summary(reps)

@@ -40,3 +40,28 @@ def test_guarded_corr_constant_and_null_pairs(spark):
     df2 = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.5), (None, 1.0)], "x double, y double")
     r = df2.agg(guarded_corr("x", "y")).first()[0]
     assert 0.99 < r <= 1.0
+
+
+def test_replicate_hash_spark_equals_sql_and_is_poisson(spark):
+    """The replicate uniform is the same integer hash in Spark and in the SQL oracle, and
+    the inverse-CDF weights have the Poisson(0.7) mean and variance."""
+    import duckdb
+    from pyspark.sql import functions as F
+    from ledgerlens.operators import drift as DR
+    keys = list(range(0, 2000)) + [2 ** 40 + 7, 2 ** 62, -5, -(2 ** 50)]
+    df = spark.createDataFrame([(k,) for k in keys], "order_id long")
+    got = {r["order_id"]: (r["u"], r["w"]) for r in df.select(
+        "order_id", DR.replicate_uniform("order_id", 3, 42).alias("u")).select(
+        "order_id", "u", DR.bootstrap_weights(F.col("u"), 0.7).alias("w")).collect()}
+    con = duckdb.connect()
+    con.execute("create table t(order_id bigint)")
+    con.executemany("insert into t values (?)", [(k,) for k in keys])
+    u_sql = DR.replicate_uniform_sql("order_id", "3", 42)
+    sql = f"select order_id, u, {DR.bootstrap_weights_sql('u', 0.7)} as w from (select order_id, {u_sql} as u from t)"
+    want = {k: (u, w) for k, u, w in con.execute(sql).fetchall()}
+    assert got == want
+    ws = [got[k][1] for k in range(2000)]
+    mean = sum(ws) / len(ws)
+    var = sum((w - mean) ** 2 for w in ws) / len(ws)
+    assert abs(mean - 0.7) < 0.07 and abs(var - 0.7) < 0.1
+    assert all(0.0 <= u < 1.0 for u, _ in got.values())
