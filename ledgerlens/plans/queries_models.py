@@ -106,9 +106,11 @@ def q_forest_delivery(spark, sf_dir):
 
 @query("model_compare", ids="E9 E8")
 def q_model_compare(spark, sf_dir):
-    a = PM.walk_forward(trimmed(spark, sf_dir), PM.wf_features(), "logit").withColumn("model", F.lit("logit"))
-    b = PM.walk_forward(trimmed(spark, sf_dir), PM.wf_features(True), "logit", with_stages=True) \
-        .withColumn("model", F.lit("logit_stage"))
+    base = trimmed(spark, sf_dir)
+    # the two walk-forwards are independent: both month loops run at once
+    a, b = M.run_parallel([lambda: PM.walk_forward(base, PM.wf_features(), "logit"),
+                           lambda: PM.walk_forward(base, PM.wf_features(True), "logit", with_stages=True)], 2)
+    a, b = a.withColumn("model", F.lit("logit")), b.withColumn("model", F.lit("logit_stage"))
     return result_summary(a.unionByName(b), "auc", by=["model"])
 
 
