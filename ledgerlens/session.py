@@ -16,6 +16,9 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # materialised intermediates (marts, range assignments, model inputs) are large at scale:
+    # delete a checkpoint from the shared folder once no DataFrame references it
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
