@@ -64,3 +64,18 @@ def test_parallel_fits_match_serial(spark):
         M.FIT_PARALLELISM = old
     assert abs(serial[1] - par[1]) < 1e-9
     assert sorted(map(tuple, serial[0].clusterCenters())) == sorted(map(tuple, par[0].clusterCenters()))
+
+
+def test_fit_pool_size_from_session_conf(spark):
+    """ledgerlens.fit.parallelism = 1 runs the fits serially on the calling thread."""
+    import threading
+    from ledgerlens.operators import models as M
+    me = threading.current_thread().name
+    try:
+        spark.conf.set(M.FIT_PARALLELISM_CONF, "1")
+        assert M.run_parallel([lambda: threading.current_thread().name] * 3) == [me] * 3
+        spark.conf.set(M.FIT_PARALLELISM_CONF, "3")
+        names = M.run_parallel([lambda: threading.current_thread().name] * 3)
+        assert me not in names
+    finally:
+        spark.conf.unset(M.FIT_PARALLELISM_CONF)
