@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, language, mixing, secrets, url_filter
+from ledgerlens.llm import bpe, language, mixing, near_dedup, secrets, url_filter
 from ledgerlens.llm.tables import read_table
 
 # The rules that op7 judges by.
@@ -39,6 +39,12 @@ def crc_class(doc_id, classes: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(classes))
 
 
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 3-word shingles and similarity 0.85."""
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of encoded and decoded text per document."""
