@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, language, mixing, near_dedup, secrets, url_filter
+from ledgerlens.llm import bpe, language, mixing, near_dedup, secrets, substrings, url_filter
 from ledgerlens.llm.tables import read_table
 
 # The rules that op7 judges by.
@@ -98,6 +98,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+@query("op8_substrings")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document less the 13-word windows that a smaller document holds."""
+    return (substrings.remove_repeats(read_table(spark, sf_dir, "documents"), k=13, texts=False)
+            .withColumnRenamed("kept", "kept_sha256"))
+
+
 @query("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest of the strong spans and all spans per document."""
