@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, language, mixing, near_dedup, secrets, substrings, url_filter
+from ledgerlens.llm import bpe, kd_search, language, lm_score, mixing, multi_index, near_dedup, secrets, substrings, url_filter
 from ledgerlens.llm.tables import read_table
 
 # The rules that op7 judges by.
@@ -83,6 +83,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"), seed=MIX_SEED)
 
 
+@query("op5_multi_index")
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector."""
+    return multi_index.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op6_kd_search", """
+WITH r AS (SELECT vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id IS NOT NULL),
+c AS (SELECT vec_id, d, floor(256 * x)::BIGINT AS x FROM r WHERE vec_id NOT IN (SELECT vec_id FROM r WHERE x IS NULL OR NOT isfinite(x))),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+      FROM c AS q JOIN c ON q.d = c.d WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
+QUALIFY rank <= 5""")
+def op6_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector."""
+    return kd_search.top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 @query("op7_url_filter", """
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id, COALESCE(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -113,3 +131,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", count("assign"), count("access"), count("hex"),
                     F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                     secrets.span_text(F.concat("base", "added")).alias("spans"))
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and bigram scores of every document; rows with a null id teach nothing and count as held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_class(F.col("doc_id"), 5) == 1, F.lit(True))
+    return (lm_score.score_documents(docs, docs.where(~held_out))
+            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
