@@ -106,7 +106,7 @@ def _search_pairs(pairs: DataFrame, k: int) -> DataFrame:
             for r in range(b.num_rows):
                 if b.column(0)[r].as_py() != shard:
                     shard = b.column(0)[r].as_py()
-                    tree = Tree(*block(b.column(2)[r].values))
+                    tree = Tree(*block(b.column(2)[r].values)[:2])
                 pack = b.column(1)[r].values
                 kth = pack.field("kth").fill_null(-np.inf).to_pylist()
                 names = np.asarray(pack.field("query_id")).astype(np.int64)

@@ -5,10 +5,11 @@ cell. A query orders the centroids of each half by distance (minus the inner pro
 the grid of pairs by summed distance with a heap, cell after cell, until the cells hold enough entries.
 The entries of those cells are reranked by the exact inner product of the original vectors.
 
-Fitting: k-means on a bounded sample. Indexing: every row is assigned to a cell. Cells are stored in
-blocks of about ``BLOCK`` entries, so a cell that holds a third of all rows is many blocks; queries are
-packed per cell in blocks too, and entry blocks meet query blocks in a join. What one pair of blocks
-returns are the ``k`` best per query, so nothing grows with a cell.
+Fitting: k-means on a bounded sample. Indexing: every row is assigned to a cell. Entries are stored by
+grid row (first centroid) in blocks of about ``BLOCK``, so a cell that holds a third of all rows is many
+blocks; queries are packed per grid row in blocks too, each with the cells it walked there, and entry
+blocks meet query blocks in a join. What one pair of blocks returns are the ``k`` best per query, so
+nothing grows with a cell.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ from ledgerlens.llm.vectors import block, merge_best, queries_of, usable
 #: Bound of the sample that the codebooks are fitted on: rows of least hash.
 SAMPLE = 20_000
 MAX_CENTROIDS = 256  # a half; the cell sizes (at most the square of it) go to every worker
-CELL = 128  # entries of a cell aimed at
+CELL = 5  # entries of a cell aimed at
 BLOCK = 512  # entries, and queries, of a block
 #: A query walks on until its cells hold this many times the root of the number of entries.
-PROBE = 64
+PROBE = 96
 
 
 def fit_codebooks(rows: DataFrame, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +39,9 @@ def fit_codebooks(rows: DataFrame, n: int, seed: int = 0) -> tuple[np.ndarray, n
     h = F.xxhash64("vec_id")
     share = min(1.0, 2.0 * SAMPLE / max(n, 1))
     some = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(h, "vec_id").limit(SAMPLE)
-    x = np.array([r["v"] for r in some.select("v").collect()], float)
-    k = int(np.clip(np.sqrt(n / CELL), 2, MAX_CENTROIDS))
+    v = some.select("v").toArrow().column("v").combine_chunks()
+    x = np.asarray(v.flatten()).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+    k = int(np.clip(np.sqrt(n / CELL), 4, MAX_CENTROIDS))
     cut = x.shape[1] // 2 if len(x) else 0
     return tuple(_kmeans(half, k, seed) for half in (x[:, :cut], x[:, cut:])) if len(x) else (np.zeros((1, 0)), np.zeros((1, 0)))
 
@@ -80,7 +83,7 @@ def walk(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, enough: int) -> list[i
 
 
 class MultiIndex:
-    """Codebooks, cell sizes and the table of entries (cell, vec_id, v)."""
+    """Codebooks, cell sizes and the table of entries (grid_row, grid_col, vec_id, v)."""
 
     def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"):
         rows = usable(vectors, id_col, vector_col, zero_ok=False)
@@ -92,46 +95,59 @@ class MultiIndex:
                 if b.num_rows:
                     x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
                     cut = books[0].shape[1]
-                    cell = nearest_centre(x[:, :cut], books[0]) * len(books[1]) + nearest_centre(x[:, cut:], books[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0), b.column(1)], ["cell", "vec_id", "v"])
+                    i, j = nearest_centre(x[:, :cut], books[0]), nearest_centre(x[:, cut:], books[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), b.column(0), b.column(1)],
+                                                     ["grid_row", "grid_col", "vec_id", "v"])
 
-        self.entries = written(arrow_map(rows, assign, "cell int, vec_id bigint, v array<double>"), "multi-index")
+        self.entries = written(arrow_map(rows, assign, "grid_row int, grid_col int, vec_id bigint, v array<double>"), "multi-index")
         self.sizes = np.zeros(len(books[0]) * len(books[1]), np.int64)
-        for r in self.entries.groupBy("cell").count().collect():
-            self.sizes[r["cell"]] = r["count"]
+        for r in self.entries.groupBy("grid_row", "grid_col").count().collect():
+            self.sizes[r["grid_row"] * len(books[1]) + r["grid_col"]] = r["count"]
 
     def search(self, queries: DataFrame, k: int = 20, probe: int = PROBE) -> DataFrame:
         """(query_id, rank, vec_id, score): per query (vec_id, v) the ``k`` nearest entries found, own id apart."""
         books, sizes = self.books, self.sizes
+        columns = len(books[1])
         enough = max(2 * k, int(probe * np.sqrt(self.n)))
 
         def visits(batches):
             for b in batches:
-                cells, row = [], []
+                out = {"grid_row": [], "row": [], "cols": []}
                 for i, v in enumerate(b.column(1)):
                     q = np.asarray(v.values)
-                    mine = walk(-(books[0] @ q[:books[0].shape[1]]), -(books[1] @ q[books[0].shape[1]:]), sizes, enough)
-                    cells += mine
-                    row += [i] * len(mine)
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), b.column(0).take(at), b.column(1).take(at)], ["cell", "query_id", "v"])
-
-        met = written(arrow_map(queries.select("vec_id", "v"), visits, "cell int, query_id bigint, v array<double>"), "multi-index-visits")
-        # at most one row per cell, and cells are bounded by the codebooks
-        per_cell = F.broadcast(met.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-        asked = (met.join(per_cell, "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.ceil(F.col("n") / BLOCK)))
-                 .groupBy("cell", "part").agg(F.collect_list(F.struct("query_id", "v")).alias("asked")))
-        held = F.broadcast(self.entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-        packs = (self.entries.join(held, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)))
-                 .groupBy("cell", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("entries")))
-        both = asked.join(packs, "cell").select("asked", "entries")
+                    cells = np.sort(np.array(walk(-(books[0] @ q[:books[0].shape[1]]), -(books[1] @ q[books[0].shape[1]:]), sizes, enough), np.int64))
+                    rows, first = np.unique(cells // columns, return_index=True)
+                    out["grid_row"] += rows.tolist()
+                    out["row"] += [i] * len(rows)
+                    out["cols"] += np.split((cells % columns).astype(np.int32), first[1:]) if len(rows) else []
+                at = pa.array(out["row"], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(out["grid_row"], pa.int32()), b.column(0).take(at), b.column(1).take(at),
+                                                  pa.array(out["cols"], pa.list_(pa.int32()))], ["grid_row", "query_id", "v", "cols"])
+
+        met = written(arrow_map(queries.select("vec_id", "v"), visits, "grid_row int, query_id bigint, v array<double>, cols array<int>"), "multi-index-visits")
+
+        def packed(rows: DataFrame, key: str, *fields: str) -> DataFrame:
+            # one count per grid row, and grid rows are bounded by the codebook
+            counts = F.broadcast(rows.groupBy("grid_row").agg(F.count(F.lit(1)).alias("n")))
+            return (rows.join(counts, "grid_row").withColumn("part", F.pmod(F.xxhash64(key), F.ceil(F.col("n") / BLOCK)))
+                    .groupBy("grid_row", "part").agg(F.collect_list(F.struct(key, *fields)).alias("pack")))
+
+        both = (packed(met, "query_id", "v", "cols").select("grid_row", F.col("pack").alias("asked"))
+                .join(packed(self.entries, "vec_id", "v", "grid_col").select("grid_row", F.col("pack").alias("entries")), "grid_row")
+                .select("asked", "entries"))
 
         def rerank(batches):
             for b in batches:
                 for r in range(b.num_rows):
-                    q_ids, q = block(b.column(0)[r].values, "query_id")
-                    ids, x = block(b.column(1)[r].values)
-                    yield _best(q_ids, ids, inner_products(q, x), k)
+                    asked, entries = b.column(0)[r].values, b.column(1)[r].values
+                    ids, x, order = block(entries)
+                    q_ids, q, q_order = block(asked, "query_id")
+                    walked = np.zeros((len(q_ids), columns), bool)
+                    cols = asked.field("cols")
+                    at = np.repeat(np.arange(len(q_ids)), np.asarray(pa.compute.list_value_length(cols)))
+                    walked[at, np.asarray(cols.flatten())] = True
+                    seen = walked[q_order][:, np.asarray(entries.field("grid_col"))[order]]
+                    yield _best(q_ids, ids, np.where(seen, inner_products(q, x), -np.inf), k)
 
         return merge_best(arrow_map(both, rerank, "query_id bigint, ids array<bigint>, scores array<double>"), k, "double")
 
@@ -146,10 +162,11 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _best(q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
     """Per query its k best of a block; ``ids`` ascend, so a stable sort leaves ties to the smaller id."""
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k + 1]
+    scores = np.where(q_ids[:, None] == ids[None, :], -np.inf, scores)
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     out_ids, out_scores = [], []
-    for i, q in enumerate(q_ids):
-        mine = order[i][ids[order[i]] != q][:k]
+    for i in range(len(q_ids)):
+        mine = order[i][scores[i, order[i]] > -np.inf]
         out_ids.append(ids[mine])
         out_scores.append(scores[i, mine])
     return pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))],

@@ -26,13 +26,13 @@ def queries_of(rows: DataFrame, every: int) -> DataFrame:
     return rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def block(pack: pa.Array, id_field: str = "vec_id") -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of a list of (id, v) structs, by ascending id."""
+def block(pack: pa.Array, id_field: str = "vec_id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, matrix, order) of a list of (id, v) structs, by ascending id; ``order`` are their places in the list."""
     ids = np.asarray(pack.field(id_field)).astype(np.int64)
     v = pack.field("v")
     matrix = np.asarray(v.flatten()).astype(float).reshape(len(ids), -1)
     order = np.argsort(ids, kind="stable")
-    return ids[order], matrix[order]
+    return ids[order], matrix[order], order
 
 
 def merge_best(found: DataFrame, k: int, score_type: str) -> DataFrame:
