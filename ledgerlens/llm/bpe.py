@@ -203,9 +203,9 @@ class Encoder:
     distinct unit. Other texts go through the pattern whole.
     """
 
-    def __init__(self, spec: str, form=None):
+    def __init__(self, spec: str, form):
         self.v = vocabulary(spec)
-        self.form = form or (lambda ids: ids)
+        self.form = form
         self.forms: dict = {}
         self.old: dict = {}
         self.pieces: dict = {}
@@ -307,12 +307,14 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     spec = _spec(vocab_path)
 
     def run(batches):
-        enc = worker_encoder("ids", spec, lambda v: None)
+        enc = worker_encoder("ids", spec, lambda v: lambda ids: np.array(ids, np.int32).tobytes())
         for b in batches:
-            ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(1).to_pylist()]
             for a, z in chunks(texts):
-                got = [[i for ids_ in forms for i in ids_] for forms in enc.encode(texts[a:z])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                raw = [b"".join(forms) for forms in enc.encode(texts[a:z])]
+                cuts = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), ids], ["doc_id", "ids"])
 
     rows = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     return arrow_map(rows, run, f"doc_id {id_type(rows)}, ids array<int>")

@@ -200,6 +200,27 @@ def predict_languages(docs: DataFrame, model: ContextTrees, id_col: str = "doc_i
     return arrow_map(rows, run, f"doc_id {id_type(rows)}, lang_pred string, score double, bits_per_byte double")
 
 
+def in_known_language(docs: DataFrame, model: ContextTrees, text_col: str = "text", most_bits: float = 8.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a language: not ``und``, and some language codes it in
+    fewer than ``most_bits`` bits a byte (plain bytes take 8)."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        m = _MODELS.setdefault(model.key, model)
+        step = max(1 << 16, (1 << 22) // max(1, len(m.langs)))
+        for b in batches:
+            texts, start, size = b.column(place).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size >= step or i == len(texts) - 1:
+                    scored = _scored(m, pa.nulls(i + 1 - start), texts[start:i + 1])
+                    keep = [x != "und" and r < most_bits for x, r in zip(scored.column(1).to_pylist(), scored.column(3).to_pylist())]
+                    yield b.slice(start, i + 1 - start).filter(pa.array(keep, pa.bool_()))
+                    start, size = i + 1, 0
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def _scored(m: ContextTrees, ids, texts: list) -> pa.RecordBatch:
     known = [i for i, t in enumerate(texts) if m.langs and t and has_letter(t)]
     pred, score, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)

@@ -89,20 +89,21 @@ def surviving(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np
 
 
 def set_signatures(docs: DataFrame, k: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig) per row; ``cls``, a 128-bit digest of the set, is null for an empty set."""
+    """(doc_id, text_key, n_shingles, cls, sig) per row; ``cls``, a 128-bit digest of the set, is null for an empty set."""
     def run(batches):
         for b in batches:
-            for first, end, data, offsets in text_chunks(b.column(1)):
+            for first, end, data, offsets in text_chunks(b.column(2)):
                 n, cls, sig = [], [], []
                 for s in shingle_sets(Words(data, offsets, lower=True), k):
                     n.append(len(s))
                     cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sig.append(signature(s, size).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                                                  pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], b.column(1)[first:end], pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
+                                                  pa.array(sig, pa.binary())], ["doc_id", "text_key", "n_shingles", "cls", "sig"])
 
-    rows = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
-    return arrow_map(rows, run, f"doc_id {id_type(rows)}, n_shingles bigint, cls binary, sig binary")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return arrow_map(rows, run, f"doc_id {id_type(rows)}, text_key bigint, n_shingles bigint, cls binary, sig binary")
 
 
 def class_sets(docs: DataFrame, needed: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -253,12 +254,13 @@ def _intersections(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 81
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_key, representative) per row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased; a set holds the distinct k-word
     shingles, or the whole sequence if it has fewer words. Documents with 100 * intersection >=
     ``percent`` * union are linked; ``component_id`` is the least doc_id that links reach, ``kept`` says
-    whether it is the row's own. Null and empty texts have no shingles and no links: they are kept.
+    whether it is the row's own. ``text_key`` is the XXH64 of the text; ``representative`` marks the rows of one
+    text per component (all rows without shingles). Null and empty texts have no shingles and no links: they are kept.
     Rows that repeat a doc_id are each returned; with different texts they are linked only through
     their texts. A null doc_id names no component: such a row takes that of its equals or near ones
     by equal set, else null. Other columns are not read. An empty table gives an empty result.
@@ -279,7 +281,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = cross_links(mixed.select("key", "band", "n", "v", "c", "sig", "shingles"), rows, percent, bounds)
     found = connected_components(written(links.unionByName(more).distinct(), "dedup-all-links"), "dedup-components")
     named = (classes.join(found, "v", "left")
-             .select(F.col("v.cls").alias("cls"), F.coalesce(F.col("component.rep"), F.col("v.rep")).alias("component_id")))
+             .select(F.col("v.cls").alias("cls"), F.coalesce("component", "v").alias("least"))
+             .select("cls", F.col("least.rep").alias("component_id"), (F.col("least.cls") == F.col("cls")).alias("least")))
     return (signed.drop("sig").join(named, "cls", "left")
             .withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select("doc_id", "n_shingles", "component_id", "kept", "text_key",
+                    (F.col("kept") & F.coalesce("least", F.lit(True))).alias("representative")))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less near duplicates: one row of each component, all its columns; rows without
+    shingles stay. Repeated rows of a representative become one."""
+    marked = near_duplicates(docs, k, percent, id_col, text_col).where("representative").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
+    staying = keyed.alias("d").join(marked.alias("m"), F.col(f"d.{id_col}").eqNullSafe(F.col("m._id")) & (F.col("d._key") == F.col("m._key")), "left_semi")
+    return staying.dropDuplicates([id_col, "_key"]).drop("_key")

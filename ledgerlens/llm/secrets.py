@@ -135,3 +135,14 @@ def masked_text(text, spans, mask: str = "[SECRET]"):
                 F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(F.lit(""))).alias("out"))))
     return F.when(F.size(spans) == 0, text).otherwise(
         F.concat(merged["out"], F.substring(text, merged["at"] + 1, F.length(text))))
+
+
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs``, all columns, with every strong and linked weak span of the text replaced by ``mask``."""
+    found = (scan_secrets(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat("base", "added").alias("_spans"))
+             .where(F.size("_spans") > 0).dropDuplicates(["_id", "_key"]))
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    masked = F.when(F.col("_spans").isNull(), text).otherwise(masked_text(text, F.col("_spans"), mask))
+    return joined.withColumn(text_col, masked).select(*docs.columns)

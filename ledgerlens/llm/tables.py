@@ -53,7 +53,7 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with this package importable on the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
