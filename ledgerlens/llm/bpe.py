@@ -343,7 +343,7 @@ def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
     spec = _spec(vocab_path)
 
     def form(v):
-        return lambda ids: ((",".join(map(str, ids)) + ",").encode(), decode_bytes(v, ids))
+        return lambda ids: ("".join(f"{i}," for i in ids).encode(), decode_bytes(v, ids))
 
     def run(batches):
         enc = worker_encoder("digest", spec, form)
