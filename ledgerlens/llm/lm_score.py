@@ -1,8 +1,8 @@
 """LM scoring with a log-frequency Bloom filter (operator 10).
 
 Training texts are counted as unigrams and bigrams over words and one end token per text (which is also
-the context of a text's first word). A count c is quantised to level 1 + floor(log c / log ``LOG_BASE``), and a
-gram of level q is put into the filter once with each of 1..q. A probe asks for 1, 2, ... until the
+the context of a text's first word). A count is quantised to a level (counts of a level are within a
+factor of ``LOG_BASE``, small counts have a level each), and a gram of level q is put into the filter once with each of 1..q. A probe asks for 1, 2, ... until the
 first miss, which gives the level back; levels are read as the middle of their counts. The score of a
 text is the sum of log10 P(w | v) with
 
@@ -30,7 +30,7 @@ from ledgerlens.llm.tables import arrow_map, id_type, written
 from ledgerlens.llm.text import Words, mix, text_chunks
 
 END = np.uint64(0x5A17E4D0E4D05A17)  # hash of the end token
-LOG_BASE = 1.5
+LOG_BASE = 1.2
 PROBES = 3
 PRIOR = 20.0
 MIN_BITS, MAX_BITS = 16, 29  # of a bit's number in the filter
@@ -38,7 +38,8 @@ SEGMENT_BYTES = 1 << 20  # of training text per segment
 TOP_WORDS = 1 << 18
 FLUSH_TOKENS = 1 << 22
 SCORE_BYTES = 1 << 22
-LEVELS = 120  # of counts up to 1.5^120
+#: The least count of each level, up to 10^18.
+LEVEL_EDGES = np.unique(np.ceil(LOG_BASE ** np.arange(0, 228) - 1e-9).astype(np.int64))
 # Odd multipliers that tell grams, levels and probes apart (fixed values of public hash functions).
 UNI, BI, STEP = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), 0x8EBC6AF09C88C6E3
 
@@ -59,13 +60,12 @@ def bigram_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
+    return np.searchsorted(LEVEL_EDGES, counts, side="right")
 
 
 def counts_of_levels() -> np.ndarray:
     """The middle of the counts of each level; level 0 is 0."""
-    edge = np.ceil(LOG_BASE ** np.arange(LEVELS + 1) - 1e-9)
-    return np.concatenate([[0.0], (edge[:-1] + np.maximum(edge[1:] - 1, edge[:-1])) / 2])
+    return np.concatenate([[0.0], (LEVEL_EDGES[:-1] + LEVEL_EDGES[1:] - 1) / 2, [float(LEVEL_EDGES[-1])]])
 
 
 class Filter:
@@ -94,7 +94,7 @@ class Filter:
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         base = self.segment(keys) << (self.bits - self.segments)
-        for j in range(1, LEVELS + 1):
+        for j in range(1, len(LEVEL_EDGES) + 1):
             for i in range(PROBES):
                 at = base[alive] + self.place(keys[alive], j, i)
                 alive = alive[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
