@@ -7,8 +7,9 @@
 3. Candidate pairs are compared in batches of signature values. After n values with m matches the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair goes as soon as the probability that
    it reaches the threshold is below ``miss``. Survivors are verified on their full shingle sets.
-4. Links join classes into components. Buckets that still hold several components are searched on,
-   class against class of another component, in blocks; links found there close the components.
+4. Links join classes into components. Buckets whose classes beside the star's centre still lie in
+   several components are searched on, class against class of another component, in blocks; links
+   found there close the components.
 
 A link can only be missed by banding ((1 - s^rows)^bands at similarity s: under 1e-4 at 0.8 and
 1e-6 at 0.85 with the defaults) or by a pruned pair (``miss`` each). Nothing is capped.
@@ -108,9 +109,11 @@ def set_signatures(docs: DataFrame, k: int, size: int, id_col: str, text_col: st
 
 def class_sets(docs: DataFrame, needed: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(v, shingles): the full sets of the needed classes, read from one document of each."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     wanted = needed.select("v", F.col("v.rep").alias("doc_id"))
-    texts = rows.join(wanted, "doc_id").select("v", "text")
+    # repeated rows go while the join's partitioning by doc_id still holds
+    texts = rows.join(wanted, "doc_id").dropDuplicates(["doc_id", "text_key", "v"]).select("v", "text")
 
     def run(batches):
         for b in batches:
@@ -121,7 +124,7 @@ def class_sets(docs: DataFrame, needed: DataFrame, k: int, id_col: str, text_col
                 batch = pa.RecordBatch.from_arrays([v, pa.array(sets, pa.binary())], ["v", "shingles"])
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(texts, run, f"v {wanted.schema['v'].dataType.simpleString()}, shingles binary").dropDuplicates(["v"])
+    return arrow_map(texts, run, f"v {wanted.schema['v'].dataType.simpleString()}, shingles binary")
 
 
 def pruned(pairs: DataFrame, sigs: DataFrame, bounds) -> DataFrame:
@@ -275,7 +278,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = written(class_sets(docs, members.select("v").distinct(), k, id_col, text_col), "dedup-sets")
     stars = pruned(members.where("v <> leader").select(F.col("leader").alias("u"), "v").distinct(), classes, bounds)
     links = written(verified(stars, sets, percent), "dedup-links")
-    joined = members.join(connected_components(links, "dedup-stars"), "v", "left").select("key", "band", "v", F.coalesce("component", "v").alias("c"))
+    # the star's centre has been compared with all others; what is left are the others among each other
+    joined = members.where("v <> leader").join(connected_components(links, "dedup-stars"), "v", "left").select("key", "band", "v", F.coalesce("component", "v").alias("c"))
     open_keys = joined.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "n")
     mixed = joined.join(open_keys, "key").join(classes, "v").join(sets, "v")
     more = cross_links(mixed.select("key", "band", "n", "v", "c", "sig", "shingles"), rows, percent, bounds)
