@@ -67,9 +67,14 @@ def match_pairs(df: DataFrame, id_col: str, treat: str, score: str, by: Sequence
 
 
 def pair_values(pairs: DataFrame, df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
-    """Attach ``cols`` of the treated row (``t_``) and of the matched control (``c_``)."""
+    """Attach ``cols`` of the treated row (``t_``) and of the matched control (``c_``).
+
+    Many treated rows share one control (the lowest id of a score): the values of the distinct
+    controls are looked up once and are the small side of the second join.
+    """
     tv = df.select(F.col(id_col).alias("treated_id"), *[F.col(c).alias(f"t_{c}") for c in cols])
-    cv = df.select(F.col(id_col).alias("control_id"), *[F.col(c).alias(f"c_{c}") for c in cols])
+    used = pairs.select("control_id").where(F.col("control_id").isNotNull()).distinct()
+    cv = df.select(F.col(id_col).alias("control_id"), *[F.col(c).alias(f"c_{c}") for c in cols]).join(used, "control_id")
     return pairs.join(tv, "treated_id", "left").join(cv, "control_id", "left")
 
 

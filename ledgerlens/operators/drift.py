@@ -46,17 +46,20 @@ def window_compare(corr: DataFrame, window: str, a: str, b: str) -> DataFrame:
                     (F.signum(F.col(a)) * F.signum(F.col(b)) < 0).alias("sign_flip"))
 
 
-def poisson_cdf(lam: float, kmax: int = 12) -> list[float]:
-    """Cumulative P(K <= k) for k = 0..kmax (computed from the formula, not tabulated)."""
-    out, p, c = [], math.exp(-lam), 0.0
-    for k in range(kmax + 1):
+def poisson_cdf(lam: float) -> list[float]:
+    """Cumulative P(K <= k) for k = 0, 1, ... until the rest of the mass is below a double's
+    grain (2^-53): no draw is cut off, whatever the mean (below 700, where exp underflows)."""
+    out, p, c, k = [], math.exp(-lam), 0.0, 0
+    while k <= lam or p > 2.0 ** -53:
         c += p
         out.append(c)
-        p = p * lam / (k + 1)
+        k += 1
+        p = p * lam / k
     return out
 
 
-# Fixed values of the replicate hash (must stay as written for oracle parity): integer
+# Fixed values of the replicate hash (must stay as written for oracle parity): the key's MD5
+# gives two 28-bit numbers, so keys of any type work and 2^56 keys are told apart; then integer
 # arithmetic mod the prime 2^31 - 1 with the MINSTD multipliers 48271 and 16807, offsets
 # 1000003 (seed) and 7919 (replicate); every intermediate product stays below 2^62, so the
 # same values come out of any engine with 64-bit integers.
@@ -66,20 +69,26 @@ HASH_STEPS = (("mul", 48271), ("square", 12345), ("mul", 16807), ("square", 5432
 
 
 def replicate_uniform(key: str, rep: int, seed: int) -> Column:
-    """u in [0, 1) from (key, rep, seed): an offset, then multiply / square-add rounds mod p."""
+    """u in [0, 1) from (key, rep, seed): an offset, then multiply / square-add rounds mod p;
+    the key's second number enters between the rounds."""
     m = HASH_MOD
-    x = F.pmod(F.col(key).cast("long"), F.lit(m)) + F.lit((seed * HASH_SEED_MUL + rep * HASH_REP_MUL) % m)
-    for kind, c in HASH_STEPS:
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    part = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
+    x = part(1) + F.lit((seed * HASH_SEED_MUL + rep * HASH_REP_MUL) % m)
+    for i, (kind, c) in enumerate(HASH_STEPS):
         x = (x * x + F.lit(c)) % m if kind == "square" else (x * F.lit(c)) % m
+        x = x + part(8) if i == 1 else x
     return x.cast("double") / F.lit(float(m))
 
 
 def replicate_uniform_sql(key: str, rep: str, seed: int) -> str:
     """The same hash as a SQL expression (``rep`` is a SQL integer expression)."""
     m = HASH_MOD
-    x = f"((({key}) % {m} + {m}) % {m} + ({seed * HASH_SEED_MUL % m} + ({rep}) * {HASH_REP_MUL}) % {m})"
-    for kind, c in HASH_STEPS:
+    part = lambda at: f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), {at}, 7) AS BIGINT)"
+    x = f"({part(1)} + ({seed * HASH_SEED_MUL % m} + ({rep}) * {HASH_REP_MUL}) % {m})"
+    for i, (kind, c) in enumerate(HASH_STEPS):
         x = f"(({x} * {x} + {c}) % {m})" if kind == "square" else f"(({x} * {c}) % {m})"
+        x = f"({x} + {part(8)})" if i == 1 else x
     return f"(CAST({x} AS DOUBLE) / CAST({m} AS DOUBLE))"
 
 

@@ -1,7 +1,8 @@
 """Entity feature builders: A7 A9 A13 A15 A16 A20 M6 M7 M8 M13 M14 J3 J4 J8 J10.
 
-Every builder pre-aggregates the many-side (items, payments, reviews) on its key before
-joining, so no join fans out, and every aggregate is partial/final (map-side combine), so a
+Order-level builders pre-aggregate the many-side (items, payments) on its key before joining;
+person-level means need every item, payment and review once, so these meet the bridge on
+``order_id`` (spread, never a category or person key). Every aggregate is partial/final (map-side combine), so a
 hot key is reduced before the shuffle. "First in row order" is ``min_by`` over an explicit
 ordering struct, never ``first()`` (which depends on shuffle order).
 """
@@ -55,14 +56,13 @@ def item_enrichment(items: DataFrame, products: DataFrame, translation: DataFram
     p = products.select("product_id", "product_category_name", "product_weight_g",
                         (F.col("product_length_cm") * F.col("product_height_cm") * F.col("product_width_cm"))
                         .alias("volume_cm3"))
-    out = items.join(p, "product_id", "left")
+    cat = F.col("product_category_name")
     if translation is not None:
-        out = out.join(translation.select("product_category_name", "product_category_name_english"),
-                       "product_category_name", "left")
-        cat = F.coalesce(F.col("product_category_name_english"), F.col("product_category_name"))
-    else:
-        cat = F.col("product_category_name")
-    return out.withColumn("category_en", cat)
+        # translate the product dimension, never the item facts: a category is a hot key
+        p = p.join(translation.select("product_category_name", "product_category_name_english"),
+                   "product_category_name", "left")
+        cat = F.coalesce(F.col("product_category_name_english"), cat)
+    return items.join(p.withColumn("category_en", cat), "product_id", "left")
 
 
 def order_rollup(items: DataFrame, products: DataFrame, translation: DataFrame | None,
@@ -215,9 +215,13 @@ def _as_of_cutoffs(per: DataFrame, entity: str, period: str, sums: Sequence[str]
     w = Window.partitionBy(entity).orderBy(period)
     run = per.select(entity, period, F.lead(period).over(w).alias("_next"),
                      *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in sums])
-    cut = F.broadcast(cutoffs.select(F.col(cutoffs.columns[0]).alias("cutoff")).distinct())  # calendar-bounded
-    cond = (F.col(period) < F.col("cutoff")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("cutoff")))
-    return run.join(cut, cond, "inner").select("cutoff", entity, *sums)
+    col = cutoffs.columns[0]
+    kind = cutoffs.schema[col].dataType
+    # the sorted cutoffs are months (calendar-bounded): each row explodes its own slice of them
+    values = sorted(r[0] for r in cutoffs.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    cuts = F.array(*[F.lit(str(v)).cast(kind) for v in values]).cast(f"array<{kind.simpleString()}>")
+    mine = F.filter(cuts, lambda c: (c > F.col(period)) & (F.col("_next").isNull() | (c <= F.col("_next"))))
+    return run.withColumn("cutoff", F.explode(mine)).select("cutoff", entity, *sums)
 
 
 def stats_at_cutoff(df: DataFrame, entity: str, label: str, period: str, cutoffs: DataFrame,

@@ -3,8 +3,8 @@
 No cross join, no single-partition sort:
 
 1. controls collapse to their distinct scores, keeping the lowest control id per score
-   (T20 tie rule); treated rows collapse to distinct scores too (joined back at the end, so
-   many equal treated scores never pile into one task);
+   (T20 tie rule); treated rows collapse to distinct scores too and are joined back at the
+   end (a score that many rows share is a skewed key there, which AQE splits);
 2. the union of both is range-partitioned on (by, score) and checkpointed;
 3. inside each range partition a running ``last`` (preceding frame) / ``first`` (following
    frame) of the control struct gives the nearest control at-or-below / at-or-above;
@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import null_safe_join
 from ledgerlens.session import ensure_checkpoint_dir
 
 
@@ -49,19 +50,18 @@ def nearest_join(treated: DataFrame, control: DataFrame, id_col: str, score: str
 
     # carry-in across range partitions: table of (by, partition) -> extreme controls
     ext = u.where(F.col("_kind") == 0).groupBy(*by, "_rp").agg(
-        F.max(F.struct(F.col("_s").alias("s"), (-F.col("_cid")).alias("nid"), F.col("_cid").alias("id"))).alias("_mx"),
+        F.min_by(F.struct(F.col("_s").alias("s"), F.col("_cid").alias("id")), F.struct(-F.col("_s"), F.col("_cid"))).alias("_mx"),
         F.min(F.struct(F.col("_s").alias("s"), F.col("_cid").alias("id"))).alias("_mn"))
     parts = u.select(*by, "_rp").distinct()
-    ext = parts.join(ext, by + ["_rp"], "left")
+    ext = null_safe_join(parts, ext, by + ["_rp"])
     wp = Window.partitionBy(*by).orderBy("_rp")
     carry = ext.select(*by, "_rp",
-                       F.last(F.when(F.col("_mx").isNotNull(), F.struct(F.col("_mx.s").alias("s"), F.col("_mx.id").alias("id"))),
-                              ignorenulls=True)
+                       F.last(F.col("_mx"), ignorenulls=True)
                        .over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("_cb"),
                        F.first(F.col("_mn"), ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing)).alias("_ca"))
     carry = F.broadcast(carry) if not by else carry  # n_parts rows when ungrouped
 
-    j = inpart.join(carry, by + ["_rp"], "left")
+    j = null_safe_join(inpart, carry, by + ["_rp"])
     below = F.coalesce(F.col("_bl"), F.col("_cb"))
     above = F.coalesce(F.col("_ab"), F.col("_ca"))
     j = j.select(*by, "_s", below.alias("b"), above.alias("a"))

@@ -28,11 +28,19 @@ def _n_parts(df: DataFrame, n_parts: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` where null equals null (a null group is a group)."""
+    r = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys]
+    return left.join(r, cond, "left").drop(*[f"_j_{k}" for k in keys])
+
+
 def running_totals(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
                    by: Sequence[str] = (), n_parts: int | None = None,
-                   prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_", totals: str | None = None) -> DataFrame:
     """Add ``{prefix}{v}``: sum of ``v`` over all rows strictly before this row in
-    (``by``, ``order_cols``) order, restarting per ``by`` group.
+    (``by``, ``order_cols``) order, restarting per ``by`` group; with ``totals`` also
+    ``{totals}{v}``, the group's sum.
 
     ``order_cols`` must make the order total within a group for a row-exact result.
     """
@@ -48,12 +56,14 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
     tot = r.groupBy(*by, "_rp").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     wo = Window.partitionBy(*by).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_rp", *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
-                                    for v in value_cols])
+                                    for v in value_cols],
+                      *[F.sum(f"_t_{v}").over(Window.partitionBy(*by)).alias(f"_n_{v}") for v in value_cols])
     wi = Window.partitionBy(*by, "_rp").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     inner = r.select("*", *[F.coalesce(F.sum(v).over(wi), F.lit(0)).alias(f"_i_{v}") for v in value_cols])
     offs = F.broadcast(offs) if not by else offs  # n_parts rows when ungrouped
-    j = inner.join(offs, by + ["_rp"], "left")
-    return j.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_i_{v}")).alias(f"{prefix}{v}") for v in value_cols])
+    j = null_safe_join(inner, offs, by + ["_rp"])
+    return j.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_i_{v}")).alias(f"{prefix}{v}") for v in value_cols],
+                    *([F.col(f"_n_{v}").alias(f"{totals}{v}") for v in value_cols] if totals else []))
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (), name: str = "row_idx",
@@ -68,26 +78,26 @@ def row_index(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (),
 def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), n_parts: int | None = None,
                     weight: str | None = None) -> DataFrame:
     """Distinct values of ``col`` (non-null) with their count and the number of rows
-    before them: (by..., value, cnt, before). Hot values collapse in the partial
-    aggregate before any ordering work."""
+    before them: (by..., value, cnt, before, total). Hot values collapse in the partial
+    aggregate before any ordering work; ``total`` is the group's count."""
     by = list(by)
     w = F.sum(weight) if weight else F.count(F.lit(1))
     g = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(w.cast("long").alias("cnt"))
-    return running_totals(g, ["value"], ["cnt"], by, n_parts, prefix="_b_").withColumnRenamed("_b_cnt", "before")
+    out = running_totals(g, ["value"], ["cnt"], by, n_parts, prefix="_b_", totals="_a_")
+    return out.withColumnRenamed("_b_cnt", "before").withColumnRenamed("_a_cnt", "total")
 
 
 def chrono_split(df: DataFrame, ts: str, frac: float = 0.8, n_parts: int | None = None):
     """Sort by ``ts``; split_ts = ts of row ``int(n * frac)``; train ``ts < split_ts``,
     test ``ts >= split_ts`` (a whole tie goes to test, T8).
 
-    Returns ``(split_ts, n_rows)``; the caller filters with a literal, which pushes down
-    to the Parquet scan.
+    Returns ``(split_ts, n_rows)``; the caller compares with a literal.
     """
-    n = df.where(F.col(ts).isNotNull()).count()
+    vp = value_positions(df, ts, n_parts=n_parts)
+    n = int(vp.agg(F.sum("cnt")).first()[0] or 0)
     if n == 0:
         return None, 0
     pos = int(n * frac)
-    vp = value_positions(df, ts, n_parts=n_parts)
     row = vp.where((F.col("before") <= pos) & (F.col("before") + F.col("cnt") > pos)).select("value").first()
     return row["value"], n
 
@@ -120,20 +130,16 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     by = list(by)
     x = df.select(*by, F.col(col).cast("double").alias("_x"))
     vp = value_positions(x, "_x", by, n_parts)
-    n = vp.groupBy(*by).agg(F.sum("cnt").alias("_n"))
-    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    targets = n.select(*by, "_n", ps).select(
-        *by, "p", "_n", (F.col("p") * (F.col("_n") - 1)).alias("_h"))
-    targets = targets.select(*by, "p", "_h", F.floor("_h").cast("long").alias("_lo"),
-                             F.ceil("_h").cast("long").alias("_hi"))
-    tl = targets.select(*by, "p", "_h", "_lo", F.explode(F.array("_lo", "_hi")).alias("_pos")).distinct()
-    vpr = vp.select(*[F.col(b).alias(f"_v_{b}") for b in by], F.col("value").alias("_val"),
-                    F.col("before").alias("_bef"), F.col("cnt").alias("_cnt"))
-    cond = [F.col(b).eqNullSafe(F.col(f"_v_{b}")) for b in by] + [
-        F.col("_bef") <= F.col("_pos"), F.col("_bef") + F.col("_cnt") > F.col("_pos")]
-    tl = F.broadcast(tl) if not by else tl  # at most 2 * len(probs) rows when ungrouped
-    hit = tl.join(vpr, cond, "inner").select(*by, "p", "_h", "_lo", "_pos", F.col("_val").alias("value"))
-    # range join above matches exactly one distinct value per target position
+    # every value row knows its group's total, so it finds the targets it holds by itself: no
+    # join on the group, which may be as few as the described columns
+    target = lambda p: F.struct(p.alias("p"), (p * (F.col("total") - 1)).alias("_h"),
+                                F.floor(p * (F.col("total") - 1)).cast("long").alias("_lo"),
+                                F.ceil(p * (F.col("total") - 1)).cast("long").alias("_hi"))
+    targets = F.transform(F.array(*[F.lit(float(p)) for p in probs]), target)
+    both = F.flatten(F.transform(targets, lambda t: F.array_distinct(F.array(
+        *[F.struct(t["p"].alias("p"), t["_h"].alias("_h"), t["_lo"].alias("_lo"), t[e].alias("_pos")) for e in ("_lo", "_hi")]))))
+    held = F.filter(both, lambda t: (F.col("before") <= t["_pos"]) & (F.col("before") + F.col("cnt") > t["_pos"]))
+    hit = vp.select(*by, "value", F.explode(held).alias("_t")).select(*by, "value", "_t.*")
     agg = hit.groupBy(*by, "p", "_h", "_lo").agg(
         F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("value"))).alias("_vlo"),
         F.max(F.when(F.col("_pos") != F.col("_lo"), F.col("value"))).alias("_vhi"))
@@ -163,7 +169,7 @@ def quantile_bins(df: DataFrame, col: str, labels: Sequence[str], by: Sequence[s
     k = len(labels)
     edges = quantile_edges(x, "_qv", k, by)
     if by:
-        j = x.join(edges, by, "left")
+        j = null_safe_join(x, edges, by)
         e = [F.col(f"e{i}") for i in range(1, k)]
     else:  # one row of k-1 edges: bound as literals (no cross join)
         row = edges.first()

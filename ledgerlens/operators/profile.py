@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordering import exact_quantiles
+from ledgerlens.operators.ordering import exact_quantiles, null_safe_join
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = (), normalize: bool = True) -> DataFrame:
@@ -21,8 +21,8 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = (), normalize: boo
     if by:
         tot = cnt.groupBy(*by).agg(F.sum("n").alias("_t"))
         return cnt.join(tot, by, "inner").select(*by, "value", "n", (F.col("n") / F.col("_t")).alias("share"))
-    total = base.count()
-    return cnt.select("value", "n", (F.col("n") / F.lit(float(total) if total else None)).alias("share"))
+    total = cnt.agg(F.sum("n").alias("_t"))  # one row
+    return cnt.join(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
 def unpivot_columns(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
@@ -52,7 +52,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact:
     q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys)
     qw = q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
                                 for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return stats.join(qw, keys, "left").select(*keys, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return null_safe_join(stats, qw, keys).select(*keys, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def rate_by(df: DataFrame, dim: str | Sequence[str], flag: str, min_n: int = 0,
@@ -77,18 +77,17 @@ def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
 def segment_profile(df: DataFrame, segment: str, cols: Sequence[str]) -> DataFrame:
     """Per segment: size, size share in percent and the mean of each column."""
     base = df.where(F.col(segment).isNotNull())
-    total = base.count()
-    return base.groupBy(segment).agg(F.count(F.lit(1)).alias("size"),
-                                     *[F.avg(c).alias(f"mean_{c}") for c in cols]) \
-        .withColumn("size_pct", F.col("size") * 100.0 / F.lit(float(total) if total else None))
+    sizes = base.groupBy(segment).agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(f"mean_{c}") for c in cols])
+    total = sizes.agg(F.sum("size").alias("_t"))  # one row
+    return sizes.join(F.broadcast(total)).withColumn("size_pct", F.col("size") * 100.0 / F.col("_t")).drop("_t")
 
 
 def orders_per_entity(bridge: DataFrame, entity: str = "customer_unique_id", order: str = "order_id") -> DataFrame:
     """A10: distribution of distinct orders per entity: (orders_per_customer, customers, share)."""
     per = bridge.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.countDistinct(order).alias("k"))
     dist = per.groupBy(F.col("k").alias("orders_per_customer")).agg(F.count(F.lit(1)).alias("customers"))
-    tot = per.count()
-    return dist.withColumn("share", F.col("customers") / F.lit(float(tot) if tot else None))
+    total = dist.agg(F.sum("customers").alias("_t"))  # one row
+    return dist.join(F.broadcast(total)).withColumn("share", F.col("customers") / F.col("_t")).drop("_t")
 
 
 def repeat_rate(bridge: DataFrame, entity: str = "customer_unique_id", order: str = "order_id") -> DataFrame:

@@ -8,20 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DUMMY_VALUES = 1000  # one-hot is only meaningful for a bounded category domain
 
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct non-null values of a column whose values become columns.
 
-def distinct_values(df: DataFrame, col: str, limit: int = MAX_DUMMY_VALUES) -> list:
-    """Sorted distinct non-null values of a low-cardinality column, size-checked.
-
-    The distinct set is computed on the executors (partial aggregation); only up to
-    ``limit + 1`` values travel to the driver, and more than ``limit`` is an error rather
-    than a silent truncation.
+    The distinct set is computed on the executors (partial aggregation). What travels is as
+    large as the result's schema; models use ``models.category_vector`` instead, which keeps
+    a category of any size in one sparse column.
     """
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{col} has more than {limit} distinct values; not a one-hot domain")
-    return sorted(vals)
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
 def dummy_name(prefix: str, value) -> str:

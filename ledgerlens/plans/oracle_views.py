@@ -35,7 +35,7 @@ c_payments AS (
               WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'debit_card' END AS payment_type,
          CAST(1 + l_quantity % 10 AS INTEGER) AS payment_installments,
          l_extendedprice * (1 - l_discount) AS payment_value
-  FROM lineitem WHERE l_linenumber <= 3),
+  FROM lineitem),
 c_reviews AS (
   SELECT event_id AS review_id, (event_id - event_id % 4) * 2 + event_id % 3 AS order_id,
          CAST(1 + CAST(floor(value) AS BIGINT) % 5 AS INTEGER) AS review_score,

@@ -13,7 +13,8 @@ from ledgerlens.plans.oracle_views import CUSTOMER
 from ledgerlens.plans.queries_base import T, mart
 from ledgerlens.plans.registry import R, query
 
-_CUST_DOUBLES = R("avg_freight_ratio", "avg_installments", "avg_review_score") | R("monetary", d=4)
+# the ratio is a mean of two-decimal taxes: at 6 decimals it may end on a half, which summation order decides
+_CUST_DOUBLES = R("avg_freight_ratio", d=9) | R("avg_installments", "avg_review_score") | R("monetary", d=4)
 
 
 @query("orders_per_customer", """
@@ -65,7 +66,7 @@ FROM c_ready
 def q_payment_dummies(spark, sf_dir):
     df = S.clustering_ready(T(spark, sf_dir))
     return df.select("customer_unique_id", "preferred_payment_type", "monetary_log", "avg_freight_ratio_log",
-                     *[f"payment_{v}" for v in S.PAYMENT_TYPES])
+                     *[c for c in df.columns if c.startswith("payment_")])
 
 
 _CATS = ["economy", "large", "medium", "small", "standard", "unknown", "PROMO"]

@@ -11,7 +11,6 @@ from ledgerlens.sources.tables import Tables
 # the six behavioural features of the final segmentation (fixed list)
 FINAL_CLUSTER_FEATURES = ["recency_days", "monetary_log", "category_diversity",
                           "avg_freight_ratio_log", "avg_installments", "avg_review_score"]
-PAYMENT_TYPES = ["boleto", "credit_card", "debit_card", "voucher"]
 
 
 def customer_table(t: Tables) -> DataFrame:
@@ -19,4 +18,5 @@ def customer_table(t: Tables) -> DataFrame:
 
 
 def clustering_ready(t: Tables) -> DataFrame:
-    return cluster_ready(customer_table(t), payment_values=PAYMENT_TYPES)
+    """Payment types come from the data (one dummy column each)."""
+    return cluster_ready(customer_table(t))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 TABLE_NAMES = ("customers", "orders", "order_items", "payments", "reviews", "products",
                "sellers", "geolocation", "category_translation")
 
+MULTILINE_TABLES = ("reviews",)
+
 _S, _D, _I, _TS = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampNTZType()
 
 
@@ -67,13 +69,14 @@ def load_csv_tables(spark: SparkSession, paths: dict[str, str],
                     timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> Tables:
     """Read the nine CSV files with declared schemas.
 
-    Review comments contain embedded newlines, hence ``multiLine``; timestamps are parsed
+    Review comments contain embedded newlines, hence ``multiLine`` for that table alone (such
+    a file is one task; all others are split); timestamps are parsed
     once at load into TIMESTAMP_NTZ (unparseable -> null in PERMISSIVE mode).
     """
     dfs = {}
     for name in TABLE_NAMES:
         dfs[name] = (spark.read.schema(COMMERCE_SCHEMAS[name])
-                     .option("header", True).option("multiLine", True)
+                     .option("header", True).option("multiLine", name in MULTILINE_TABLES)
                      .option("escape", '"').option("mode", "PERMISSIVE")
                      .option("timestampNTZFormat", timestamp_format)
                      .csv(paths[name]))
