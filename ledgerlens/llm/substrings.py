@@ -7,13 +7,15 @@ runs are shuffled, by anchor:
 
 1. A run whose whole word sequence already starts in a document with a smaller id is repeated as one
    piece. Of each distinct run only the first document goes on.
-2. Where different runs meet at one anchor, the windows inside their first occurrences are compared
-   window by window. Each window then knows its source: first document and position.
+2. Where different runs meet at one anchor with the same words before or after it (a shared window
+   has at least ``side`` of them on one side), the windows inside their first occurrences are compared window
+   by window. Each window then knows its source: first document and position.
 3. In each document, consecutive repeated windows whose sources are consecutive too are one path; a
    path ends where the graph branches. Paths are joined to their source documents, and a span
    counts only if the words at its source coordinates are the words of the span.
 
-Text is shuffled once, and again for documents that take part in a repeat. Rows of a passage that
+Text is shuffled once; documents that take part in a repeat are then kept in buckets by id, so that
+later joins move only runs, windows and paths. Rows of a passage that
 many documents share spread over its anchors; a document sends each distinct run once.
 """
 
@@ -27,10 +29,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import arrow_map, id_type, written
+from ledgerlens.llm.tables import arrow_map, id_type, written, written_by_key
 from ledgerlens.llm.text import Words, mix, powers, text_chunks, window_hashes
 
-ANCHOR = 5
+ANCHOR = 4
 
 
 class Runs:
@@ -61,6 +63,12 @@ class Runs:
         self.anchor = least[self.first]
         self.hash = _sequence_hashes(words.hashes, self.first, self.count + k - 1)
         self.position = self.first - words.offsets[self.row]
+        side = -(-(k - anchor_words) // 2)
+        low, high = words.offsets[self.row], words.offsets[self.row + 1]
+        before, after = at[self.first] - side, at[self.first] + anchor_words
+        #: Hash of the ``side`` words before and after the anchor; null where the document has fewer.
+        self.sides = [pa.array(_sequence_hashes(words.hashes, np.where(known, start, 0), np.where(known, side, 0)).astype(np.uint32).view(np.int32), mask=~known)
+                      for start, known in ((before, before >= low), (after, after + side <= high))]
 
 
 def _sequence_hashes(hashes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -70,7 +78,8 @@ def _sequence_hashes(hashes: np.ndarray, first: np.ndarray, length: np.ndarray)
 
 
 def document_runs(rows: DataFrame, k: int) -> DataFrame:
-    """(anchor, run, doc_id, pos): each distinct run of each document, at its first position there."""
+    """(anchor, run, doc_id, pos, before, after): each distinct run of each document, at its first position
+    there, with hashes of the words beside its anchor."""
     def run(batches):
         for b in batches:
             for first, end, data, offsets in text_chunks(b.column(1)):
@@ -80,21 +89,27 @@ def document_runs(rows: DataFrame, k: int) -> DataFrame:
                 keep = np.sort(order[np.concatenate([[True], ~same])]) if len(order) else order
                 ids = b.column(0).slice(first, end - first).take(pa.array(r.row[keep]))
                 yield pa.RecordBatch.from_arrays([pa.array(r.anchor[keep].view(np.int64)), pa.array(r.hash[keep].view(np.int64)), ids,
-                                                  pa.array(r.position[keep].astype(np.int32))], ["anchor", "run", "doc_id", "pos"])
+                                                  pa.array(r.position[keep].astype(np.int32)), *(s.take(pa.array(keep)) for s in r.sides)],
+                                                 ["anchor", "run", "doc_id", "pos", "before", "after"])
 
-    return arrow_map(rows, run, f"anchor bigint, run bigint, doc_id {id_type(rows)}, pos int")
+    return arrow_map(rows, run, f"anchor bigint, run bigint, doc_id {id_type(rows)}, pos int, before int, after int")
 
 
 def repeated_runs(runs: DataFrame) -> DataFrame:
     """(doc_id, found): per document that takes part in a repeat, its repeated runs with their sources
     (src_doc, src_pos), and with a null source the runs that must be compared window by window."""
-    by_run, by_anchor = Window.partitionBy("anchor", "run"), Window.partitionBy("anchor")
-    seen = (runs.repartition("anchor")
-            .withColumn("src", F.min(F.struct("doc_id", "pos")).over(by_run)).withColumn("last", F.max("doc_id").over(by_run))
-            .withColumn("low", F.min("run").over(by_anchor)).withColumn("high", F.max("run").over(by_anchor))
-            .withColumn("low_doc", F.min("doc_id").over(by_anchor)).withColumn("high_doc", F.max("doc_id").over(by_anchor)))
+    by_run = Window.partitionBy("anchor", "run")
+    seen = (runs.repartition("anchor").withColumn("src", F.min(F.struct("doc_id", "pos")).over(by_run))
+            .withColumn("last", F.max("doc_id").over(by_run)))
+    meets = F.lit(False)
+    for side in ("before", "after"):
+        beside = Window.partitionBy("anchor", side)
+        bounds = [f(c).over(beside) for c in ("run", "doc_id") for f in (F.min, F.max)]
+        seen = seen.withColumns({f"{side}_{i}": b for i, b in enumerate(bounds)})
+        met = F.col(side).isNotNull() & (F.col(f"{side}_0") < F.col(f"{side}_1")) & (F.col(f"{side}_2") < F.col(f"{side}_3"))
+        meets = meets | met
     repeat = F.col("doc_id") > F.col("src.doc_id")
-    compare = ~repeat & (F.col("low") != F.col("high")) & (F.col("low_doc") < F.col("high_doc"))
+    compare = ~repeat & meets
     source = ~repeat & (F.col("last") > F.col("doc_id"))
     found = F.when(repeat, F.struct("run", F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos"))).when(
         compare, F.struct("run", F.lit(None).cast(runs.schema["doc_id"].dataType).alias("src_doc"), F.lit(None).cast("int").alias("src_pos")))
@@ -233,8 +248,9 @@ def source_digests(taking_part: DataFrame, paths: DataFrame) -> DataFrame:
 def without_spans(taking_part: DataFrame, spans: DataFrame, texts: bool) -> DataFrame:
     """(doc_id, text_key, n_removed, kept): documents less the words of their confirmed spans; ``kept`` is
     the text, or its SHA-256 in hex if ``texts`` is false."""
-    rows = (taking_part.select("doc_id", "text", "text_key").join(spans, ["doc_id", "text_key"])
-            .select("doc_id", "text", "text_key", "spans"))
+    # joined on the bucket's key alone; the text's key is compared afterwards
+    rows = (taking_part.select("doc_id", "text", "text_key").join(spans.withColumnRenamed("text_key", "of_text"), "doc_id")
+            .where("text_key = of_text").select("doc_id", "text", "text_key", "spans"))
 
     def run(batches):
         for b in batches:
@@ -284,7 +300,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
     """(documents that take part in a repeat, their confirmed-source paths with ``digest``)."""
     rows = _rows(docs, id_col, text_col).where("doc_id is not null")
     found = repeated_runs(document_runs(rows.select("doc_id", "text"), k))
-    taking_part = written(rows.join(found, "doc_id").dropDuplicates(["doc_id", "text_key"]), "repeats-documents")
+    taking_part = written_by_key(rows.join(found, "doc_id").dropDuplicates(["doc_id", "text_key"]), "repeats_documents", "doc_id")
     paths = written(document_paths(taking_part, compared_windows(taking_part, k), k), "repeats-paths")
     return taking_part, paths.join(source_digests(taking_part, paths), ["src_doc", "src_pos", "n_words"])
 

@@ -30,6 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``written``, in buckets of ``key`` (an external table in the shared scratch folder): later
+    joins on ``key`` shuffle only their other side. ``df`` should already be partitioned by ``key``."""
+    spark = df.sparkSession
+    table = f"ledgerlens_{name}_{uuid.uuid4().hex}"
+    (df.write.bucketBy(shuffle_partitions(spark), key).option("compression", "zstd")
+     .option("path", scratch_path(spark, table)).saveAsTable(table))
+    return spark.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
