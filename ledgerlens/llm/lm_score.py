@@ -15,7 +15,7 @@ gram's hash); the number of segments follows the input, so what one segment gath
 segment sums its counts, sets its bits of the filter and keeps its exact unigram counts as a table.
 
 Bounds of what is broadcast: the filter has about one bit per training byte and ``MAX_BITS`` bits at
-most (beyond it false positives rise, every gram still is in it); the most frequent ``TOP_WORDS`` words go with
+most (beyond it false positives rise, every gram still is in it); the most frequent words, ``TOP_WORDS`` at most, go with
 their exact counts, all other words are joined with the table of counts.
 """
 
@@ -187,6 +187,19 @@ def word_counts(segments: DataFrame) -> DataFrame:
     return arrow_map(segments.select("words", "counts"), run, "word bigint, count bigint")
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, ``most`` at most: a histogram of count classes (sixteenths of a
+    power of two, so a few hundred rows) gives the least count whose words fit."""
+    kind = F.floor(F.log2("count") * 16).cast("int")
+    fit, least = 0, None
+    for r in sorted(counts.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["kind"]):
+        fit += r["n"]
+        if fit > most:
+            break
+        least = r["kind"]
+    return counts.where(kind >= least) if least is not None else counts.limit(0)
+
+
 class Model:
     """What scoring needs: the filter, N, V and the most frequent words (all of bounded size), and the table of all counts."""
 
@@ -202,7 +215,7 @@ class Model:
         data = np.zeros(max(1, 1 << (bits - 3)), np.uint8)
         for r in segments.select("segment", "bits").toLocalIterator():
             data[r["segment"] * width:(r["segment"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)[:width]
-        top = self.counts.orderBy(F.desc("count"), "word").limit(top_words).toPandas()
+        top = frequent_words(self.counts, top_words).toPandas()
         order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
         self.sent = training.sparkSession.sparkContext.broadcast(
             (bits, shape.segments, data, top["word"].to_numpy(np.int64).view(np.uint64)[order], top["count"].to_numpy(np.int64)[order]))
