@@ -7,7 +7,7 @@ Subpackages:
              ordering/splits, features, evaluation, drift, matching, models)
   plans      the four pipelines (segmentation, delivery risk, causal, data products)
              and the query registry used by ``__spark_entry__``
-  streaming  intentionally empty: the analysed workload is batch only
+  llm        training-data operators (near-dedup, BPE, language ID, ...), used by nothing else here
 """
 
 __version__ = "0.1.0"

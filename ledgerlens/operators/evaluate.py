@@ -43,10 +43,8 @@ def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> D
     threshold): tp, fp, precision, recall."""
     by = list(by)
     g = score_groups(df, label, score, by).withColumn("_desc", -F.col("score"))
-    c = running_totals(g, ["_desc"], ["pos", "neg"], by, prefix="above_")
-    tot = score_groups(df, label, score, by).groupBy(*by).agg(F.sum("pos").alias("_P"))
-    c = c.join(tot, by, "inner") if by else c.withColumn("_P", F.lit(
-        score_groups(df, label, score).agg(F.sum("pos")).first()[0]))
+    c = running_totals(g, ["_desc"], ["pos", "neg"], by, prefix="above_", totals="all_")
+    c = c.withColumn("_P", F.col("all_pos"))
     tp = F.col("above_pos") + F.col("pos")
     fp = F.col("above_neg") + F.col("neg")
     return c.select(*by, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),

@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,18 +49,37 @@ def run_parallel(tasks: Sequence[Callable[[], object]], parallelism: int | None
         return pool.map(lambda t: wrap(t)(), tasks)
 
 
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(
+def category_vector(train: DataFrame, cols: Sequence[str], drop_first: bool = False):
+    """R1/R2 for models: per column one sparse indicator vector ``{col}_vec`` over the values of
+    ``train`` (alphabetical), so a category of any size stays one column. Unseen values and nulls are
+    all zeros. Returns a fitted transformer; ``drop_first`` leaves the first value out."""
+    idx = [f"{c}_idx" for c in cols]
+    # alphabetDesc puts the first value last, where dropLast leaves it out
+    index = StringIndexer(inputCols=list(cols), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetDesc" if drop_first else "alphabetAsc")
+    hot = OneHotEncoder(inputCols=idx, outputCols=[f"{c}_vec" for c in cols], dropLast=True)
+    if not drop_first:
+        return Pipeline(stages=[index, hot]).fit(train)
+    sized = index.fit(train)
+    # the slot of unseen values is dropped by the encoder; the first value's slot goes with a slice
+    model = Pipeline(stages=[sized, hot]).fit(train)
+    slices = [VectorSlicer(inputCol=f"{c}_vec", outputCol=f"{c}_cut", indices=list(range(max(len(sized.labelsArray[i]) - 1, 0))))
+              for i, c in enumerate(cols)]
+    return PipelineModel([*model.stages, *slices])
+
+
+def assemble(df: DataFrame, features: Sequence[str], out: str = "features", vectors: Sequence[str] = ()) -> DataFrame:
+    return VectorAssembler(inputCols=[*features, *vectors], outputCol=out, handleInvalid="keep").transform(
         df.select("*", *[F.col(c).cast("double").alias(f"__f_{c}") for c in features])
         .drop(*features).select("*", *[F.col(f"__f_{c}").alias(c) for c in features])
         .drop(*[f"__f_{c}" for c in features]))
 
 
-def scaled_vectors(train: DataFrame, apply: DataFrame | None, features: Sequence[str]):
-    """M1 then vector assembly: scaler fitted on ``train`` only (population std)."""
+def scaled_vectors(train: DataFrame, apply: DataFrame | None, features: Sequence[str], vectors: Sequence[str] = ()):
+    """M1 then vector assembly: scaler fitted on ``train`` only (population std); ``vectors`` are
+    appended unscaled."""
     stats = scale_fit(train, features)
-    tr = assemble(scale_apply(train, stats), features)
-    ap = None if apply is None else assemble(scale_apply(apply, stats), features)
+    tr = assemble(scale_apply(train, stats), features, vectors=vectors)
+    ap = None if apply is None else assemble(scale_apply(apply, stats), features, vectors=vectors)
     return tr, ap, stats
 
 

@@ -17,6 +17,7 @@ from ledgerlens.sources.tables import Tables
 # C4 confounders of the propensity model (fixed list)
 CONFOUNDERS = ["seller_customer_distance_km", "avg_price", "total_freight",
                "seller_on_time_rate", "payment_installments", "purchase_month"]
+# covariates whose balance is reported (fixed list)
 BALANCE_COVARIATES = ["seller_customer_distance_km", "avg_price", "total_freight", "seller_on_time_rate"]
 
 

@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import models as M
 from ledgerlens.operators.evaluate import auc
 from ledgerlens.operators.features import stage_stats_at_cutoff, stats_at_cutoff
-from ledgerlens.operators.reshape import one_hot
 from ledgerlens.plans import delivery as D
 from ledgerlens.plans.segmentation import FINAL_CLUSTER_FEATURES
 from ledgerlens.functions.temporal import ntz_lit
 from ledgerlens.plans.walk_forward import month_plan
-from ledgerlens.session import ensure_checkpoint_dir, scratch_path
+from ledgerlens.session import ensure_checkpoint_dir, remove_path, scratch_path
 
 KMEANS_SEEDS = tuple(range(42, 52))   # ten restarts
 PROFILE_COLS = ["recency_days", "monetary", "avg_review_score", "category_diversity", "avg_installments",
@@ -30,6 +29,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``materialise``, as Parquet partitioned by ``key``: filters on it prune folders, and
+    a reader takes only the columns it needs."""
+    path = scratch_path(df.sparkSession, f"by_{key}/{uuid.uuid4().hex}")
+    df.write.partitionBy(key).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def segments(ready: DataFrame, k: int = 5, seeds: Sequence[int] = KMEANS_SEEDS, features=FINAL_CLUSTER_FEATURES):
     """M4 + M5: final k-means on the scaled behavioural features and rule-based names.
     Returns (customers with cluster + customer_segment, profile table)."""
@@ -69,7 +76,7 @@ def logit_split(encoded: DataFrame, features: Sequence[str] = D.BASELINE_FEATURE
 
 
 def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", with_stages: bool = False,
-                 categories: Sequence[str] = ()) -> DataFrame:
+                 categories: Sequence[str] = (), trees: int = 200) -> DataFrame:
     """W3 + M7 (+M8) + E8: expanding-window monthly evaluation.
 
     Seller stats for every cutoff come from one aggregate (``stats_at_cutoff``); each
@@ -80,7 +87,7 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
     df = D.with_month(df)
     if with_stages:
         df = D.with_stages(df)
-    df = materialise(df)
+    df = materialise_by(df, "year_month")  # a month's training rows are its earlier partitions
     plan = month_plan(df, "year_month", "is_late")
     months = [r["year_month"] for r in plan.where("evaluated").orderBy("year_month").collect()]  # calendar-bounded
     cut = plan.where("evaluated").select(F.col("year_month").alias("cutoff"))
@@ -113,8 +120,10 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
         train = part.where(F.col("year_month") < ntz_lit(m))
         test = part.where(F.col("year_month") == ntz_lit(m))
         if fit == "forest":
-            tr, te = M.assemble(train, features), M.assemble(test, features)
-            model = M.fit_forest(tr, "is_late")
+            cat = M.category_vector(train, categories) if categories else None
+            vec = [f"{c}_vec" for c in categories]
+            tr, te = (M.assemble(cat.transform(d) if cat else d, features, vectors=vec) for d in (train, test))
+            model = M.fit_forest(tr, "is_late", trees=trees)
         else:
             tr, te, _ = M.scaled_vectors(train, test, features)
             model = M.fit_logit(tr, features, "is_late")
@@ -128,7 +137,8 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
     M.run_parallel([lambda i=i, m=m: fit_month(i, m) for i, m in enumerate(months)])
     if not months:
         return spark.createDataFrame([], "test_month timestamp_ntz, test_size long, test_late_rate double, auc double")
-    res = auc(spark.read.parquet(out_path).drop("fold"), "label", "score", by=["test_month"])  # one job for every month
+    res = materialise(auc(spark.read.parquet(out_path).drop("fold"), "label", "score", by=["test_month"]))  # one job for every month
+    remove_path(spark, out_path)
     return res.select("test_month", F.col("n").alias("test_size"),
                       (F.col("n_pos") / F.col("n")).alias("test_late_rate"), "auc")
 
@@ -141,11 +151,21 @@ def wf_features(with_stages: bool = False) -> list[str]:
 
 
 def propensity_scores(cd: DataFrame, confounders: Sequence[str]) -> DataFrame:
-    """C4: unweighted LR on scaled confounders + category dummies (drop_first)."""
-    df = one_hot(cd, "primary_category", "cat", drop_first=True)
-    cats = [c for c in df.columns if c.startswith("cat_")]
-    feats = list(confounders) + cats
-    df = materialise(df)
-    tr, _, _ = M.scaled_vectors(df, None, feats)
-    model = M.fit_logit(tr, feats, "is_late", balanced=False)
-    return M.positive_probability(model.transform(tr), "propensity_score").drop("features", "rawPrediction", "probability", "prediction")
+    """C4: unweighted LR on scaled confounders + category indicators (drop_first)."""
+    df = materialise(cd)
+    cat = M.category_vector(df, ["primary_category"], drop_first=True)
+    tr, _, _ = M.scaled_vectors(cat.transform(df), None, confounders, ["primary_category_cut"])
+    model = M.fit_logit(tr, confounders, "is_late", balanced=False)
+    scored = M.positive_probability(model.transform(tr), "propensity_score").select("order_id", "propensity_score")
+    return df.join(scored, "order_id")  # unscaled columns, for balance and effects
+
+
+def windowed_propensity(cd: DataFrame, window: str, confounders: Sequence[str]) -> DataFrame:
+    """The propensity model refitted inside each window (a handful of windows)."""
+    df = materialise(cd.where(F.col(window).isNotNull()))
+    labels = sorted(r[0] for r in df.select(window).distinct().collect())
+    parts = M.run_parallel([lambda w=w: propensity_scores(df.where(F.col(window) == w), confounders) for w in labels])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -11,6 +11,7 @@ from ledgerlens.operators.reshape import crosstab_pct_wide
 from ledgerlens.operators.models import SEGMENT_NAMES
 from ledgerlens.sources.tables import Tables
 
+# P1 output schema (fixed list)
 EXPORT_ORDER_COLS = ["order_id", "customer_id", "primary_seller_id", "primary_category",
                      "seller_customer_distance_km", "avg_price", "total_freight", "item_count",
                      "payment_installments", "seller_on_time_rate", "is_late", "review_score",
@@ -61,7 +62,7 @@ def customer_segments(t: Tables, segmented: DataFrame) -> DataFrame:
     return segmented.select(*cols).join(state, "customer_unique_id", "left")
 
 
-def dashboard_rate(orders: DataFrame, dim: str, min_n: int) -> DataFrame:
+def dashboard_rate(orders: DataFrame, dim: str, min_n: int = 1000) -> DataFrame:
     """Late rate by a dimension with minimum support."""
     return rate_by(orders, dim, "is_late", min_n)
 

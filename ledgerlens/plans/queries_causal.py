@@ -19,7 +19,7 @@ _OUT = ["review_score"] + CP.BALANCE_COVARIATES
 def cdata(spark, sf_dir):
     t = T(spark, sf_dir)
     trimmed, _ = D.trimmed_mart(t)
-    return CP.causal_data(t, trimmed)
+    return D.materialise(CP.causal_data(t, trimmed))  # read by treated, control, pair and balance sides
 
 
 def pairs_values(spark, sf_dir):
@@ -160,20 +160,21 @@ LEFT JOIN
 ON n.time_window = m.time_window
 """, mart=True, extra=_EXTRA + "," + _WIN_CTES, rnd=R("naive_diff", "matched_diff", "avg_match_distance", d=6), ids="C13 W5")
 def q_effect_by_window(spark, sf_dir):
-    # quantile bins, the matching checkpoint and the aggregates all read the causal table:
-    # write it once so the review aggregate is not re-run per eager step
-    return effect_by_window(D.materialise(cdata(spark, sf_dir)))
+    return effect_by_window(cdata(spark, sf_dir))
 
 
 def effect_by_window(cd):
-    from ledgerlens.operators.matching import nearest_join
     q = quantile_bins(cd, "order_purchase_timestamp", ["Q1", "Q2", "Q3", "Q4"], name="time_window")
-    qw = CP.windowed_propensity(q, "time_window")
+    return windowed_effect(CP.windowed_propensity(q, "time_window"), "propensity_w")
+
+
+def windowed_effect(qw, score):
+    from ledgerlens.operators.matching import nearest_join
     late = F.col("is_late")
     naive = qw.groupBy("time_window").agg(
         F.count_if(late).alias("n_late"), F.count_if(~late).alias("n_ontime"),
         (F.avg(F.when(late, F.col("review_score"))) - F.avg(F.when(~late, F.col("review_score")))).alias("naive_diff"))
-    pairs = nearest_join(qw.where(late), qw.where(~late), "order_id", "propensity_w", by=["time_window"])
+    pairs = nearest_join(qw.where(late), qw.where(~late), "order_id", score, by=["time_window"])
     pv = C.pair_values(pairs.where(F.col("control_id").isNotNull()), qw, "order_id", ["review_score"])
     m = pv.groupBy("time_window").agg(
         (F.avg("t_review_score") - F.avg("c_review_score")).alias("matched_diff"),
@@ -190,6 +191,11 @@ UNION ALL SELECT 'Matched', 'Late', avg(t_review_score) FROM c_pv WHERE control_
 """, mart=True, extra=_EXTRA, rnd=R("avg_review_score", d=9), ids="C14 P5")
 def q_causal_summary(spark, sf_dir):
     pv, cd = pairs_values(spark, sf_dir)
+    return comparison_rows(cd, pv)
+
+
+def comparison_rows(cd, pv):
+    """C14: naive and matched mean scores of late and on-time orders."""
     nv = C.naive_effect(cd, "is_late", "review_score")
     me = C.matched_effect(pv, "review_score")
     a = nv.selectExpr("stack(2, 'Naive', 'On-time', mean_control, 'Naive', 'Late', mean_treated) AS (comparison_type, `group`, avg_review_score)")

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import causal as C
 from ledgerlens.operators import models as M
+from ledgerlens.operators import evaluate as E
 from ledgerlens.operators.evaluate import auc, result_summary
 from ledgerlens.operators.features import rate_encode
 from ledgerlens.operators.ordering import rolling_folds
-from ledgerlens.operators.reshape import one_hot
 from ledgerlens.plans import causal as CP
 from ledgerlens.plans import delivery as D
 from ledgerlens.plans import models as PM
 from ledgerlens.plans import segmentation as S
 from ledgerlens.plans.queries_base import T
-from ledgerlens.plans.queries_causal import cdata
+from ledgerlens.plans.oracle_views import CUSTOMER, SPLIT
+from ledgerlens.plans.queries_causal import cdata, comparison_rows, windowed_effect
 from ledgerlens.plans.queries_drift import encoded
+from ledgerlens.plans.queries_eval import THRESHOLDS
 from ledgerlens.plans.queries_split import trimmed
 from ledgerlens.plans.registry import query
 
@@ -93,25 +96,108 @@ def q_walk_forward_stage_auc(spark, sf_dir):
 @query("forest_delivery", ids="M11 R1")
 def q_forest_delivery(spark, sf_dir):
     """Random forest (200 trees, depth 8, balanced, category dummies) on the chronological
-    split; train and test AUC. The monthly walk-forward variant is
-    ``plans.models.walk_forward(..., fit="forest")``."""
+    split; train and test AUC."""
     enc = encoded(spark, sf_dir)
-    df = PM.materialise(one_hot(enc, "primary_category", "cat"))
-    cats = [c for c in df.columns if c.startswith("cat_")]
-    feats = PM.wf_features() + cats
-    model = M.fit_forest(M.assemble(df.where(F.col("split") == "train"), feats), "is_late")
-    sc = M.positive_probability(model.transform(M.assemble(df, feats)))
+    train = enc.where(F.col("split") == "train")
+    cat = M.category_vector(train, ["primary_category"])
+    vec = lambda d: M.assemble(cat.transform(d), PM.wf_features(), vectors=["primary_category_vec"])
+    model = M.fit_forest(vec(train), "is_late")
+    sc = M.positive_probability(model.transform(vec(enc)))
     return auc(sc.withColumn("label", F.col("is_late").cast("int")), "label", "score", by=["split"])
 
 
 @query("model_compare", ids="E9 E8")
 def q_model_compare(spark, sf_dir):
+    """Walk-forward AUC of logit, logit with stages and random forest."""
     base = trimmed(spark, sf_dir)
-    # the two walk-forwards are independent: both month loops run at once
-    a, b = M.run_parallel([lambda: PM.walk_forward(base, PM.wf_features(), "logit"),
-                           lambda: PM.walk_forward(base, PM.wf_features(True), "logit", with_stages=True)], 2)
-    a, b = a.withColumn("model", F.lit("logit")), b.withColumn("model", F.lit("logit_stage"))
-    return result_summary(a.unionByName(b), "auc", by=["model"])
+    # the walk-forwards are independent: their month loops run at once
+    runs = {"logit": lambda: PM.walk_forward(base, PM.wf_features(), "logit"),
+            "logit_stage": lambda: PM.walk_forward(base, PM.wf_features(True), "logit", with_stages=True),
+            "forest": lambda: forest_months(base)}
+    out = None
+    for name, df in zip(runs, M.run_parallel(list(runs.values()), 3)):
+        part = df.withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return result_summary(out, "auc", by=["model"])
+
+
+def forest_months(base):
+    return PM.walk_forward(base, PM.wf_features(), "forest", categories=["primary_category"])
+
+
+@query("walk_forward_forest_auc", ids="M11 W3 R1 E8")
+def q_walk_forward_forest_auc(spark, sf_dir):
+    """Random forest (200 trees, depth 8, balanced, category indicators) refitted per month."""
+    return forest_months(trimmed(spark, sf_dir))
+
+
+@query("logit_optimality", """
+SELECT split, count(*) AS n, CAST(sum(CAST(is_late AS INTEGER)) AS BIGINT) AS positives, true AS optimal
+FROM c_encoded GROUP BY split""", mart=True, extra=SPLIT, ids="M9 M12")
+def q_logit_optimality(spark, sf_dir):
+    """At the optimum of a logit with a free intercept the weighted residuals of the training
+    rows sum to 0: checked within the solver's tolerance, beside rows and positives per split."""
+    _, sc = PM.logit_split(encoded(spark, sf_dir))
+    y = F.col("is_late").cast("int")
+    t = sc.where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("p")).first()
+    w = F.when(y == 1, F.lit(t["n"] / (2.0 * t["p"]))).otherwise(F.lit(t["n"] / (2.0 * (t["n"] - t["p"]))))
+    r = sc.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("positives"),
+                                (F.abs(F.sum(w * (F.col("score") - y))) / F.sum(w) < 1e-3).alias("ok"))
+    return r.select("split", "n", "positives", F.when(F.col("split") == "train", F.col("ok")).otherwise(True).alias("optimal"))
+
+
+@query("kmeans_optimality", """
+SELECT count(*) AS n, count(*) AS in_clusters, CAST(5 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS nearer_elsewhere FROM c_ready""",
+       extra=CUSTOMER, ids="M4 M5")
+def q_kmeans_optimality(spark, sf_dir):
+    """Customers, sum of cluster sizes, clusters, and rows nearer (beyond rounding) to another
+    cluster's mean of scaled features than to their own: 0 once Lloyd's iterations have settled."""
+    from ledgerlens.operators.scaling import scale_apply, scale_fit
+    lab, prof = segmented(spark, sf_dir)
+    cols = S.FINAL_CLUSTER_FEATURES
+    x = PM.materialise(scale_apply(lab, scale_fit(lab, cols)).select("cluster_final", *cols))
+    means = {r["cluster_final"]: [r[c] for c in cols] for r in x.groupBy("cluster_final").agg(*[F.avg(c).alias(c) for c in cols]).collect()}
+    dist = lambda m: sum((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(cols, m))
+    own = F.coalesce(*[F.when(F.col("cluster_final") == k, dist(m)) for k, m in means.items()])
+    least = F.least(*[dist(m) for m in means.values()])
+    return x.agg(F.count(F.lit(1)).alias("n"), F.lit(sum(r["size"] for r in prof.select("size").collect())).cast("long").alias("in_clusters"),
+                 F.lit(len(means)).cast("long").alias("clusters"), F.count_if(own > least + 0.05).alias("nearer_elsewhere"))
+
+
+@query("logit_class_report", ids="E2 M9")
+def q_logit_class_report(spark, sf_dir):
+    """Report of the fitted model on the test split at probability 0.5."""
+    _, sc = PM.logit_split(encoded(spark, sf_dir))
+    t = _test(sc).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    return E.class_report(t, "label", "pred").withColumn("support", F.col("support").cast("long"))
+
+
+def _test(scored):
+    return scored.where(F.col("split") == "test").withColumn("label", F.col("is_late").cast("int"))
+
+
+@query("logit_confusion", ids="E3 M9")
+def q_logit_confusion(spark, sf_dir):
+    _, sc = PM.logit_split(encoded(spark, sf_dir))
+    return E.confusion(_test(sc).withColumn("pred", (F.col("score") >= 0.5).cast("int")), "label", "pred")
+
+
+@query("logit_threshold_table", ids="E4 M9")
+def q_logit_threshold_table(spark, sf_dir):
+    _, sc = PM.logit_split(encoded(spark, sf_dir))
+    return E.threshold_table(_test(sc), "label", "score", THRESHOLDS)
+
+
+@query("logit_pr_curve", ids="E5 M9")
+def q_logit_pr_curve(spark, sf_dir):
+    _, sc = PM.logit_split(encoded(spark, sf_dir))
+    return E.pr_curve(_test(sc), "label", "score")
+
+
+@query("logit_auc_by_slice", ids="E6 M9")
+def q_logit_auc_by_slice(spark, sf_dir):
+    _, sc = PM.logit_split(encoded(spark, sf_dir))
+    return auc(_test(sc), "label", "score", by=["is_new_or_thin_history_seller"])
 
 
 @query("propensity_scores", ids="C4 R2 M1 M9")
@@ -120,13 +206,60 @@ def q_propensity_scores(spark, sf_dir):
     return p.select("order_id", "is_late", "propensity_score")
 
 
+def fitted_propensity(spark, sf_dir):
+    return PM.materialise(PM.propensity_scores(cdata(spark, sf_dir), CP.CONFOUNDERS))
+
+
+def fitted_pairs(spark, sf_dir):
+    p = fitted_propensity(spark, sf_dir)
+    pairs = PM.materialise(C.match_pairs(p, "order_id", "is_late", "propensity_score"))
+    return C.pair_values(pairs, p, "order_id", ["review_score"] + CP.BALANCE_COVARIATES), p
+
+
 @query("propensity_matched_effect", ids="C4 C8 C10")
 def q_propensity_matched_effect(spark, sf_dir):
-    from ledgerlens.operators import causal as C
-    p = PM.propensity_scores(cdata(spark, sf_dir), CP.CONFOUNDERS)
-    pairs = C.match_pairs(p, "order_id", "is_late", "propensity_score")
-    pv = C.pair_values(pairs, p, "order_id", ["review_score"])
-    return C.matched_effect(pv, "review_score")
+    return C.matched_effect(fitted_pairs(spark, sf_dir)[0], "review_score")
+
+
+@query("propensity_describe", ids="C4 C5")
+def q_propensity_describe(spark, sf_dir):
+    from ledgerlens.operators.profile import describe
+    return describe(fitted_propensity(spark, sf_dir), ["propensity_score"], by=["is_late"])
+
+
+@query("propensity_overlap", ids="C4 C6")
+def q_propensity_overlap(spark, sf_dir):
+    return C.overlap_histogram(fitted_propensity(spark, sf_dir), "is_late", "propensity_score", 50)
+
+
+@query("propensity_support", ids="C4 C7")
+def q_propensity_support(spark, sf_dir):
+    return C.common_support(fitted_propensity(spark, sf_dir), "is_late", "propensity_score")
+
+
+@query("propensity_balance", ids="C4 C11")
+def q_propensity_balance(spark, sf_dir):
+    return C.covariate_balance(fitted_pairs(spark, sf_dir)[0], CP.BALANCE_COVARIATES)
+
+
+@query("propensity_caliper", ids="C4 C12")
+def q_propensity_caliper(spark, sf_dir):
+    pv, p = fitted_pairs(spark, sf_dir)
+    return C.caliper_effect(pv, p, "propensity_score", "review_score", 0.2)
+
+
+@query("propensity_effect_by_window", ids="C4 C13 W5")
+def q_propensity_effect_by_window(spark, sf_dir):
+    """Per time quartile: the propensity model refitted inside the window, naive and matched difference."""
+    from ledgerlens.operators.ordering import quantile_bins
+    q = quantile_bins(PM.materialise(cdata(spark, sf_dir)), "order_purchase_timestamp", ["Q1", "Q2", "Q3", "Q4"], name="time_window")
+    return windowed_effect(PM.materialise(PM.windowed_propensity(q, "time_window", CP.CONFOUNDERS)), "propensity_score")
+
+
+@query("propensity_summary", ids="C4 C14 P5")
+def q_propensity_summary(spark, sf_dir):
+    pv, p = fitted_pairs(spark, sf_dir)
+    return comparison_rows(p, pv)
 
 
 @query("segment_names", ids="M5 T14 F11")

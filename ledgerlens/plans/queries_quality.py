@@ -39,13 +39,21 @@ def q_describe_by_group(spark, sf_dir):
     return P.describe(mart(spark, sf_dir), ["seller_customer_distance_km", "payment_installments"], by=["is_late"])
 
 
+# a ratio without the zero-price guard: inf where the price is 0, NaN where the freight is 0 too
+_RAW_RATIO = ("CASE WHEN price <> 0 THEN freight_value / price WHEN freight_value = 0 THEN CAST('NaN' AS DOUBLE) "
+              "ELSE CAST('Infinity' AS DOUBLE) END")
+
+
 @query("inf_nan_guard", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE isinf({c})) AS n_inf, count(*) FILTER (WHERE isnan({c})) AS n_nan FROM c_ready"
-    for c in S.FINAL_CLUSTER_FEATURES[1:2] + ["avg_freight_ratio_log", "avg_installments", "avg_review_score"]),
+    for c in S.FINAL_CLUSTER_FEATURES[1:2] + ["avg_freight_ratio_log", "avg_installments", "avg_review_score"]) + f"""
+ UNION ALL SELECT 'raw_freight_ratio', count(*) FILTER (WHERE isinf(x)), count(*) FILTER (WHERE isnan(x)) FROM (SELECT {_RAW_RATIO} AS x FROM c_items)""",
     extra=CUSTOMER, ids="V5")
 def q_inf_nan_guard(spark, sf_dir):
-    df = S.clustering_ready(T(spark, sf_dir))
-    return Q.inf_nan_guard(df, ["monetary_log", "avg_freight_ratio_log", "avg_installments", "avg_review_score"])
+    t = T(spark, sf_dir)
+    ready = Q.inf_nan_guard(S.clustering_ready(t), ["monetary_log", "avg_freight_ratio_log", "avg_installments", "avg_review_score"])
+    raw = t.order_items.select(F.expr(_RAW_RATIO).alias("raw_freight_ratio"))
+    return ready.unionByName(Q.inf_nan_guard(raw, ["raw_freight_ratio"]))
 
 
 @query("rule_violations", """
@@ -114,6 +122,28 @@ def q_violator_sample(spark, sf_dir):
     return Q.violator_sample(t.payments, "order_id", multi, ["order_id", "payment_sequential"])
 
 
+@query("zero_spend_orders", """
+SELECT o.order_id, o.order_status, o.order_purchase_timestamp FROM c_orders o LEFT JOIN c_pay_order p ON o.order_id = p.order_id
+WHERE coalesce(p.payment_value, 0) = 0
+""", extra=CUSTOMER, ids="V10 J6")
+def q_zero_spend_orders(spark, sf_dir):
+    """Details of every order without any payment."""
+    t = T(spark, sf_dir)
+    paid = t.payments.groupBy("order_id").agg(F.sum("payment_value").alias("spend")).where("spend <> 0")
+    return t.orders.join(paid, "order_id", "left_anti").select("order_id", "order_status", "order_purchase_timestamp")
+
+
+@query("zero_freight_sample", """
+SELECT i.order_id, i.line_no AS order_item_id, i.price, i.freight_value FROM c_items i JOIN (
+  SELECT DISTINCT order_id FROM c_items WHERE freight_value = 0 ORDER BY order_id LIMIT 5) k ON i.order_id = k.order_id
+""", rnd=R("price", "freight_value", d=4), ids="V10 J5 O2")
+def q_zero_freight_sample(spark, sf_dir):
+    t = T(spark, sf_dir)
+    free = t.order_items.where(F.col("freight_value") == 0).select("order_id")
+    return (Q.violator_sample(t.order_items, "order_id", free, ["order_id", "order_item_id"])
+            .select("order_id", "order_item_id", "price", "freight_value"))
+
+
 @query("flag_agreement", """
 SELECT count(*) FILTER (WHERE slack IS NOT NULL) AS "rows",
        avg(CASE WHEN slack IS NOT NULL THEN CAST((slack < 0) = is_late AS DOUBLE) END) AS agreement

@@ -71,3 +71,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/ledgerlens/{name}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that has served its purpose."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
