@@ -143,16 +143,19 @@ def split_frame(df: DataFrame, ts: str = "order_purchase_timestamp", frac: float
     return with_split(df, ts, split_ts), split_ts
 
 
-def comparison_windows(df: DataFrame, ts: str = "order_purchase_timestamp", key: str = "order_id",
-                       k: int = 5, name: str = "window_label") -> DataFrame:
+def comparison_windows(df: DataFrame, ts: str = "order_purchase_timestamp", k: int = 5,
+                       name: str = "window_label") -> DataFrame:
     """Label the test windows of the last two rolling folds 'A' (chunk k-1) and 'B'
     (chunk k through the end of the data) in one pass."""
-    from ledgerlens.operators.ordering import rolling_folds
-    folds = rolling_folds(df, ts, key, k)
-    b = folds.agg(F.min(F.when(F.col("chunk") == k - 1, F.col(ts))).alias("a"),
-                  F.min(F.when(F.col("chunk") == k, F.col(ts))).alias("b"),
-                  F.max(ts).alias("e")).first()
+    from ledgerlens.operators.ordering import value_positions
+    vp = value_positions(df, ts)  # distinct timestamps only: two of them are wanted
+    last = vp.agg(F.max(F.col("before") + F.col("cnt")).alias("n"), F.max("value").alias("e")).first()
+    size = (last["n"] or 0) // (k + 1)
+    if size == 0:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    at = lambda row: (F.col("before") <= row) & (F.col("before") + F.col("cnt") > row)
+    a, b = (vp.where(at(size * i)).first()["value"] for i in (k - 1, k))
     c = F.col(ts)
-    lab = (F.when((c >= ntz_lit(b["a"])) & (c < ntz_lit(b["b"])), F.lit("A"))
-            .when((c >= ntz_lit(b["b"])) & (c <= ntz_lit(b["e"])), F.lit("B")))
+    lab = (F.when((c >= ntz_lit(a)) & (c < ntz_lit(b)), F.lit("A"))
+            .when((c >= ntz_lit(b)) & (c <= ntz_lit(last["e"])), F.lit("B")))
     return df.withColumn(name, lab)
