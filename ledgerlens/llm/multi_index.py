@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import arrow_map, written
+from ledgerlens.llm.tables import arrow_map, shuffle_partitions, written
 from ledgerlens.llm.vectors import block, merge_best, queries_of, usable
 
 #: Bound of the sample that the codebooks are fitted on: rows of least hash.
@@ -124,7 +124,9 @@ class MultiIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(out["grid_row"], pa.int32()), b.column(0).take(at), b.column(1).take(at),
                                                   pa.array(out["cols"], pa.list_(pa.int32()))], ["grid_row", "query_id", "v", "cols"])
 
-        met = written(arrow_map(queries.select("vec_id", "v"), visits, "grid_row int, query_id bigint, v array<double>, cols array<int>"), "multi-index-visits")
+        # few bytes but long walks: dealt out by a fixed number of partitions, which are not merged by size
+        dealt = queries.select("vec_id", "v").repartition(shuffle_partitions(queries.sparkSession), "vec_id")
+        met = written(arrow_map(dealt, visits, "grid_row int, query_id bigint, v array<double>, cols array<int>"), "multi-index-visits")
 
         def packed(rows: DataFrame, key: str, *fields: str) -> DataFrame:
             # one count per grid row, and grid rows are bounded by the codebook
