@@ -108,15 +108,27 @@ def with_split(df: DataFrame, ts: str, split_ts, name: str = "split") -> DataFra
 
 def rolling_folds(df: DataFrame, ts: str, key: str, k: int = 5, n_parts: int | None = None,
                   name: str = "chunk") -> DataFrame:
-    """chunk = row_idx // (n // (k+1)) for rows before (k+1)*fold_size, else null
-    (remainder unused). Fold i trains on chunks < i and tests on chunk i (i = 1..k)."""
-    n = df.count()
-    size = n // (k + 1)
-    idx = row_index(df, [ts, key], n_parts=n_parts)
+    """chunk = row index // (n // (k+1)) for rows before (k+1)*fold_size, else null
+    (remainder unused). Fold i trains on chunks < i and tests on chunk i (i = 1..k).
+
+    Only (ts, key) is ordered; the k+1 rows that begin a chunk come to the driver, and every
+    row finds its chunk by comparing itself with them.
+    """
+    idx = row_index(df.select(ts, key), [ts, key], n_parts=n_parts)
+    n = idx.agg(F.max("row_idx")).first()[0]
+    size = 0 if n is None else (n + 1) // (k + 1)
     if size == 0:
-        return idx.withColumn(name, F.lit(None).cast("int"))
-    return idx.withColumn(name, F.when(F.col("row_idx") < size * (k + 1),
-                                       (F.col("row_idx") / size).cast("int")))
+        return df.withColumn(name, F.lit(None).cast("int"))
+    rows = idx.where(F.col("row_idx").isin([size * i for i in range(1, k + 2)])).orderBy("row_idx").collect()
+    kind = df.schema[ts].dataType.simpleString()
+
+    def reached(r):
+        at = ntz_lit(r[ts]) if kind == "timestamp_ntz" else F.lit(r[ts]).cast(kind)
+        tie = F.col(ts).eqNullSafe(at) & (F.col(key) >= F.lit(r[key]))
+        return tie | (F.col(ts).isNotNull() if r[ts] is None else F.coalesce(F.col(ts) > at, F.lit(False)))
+
+    passed = sum((reached(r).cast("int") for r in rows), F.lit(0))
+    return df.withColumn(name, F.when(passed <= k, passed))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),

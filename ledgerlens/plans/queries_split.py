@@ -43,7 +43,7 @@ def q_chrono_split(spark, sf_dir):
 SELECT chunk, count(*) AS "rows", min(order_purchase_timestamp) AS start_ts, max(order_purchase_timestamp) AS end_ts,
        avg(CAST(is_late AS DOUBLE)) AS late_rate
 FROM c_folds WHERE chunk IS NOT NULL GROUP BY chunk
-""", mart=True, extra=SPLIT, rnd=R("late_rate"), ids="W2 T9 U1")
+""", mart=True, extra=SPLIT, rnd=R("late_rate"), ids="W2 T9")
 def q_rolling_folds(spark, sf_dir):
     f = O.rolling_folds(trimmed(spark, sf_dir), TS, "order_id", 5)
     return f.where(F.col("chunk").isNotNull()).groupBy("chunk").agg(
@@ -53,7 +53,7 @@ def q_rolling_folds(spark, sf_dir):
 
 @query("row_index", """
 SELECT order_id, row_idx FROM c_idx
-""", mart=True, extra=SPLIT, ids="W2 §4.3-b")
+""", mart=True, extra=SPLIT, ids="W2")
 def q_row_index(spark, sf_dir):
     return O.row_index(trimmed(spark, sf_dir), [TS, "order_id"]).select("order_id", "row_idx")
 
