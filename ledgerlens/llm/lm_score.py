@@ -1,10 +1,10 @@
 """LM scoring with a log-frequency Bloom filter (operator 10).
 
-Training texts are counted as unigrams and bigrams over words and one end token per text (which is also
-the context of a text's first word). A count is quantised to a level (counts of a level are within a
-factor of ``LOG_BASE``, small counts have a level each), and a gram of level q is put into the filter once with each of 1..q. A probe asks for 1, 2, ... until the
-first miss, which gives the level back; levels are read as the middle of their counts. The score of a
-text is the sum of log10 P(w | v) with
+Training texts are counted as unigrams and bigrams over words and one end token per text (which is
+also the context of a text's first word). A count is quantised to a level: counts of a level are
+within a factor of ``LOG_BASE``, small counts have a level each. A gram of level q is put into the
+filter once with each of 1..q. A probe asks for 1, 2, ... until the first miss, which gives the level
+back; levels are read as the middle of their counts. The score of a text is the sum of log10 P(w | v) with
 
     P(w | v) = (c(v w) + PRIOR * P(w)) / (c(v) + PRIOR),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 
@@ -14,9 +14,9 @@ Building: each task counts whole slices and sends the counts packed by segment (
 gram's hash); the number of segments follows the input, so what one segment gathers does not. A
 segment sums its counts, sets its bits of the filter and keeps its exact unigram counts as a table.
 
-Bounds of what is broadcast: the filter has about one bit per training byte and ``MAX_BITS`` bits at
-most (beyond it false positives rise, every gram still is in it); the most frequent words, ``TOP_WORDS`` at most, go with
-their exact counts, all other words are joined with the table of counts.
+Bounds of what is broadcast: the filter has about one bit per training byte and 2^``MAX_BITS`` bits at
+most (beyond it false positives rise, every gram still is in it); the most frequent words,
+``TOP_WORDS`` at most, go with their exact counts, all other words are joined with the table of counts.
 """
 
 from __future__ import annotations
