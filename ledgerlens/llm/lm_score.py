@@ -37,7 +37,7 @@ MIN_BITS, MAX_BITS = 16, 29  # of a bit's number in the filter
 SEGMENT_BYTES = 1 << 20  # of training text per segment
 TOP_WORDS = 1 << 18
 FLUSH_TOKENS = 1 << 22
-SCORE_BYTES = 1 << 22
+SCORE_BYTES = 1 << 20
 #: The least count of each level, up to 10^18.
 LEVEL_EDGES = np.unique(np.ceil(LOG_BASE ** np.arange(0, 228) - 1e-9).astype(np.int64))
 # Odd multipliers that tell grams, levels and probes apart (fixed values of public hash functions).
