@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.tables import arrow_map, id_type, written
 from ledgerlens.llm.text import Words, text_chunks, window_hashes
+from ledgerlens.session import remove_path
 
 BANDS, ROWS = 24, 5
 BATCH = 24  # signature values compared between two looks at the posterior
@@ -256,7 +257,7 @@ def _intersections(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 81
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                    bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, miss: float = MISS, scratch: list[str] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key, representative) per row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased; a set holds the distinct k-word
@@ -267,15 +268,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Rows that repeat a doc_id are each returned; with different texts they are linked only through
     their texts. A null doc_id names no component: such a row takes that of its equals or near ones
     by equal set, else null. Other columns are not read. An empty table gives an empty result.
+    ``scratch`` collects the paths of the larger intermediate tables that the result still reads.
     """
     size = bands * rows
     bounds = least_matches(size, BATCH, percent / 100, miss)
-    signed = written(set_signatures(docs, k, size, id_col, text_col), "dedup-signatures")
+    signed = written(set_signatures(docs, k, size, id_col, text_col), "dedup-signatures", scratch)
     classes = written(signed.where("cls is not null and doc_id is not null").groupBy("cls")
                       .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-                      .select(F.struct("rep", "cls").alias("v"), "sig"), "dedup-classes")
-    members = written(bucket_members(classes, bands, rows), "dedup-members")
-    sets = written(class_sets(docs, members.select("v").distinct(), k, id_col, text_col), "dedup-sets")
+                      .select(F.struct("rep", "cls").alias("v"), "sig"), "dedup-classes", scratch)
+    members = written(bucket_members(classes, bands, rows), "dedup-members", scratch)
+    sets = written(class_sets(docs, members.select("v").distinct(), k, id_col, text_col), "dedup-sets", scratch)
     stars = pruned(members.where("v <> leader").select(F.col("leader").alias("u"), "v").distinct(), classes, bounds)
     links = written(verified(stars, sets, percent), "dedup-links")
     # the star's centre has been compared with all others; what is left are the others among each other
@@ -297,7 +299,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` less near duplicates: one row of each component, all its columns; rows without
     shingles stay. Repeated rows of a representative become one."""
-    marked = near_duplicates(docs, k, percent, id_col, text_col).where("representative").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    scratch: list[str] = []
+    found = near_duplicates(docs, k, percent, id_col, text_col, scratch=scratch).where("representative")
+    marked = written(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "dedup-staying")
+    for path in scratch:  # nothing reads them any more: make room before the texts move
+        remove_path(docs.sparkSession, path)
     keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
     staying = keyed.alias("d").join(marked.alias("m"), F.col(f"d.{id_col}").eqNullSafe(F.col("m._id")) & (F.col("d._key") == F.col("m._key")), "left_semi")
     return staying.dropDuplicates([id_col, "_key"]).drop("_key")
