@@ -14,15 +14,18 @@ Building: each task counts whole slices and sends the counts packed by segment (
 gram's hash); the number of segments follows the input, so what one segment gathers does not. A
 segment sums its counts, sets its bits of the filter and keeps its exact unigram counts as a table.
 
-Bounds of what is broadcast: the filter has about one bit per training byte and 2^``MAX_BITS`` bits at
-most (beyond it false positives rise, every gram still is in it); the most frequent words,
-``TOP_WORDS`` at most, go with their exact counts, all other words are joined with the table of counts.
+The filter has between one and two bits per training byte at every size. One of at most 2^``MAX_BITS`` bits is
+broadcast. A larger one stays the table of its segments: the texts are cut into slices, a slice's distinct
+grams are packed by groups of segments, packs of many slices (salted, so a pack is bounded) meet the bits of
+their group, and the levels go back to the slices. Both ways give the same levels. Of the words the most frequent,
+``TOP_WORDS`` at most, are broadcast with their exact counts, all others are joined with the table of counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +36,16 @@ END = np.uint64(0x5A17E4D0E4D05A17)  # hash of the end token
 LOG_BASE = 1.2
 PROBES = 3
 PRIOR = 20.0
-MIN_BITS, MAX_BITS = 16, 29  # of a bit's number in the filter
+MIN_BITS = 16  # of a bit's number in the filter
+MAX_BITS = 29  # of a filter that is broadcast; larger ones are joined
 SEGMENT_BYTES = 1 << 20  # of training text per segment
 TOP_WORDS = 1 << 18
 FLUSH_TOKENS = 1 << 22
 SCORE_BYTES = 1 << 20
+SLICE_TOKENS = 1 << 16  # of a slice whose grams are joined with the filter; a longer text is one slice
+GROUP_BITS = 24  # segments of so many bits (2 MB) together are one group that a pack of grams meets
+PACK_BYTES = 1 << 24  # of grams that meet one copy of a group's bits
+SLICE_FILE = {"parquet.block.size": 8 << 20}  # slices are long rows, and readers take a row group at once
 #: The least count of each level, up to 10^18.
 LEVEL_EDGES = np.unique(np.ceil(LOG_BASE ** np.arange(0, 228) - 1e-9).astype(np.int64))
 # Odd multipliers that tell grams, levels and probes apart (fixed values of public hash functions).
@@ -90,10 +98,11 @@ class Filter:
                 table[self.place(some, j, i)] = 1
         return np.packbits(table, bitorder="little")
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray, first: int = 0) -> np.ndarray:
+        """``first``: the segment that ``data`` begins with."""
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
-        base = self.segment(keys) << (self.bits - self.segments)
+        base = (self.segment(keys) - first) << (self.bits - self.segments)
         for j in range(1, len(LEVEL_EDGES) + 1):
             for i in range(PROBES):
                 at = base[alive] + self.place(keys[alive], j, i)
@@ -201,19 +210,21 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Model:
-    """What scoring needs: the filter, N, V and the most frequent words (all of bounded size), and the table of all counts."""
+    """What scoring needs: N, V and the most frequent words (of bounded size), the table of all counts, and the filter,
+    ``whole`` (broadcast) if it has at most 2^``max_bits`` bits, else as the table of its segments."""
 
     def __init__(self, training: DataFrame, max_bits: int = MAX_BITS, top_words: int = TOP_WORDS, segment_bytes: int = SEGMENT_BYTES):
         size = int(training.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-        bits = min(max_bits, max(MIN_BITS, size.bit_length()))
-        shape = Filter(bits, min(bits - 3, (size // segment_bytes).bit_length()))
-        segments = written(built_segments(packed_counts(training, shape), shape), "lm-segments")
+        bits = max(MIN_BITS, size.bit_length())
+        shape = self.shape = Filter(bits, min(bits - 3, (size // segment_bytes).bit_length()))
+        segments = self.segments = written(built_segments(packed_counts(training, shape), shape), "lm-segments")
         totals = segments.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v")).first()
         self.tokens, self.words = int(totals["n"] or 0), int(totals["v"] or 0)
         self.counts = word_counts(segments)
+        self.whole = bits <= max_bits
         width = 1 << max(0, bits - shape.segments - 3)
-        data = np.zeros(max(1, 1 << (bits - 3)), np.uint8)
-        for r in segments.select("segment", "bits").toLocalIterator():
+        data = np.zeros(max(1, 1 << (bits - 3)) if self.whole else 0, np.uint8)
+        for r in segments.select("segment", "bits").toLocalIterator() if self.whole else ():
             data[r["segment"] * width:(r["segment"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)[:width]
         top = frequent_words(self.counts, top_words).toPandas()
         order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
@@ -247,35 +258,145 @@ def rare_tokens(rows: DataFrame, model: Model) -> DataFrame:
     return arrow_map(rows.select("row_key", "text"), run, "row_key bigint, word bigint, times int")
 
 
+def slice_scores(tokens: np.ndarray, cuts: np.ndarray, level_of, top: np.ndarray, top_counts: np.ndarray, denominator: float) -> list[pa.Array]:
+    """n_tokens, top_known, top_score and score of a slice's rows; ``level_of``: from gram keys to their levels."""
+    value, starts = counts_of_levels(), cuts[:-1]
+    distinct, back = np.unique(tokens, return_inverse=True)
+    at = np.minimum(np.searchsorted(top, distinct), max(0, len(top) - 1))
+    known = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
+    exact = np.where(known, np.log10(((top_counts[at] if len(top) else 0) + 0.5) / denominator), 0.0)
+    single = value[level_of(unigram_keys(distinct))]
+    pairs, pair_back = np.unique(bigram_keys(tokens), return_inverse=True)
+    pair = value[level_of(pairs)][pair_back]
+    context = np.concatenate([single[np.searchsorted(distinct, END)][None], single[back[:-1]]])
+    plain = (single[back] + 0.5) / denominator
+    bits_of = np.log10((np.minimum(pair, context) + PRIOR * plain) / (context + PRIOR))
+    return [pa.array(np.diff(cuts), pa.int64()), pa.array(np.add.reduceat(known[back].astype(np.int64), starts)),
+            pa.array(np.add.reduceat(exact[back], starts)), pa.array(np.add.reduceat(bits_of, starts))]
+
+
+SCORED = ["doc_id", "row_key", "n_tokens", "top_known", "top_score", "score"]
+
+
 def scored_rows(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, row_key, n_tokens, top_known, top_score, score): the model's score, and the exact unigram part
     of the most frequent words."""
-    sent, n, denominator = model.sent, model.tokens, model.denominator
+    sent, denominator = model.sent, model.denominator
+    schema = f"doc_id {id_type(rows)}, row_key bigint, n_tokens bigint, top_known bigint, top_score double, score double"
+    if not model.whole:
+        return rows_scored_by_join(rows, model, schema)
 
     def run(batches):
         bits, segments, data, top, top_counts = sent.value
-        held, value = Filter(bits, segments, data), counts_of_levels()
+        held = Filter(bits, segments, data)
         for b in batches:
             for first, end, raw, offsets in text_chunks(b.column(2), SCORE_BYTES):
                 tokens, cuts = tokens_of(Words(raw, offsets, lower=True))
-                starts = cuts[:-1]
-                distinct, back = np.unique(tokens, return_inverse=True)
-                at = np.minimum(np.searchsorted(top, distinct), max(0, len(top) - 1))
-                known = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
-                exact = np.where(known, np.log10(((top_counts[at] if len(top) else 0) + 0.5) / denominator), 0.0)
-                single = value[held.levels(unigram_keys(distinct))]
-                pairs, pair_back = np.unique(bigram_keys(tokens), return_inverse=True)
-                pair = value[held.levels(pairs)][pair_back]
-                context = np.concatenate([single[np.searchsorted(distinct, END)][None], single[back[:-1]]])
-                plain = (single[back] + 0.5) / denominator
-                bits_of = np.log10((np.minimum(pair, context) + PRIOR * plain) / (context + PRIOR))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[first:end], b.column(1)[first:end], pa.array(np.diff(cuts), pa.int64()),
-                     pa.array(np.add.reduceat(known[back].astype(np.int64), starts)), pa.array(np.add.reduceat(exact[back], starts)),
-                     pa.array(np.add.reduceat(bits_of, starts))], ["doc_id", "row_key", "n_tokens", "top_known", "top_score", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], b.column(1)[first:end],
+                                                  *slice_scores(tokens, cuts, held.levels, top, top_counts, denominator)], SCORED)
+
+    return arrow_map(rows.select("doc_id", "row_key", "text"), run, schema)
+
+
+def slice_keys(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Distinct keys of a slice's unigrams and bigrams, ascending: so by segment."""
+    return np.unique(np.concatenate([unigram_keys(words), bigram_keys(words[places])]))
+
+
+def token_slices(rows: DataFrame) -> DataFrame:
+    """(slice, ids, row_keys, lengths, words, places): rows of about ``SLICE_TOKENS`` tokens together; ``places`` of the
+    tokens among the distinct ``words``."""
+    kind = id_type(rows)
+
+    def run(batches):
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed():
+            ids, keys = (pa.concat_arrays([h[c] for h in held]) for c in (0, 1))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            words, places = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
+            binary = [pa.array([x], pa.binary()) for x in (_narrow(np.concatenate([h[2] for h in held])), words.tobytes(), _narrow(places))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), one(ids), one(keys), *binary],
+                                              ["slice", "ids", "row_keys", "lengths", "words", "places"])
+
+        for b in batches:
+            for first, end, raw, offsets in text_chunks(b.column(2), SLICE_TOKENS):
+                tokens, cuts = tokens_of(Words(raw, offsets, lower=True))
+                held.append((b.column(0)[first:end], b.column(1)[first:end], np.diff(cuts), tokens))
+                size += len(tokens)
+                if size >= SLICE_TOKENS:
+                    yield packed()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield packed()
 
     return arrow_map(rows.select("doc_id", "row_key", "text"), run,
-                     f"doc_id {id_type(rows)}, row_key bigint, n_tokens bigint, top_known bigint, top_score double, score double")
+                     f"slice bigint, ids array<{kind}>, row_keys array<bigint>, lengths binary, words binary, places binary")
+
+
+def slice_probes(slices: DataFrame, groups: Filter) -> DataFrame:
+    """(slice, group, keys): the distinct grams of each slice by group of segments, ascending."""
+    def run(batches):
+        for b in batches:
+            for at, words, places in zip(*(b.column(c).to_pylist() for c in range(3))):
+                keys = slice_keys(np.frombuffer(words, np.uint64), _widen(places))
+                group = groups.segment(keys)
+                cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                ends = np.append(cuts[1:], len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), at, np.int64)), pa.array(group[cuts]),
+                                                  pa.array([keys[a:z].tobytes() for a, z in zip(cuts, ends)], pa.binary())], ["slice", "group", "keys"])
+
+    return arrow_map(slices.select("slice", "words", "places"), run, "slice bigint, group bigint, keys binary")
+
+
+def probed_levels(probes: DataFrame, segments: DataFrame, shape: Filter, groups: Filter, salts: int) -> DataFrame:
+    """(slice, group, levels): a byte per gram of ``probes``, in its order. A group's bits are copied ``salts`` times."""
+    each, width = shape.segments - groups.segments, 1 << (shape.bits - shape.segments - 3)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        keys = asked.column("keys").to_pylist()
+        distinct, back = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
+        level = np.zeros(len(distinct), np.uint8)
+        if held.num_rows and len(distinct):
+            first = held.column("group")[0].as_py() << each
+            bits = np.zeros(width << each, np.uint8)
+            for at, raw in zip(held.column("segment").to_pylist(), held.column("bits").to_pylist()):
+                bits[(at - first) * width:(at - first + 1) * width] = np.frombuffer(raw, np.uint8)
+            level = Filter(shape.bits, shape.segments, bits).levels(distinct, first).astype(np.uint8)
+        ends = np.cumsum([len(k) // 8 for k in keys])
+        parts = [x.tobytes() for x in np.split(level[back], ends[:-1])] if keys else []
+        return pa.table({"slice": asked.column("slice"), "group": asked.column("group"), "levels": pa.array(parts, pa.binary())})
+
+    asked = probes.withColumn("salt", F.pmod(F.xxhash64("slice"), F.lit(salts)))
+    held = (segments.select(F.shiftright("segment", each).alias("group"), "segment", "bits")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    return (asked.groupBy("group", "salt").cogroup(held.groupBy("group", "salt"))
+            .applyInArrow(run, "slice bigint, group bigint, levels binary"))
+
+
+def rows_scored_by_join(rows: DataFrame, model: Model, schema: str) -> DataFrame:
+    """``scored_rows`` for a filter that is too large to broadcast."""
+    sent, denominator, shape = model.sent, model.denominator, model.shape
+    groups = Filter(shape.bits, min(shape.segments, max(0, shape.bits - GROUP_BITS)))
+    slices = written(token_slices(rows), "lm-slices", options=SLICE_FILE)  # numbered by task, so kept before anything joins them
+    # a token has one bigram and two bytes of ``places`` (one only where a slice has few words, so few grams)
+    asked = int(slices.agg(F.sum(F.octet_length("places") * 4 + F.octet_length("words"))).first()[0] or 0)
+    salts = max(1, -(-asked // (PACK_BYTES << groups.segments)))
+    levels = probed_levels(slice_probes(slices, groups), model.segments, shape, groups, salts)
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(found.column("group")), kind="stable")
+        parts = found.column("levels").to_pylist()
+        level = np.frombuffer(b"".join([parts[i] for i in order]), np.uint8)
+        _, _, _, top, top_counts = sent.value
+        ids, row_keys = (texts.column(c)[0].values for c in ("ids", "row_keys"))
+        lengths, places = (_widen(texts.column(c)[0].as_py()) for c in ("lengths", "places"))
+        words = np.frombuffer(texts.column("words")[0].as_py(), np.uint64)
+        keys = slice_keys(words, places)
+        scores = slice_scores(words[places], np.concatenate([[0], np.cumsum(lengths)]), lambda k: level[np.searchsorted(keys, k)], top, top_counts, denominator)
+        return pa.table([ids, row_keys, *scores], SCORED)
+
+    return slices.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,15 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, paths: list[str] | None = None, options: dict | None = None) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: later steps restart from
     the files, not from the plan, so losing executors costs only unfinished tasks. ``paths``
-    collects where, for a caller that removes the files when they have served."""
+    collects where, for a caller that removes the files when they have served; ``options`` go to the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     if paths is not None:
         paths.append(path)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -335,6 +335,24 @@ def test_filter_holds_every_gram_at_its_level():
     assert value[0] == 0 and value[1] == 1 and value[2] == 2 and value[5] == 5 and (np.diff(value) > 0).all()
 
 
+def test_a_filter_too_large_to_broadcast_is_joined_and_scores_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randrange(0, 300), 3000)) for i in range(120)] + [(None, "w1 w2"), (None, None), (7, "w1 w2"), (7, "w1 w2"), (8, "Unseen É")]
+    docs = docs_of(spark, rows, extra=True)
+    monkeypatch.setattr(lm_score, "SLICE_TOKENS", 500)
+    monkeypatch.setattr(lm_score, "PACK_BYTES", 100)
+    scores = {}
+    for most in (lm_score.MAX_BITS, 12):  # the second is smaller than any filter
+        monkeypatch.setattr(lm_score.Model.__init__, "__defaults__", (most, 50, 10_000))
+        model = lm_score.Model(docs.select("text"))
+        size = sum(len((t or "").encode()) for _, t in rows)
+        assert model.shape.bits == max(lm_score.MIN_BITS, size.bit_length()) and model.whole == (most > 12)
+        got = lm_score.score_documents(docs, docs).collect()
+        scores[most] = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
+    assert len(scores[12]) == len(rows) and scores[12] == scores[lm_score.MAX_BITS]
+    assert lm_score.score_documents(docs_of(spark, []), docs).count() == 0
+
+
 def test_scoring_without_training_and_empty_tables(spark):
     docs = docs_of(spark, [(1, "a b"), (1, "a b"), (None, "a b")])
     got = lm_score.score_documents(docs, docs.limit(0)).collect()
