@@ -5,7 +5,10 @@ cell. A query orders the centroids of each half by distance (minus the inner pro
 the grid of pairs by summed distance with a heap, cell after cell, until the cells hold enough entries.
 The entries of those cells are reranked by the exact inner product of the original vectors.
 
-Fitting: k-means on a bounded sample. Indexing: every row is assigned to a cell. Entries are stored by
+What is enough is measured on the table at hand: ``MEASURED`` queries of least hash are answered by brute
+force, and the walk is made as long as finding ``RECALL`` of their true neighbours takes.
+
+Fitting: k-means on a sample that grows with the codebooks. Indexing: every row is assigned to a cell. Entries are stored by
 grid row (first centroid) in blocks of about ``BLOCK``, so a cell that holds a third of all rows is many
 blocks; queries are packed per grid row in blocks too, each with the cells it walked there, and entry
 blocks meet query blocks in a join. What one pair of blocks returns are the ``k`` best per query, so
@@ -25,23 +28,27 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.tables import arrow_map, shuffle_partitions, written
 from ledgerlens.llm.vectors import block, merge_best, queries_of, usable
 
-#: Bound of the sample that the codebooks are fitted on: rows of least hash.
-SAMPLE = 20_000
-MAX_CENTROIDS = 256  # a half; the cell sizes (at most the square of it) go to every worker
+#: The codebooks are fitted on rows of least hash: so many, or ``PER_CENTROID`` for each centroid of a half if that is more.
+SAMPLE, PER_CENTROID = 20_000, 64
+MAX_CENTROIDS = 1024  # a half; the cell sizes (at most the square of it) go to every worker
 CELL = 5  # entries of a cell aimed at
 BLOCK = 512  # entries, and queries, of a block
-#: A query walks on until its cells hold this many times the root of the number of entries.
+#: A query walks on until its cells hold this many times the root of the number of entries at least.
 PROBE = 96
+#: Queries (of least hash) whose neighbours are found by brute force, and the share of these neighbours that
+#: the walk has to reach: 0.9 with a margin of about three standard errors of a mean over so many queries.
+MEASURED, RECALL = 256, 0.93
 
 
 def fit_codebooks(rows: DataFrame, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Two codebooks by Lloyd's k-means on at most ``SAMPLE`` rows, those of least hash."""
+    """Two codebooks by Lloyd's k-means on a sample of the rows, those of least hash."""
     h = F.xxhash64("vec_id")
-    share = min(1.0, 2.0 * SAMPLE / max(n, 1))
-    some = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(h, "vec_id").limit(SAMPLE)
+    k = int(np.clip(np.sqrt(n / CELL), 4, MAX_CENTROIDS))
+    sample = max(SAMPLE, PER_CENTROID * k)
+    share = min(1.0, 2.0 * sample / max(n, 1))
+    some = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(h, "vec_id").limit(sample)
     v = some.select("v").toArrow().column("v").combine_chunks()
     x = np.asarray(v.flatten()).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
-    k = int(np.clip(np.sqrt(n / CELL), 4, MAX_CENTROIDS))
     cut = x.shape[1] // 2 if len(x) else 0
     return tuple(_kmeans(half, k, seed) for half in (x[:, :cut], x[:, cut:])) if len(x) else (np.zeros((1, 0)), np.zeros((1, 0)))
 
@@ -60,7 +67,8 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
 
 
 def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres ** 2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+    norms, step = (centres ** 2).sum(axis=1)[None, :], 1 << 13
+    return np.concatenate([(norms - 2 * x[i:i + step] @ centres.T).argmin(axis=1) for i in range(0, max(len(x), 1), step)])
 
 
 def walk(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
@@ -104,11 +112,53 @@ class MultiIndex:
         for r in self.entries.groupBy("grid_row", "grid_col").count().collect():
             self.sizes[r["grid_row"] * len(books[1]) + r["grid_col"]] = r["count"]
 
+    def true_cells(self, queries: pa.Table, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query (vec_id, v) its vector and the cells of its ``k`` nearest entries, by brute force in blocks."""
+        columns = len(self.books[1])
+        q_ids = np.asarray(queries.column("vec_id").combine_chunks())
+        q = np.asarray(queries.column("v").combine_chunks().flatten()).reshape(len(q_ids), -1)
+
+        def run(batches):
+            scores, cells = np.full((len(q_ids), 0), 0.0), np.full((len(q_ids), 0), 0)
+            for b in batches:
+                for part in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
+                    row, col, ids = (np.asarray(part.column(c)).astype(np.int64) for c in range(3))
+                    x = np.asarray(part.column(3).flatten()).reshape(len(ids), -1)
+                    new = np.where(q_ids[:, None] == ids[None, :], -np.inf, q @ x.T)
+                    scores = np.concatenate([scores, new], axis=1)
+                    cells = np.concatenate([cells, np.broadcast_to(row * columns + col, new.shape)], axis=1)
+                    best = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k]
+                    scores, cells = np.take_along_axis(scores, best, 1), np.take_along_axis(cells, best, 1)
+            if scores.shape[1]:
+                real = [s > -np.inf for s in scores]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array([c[r] for c, r in zip(cells, real)], pa.list_(pa.int64())),
+                                                  pa.array([s[r] for s, r in zip(scores, real)], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
+
+        found: dict[int, list[int]] = {}
+        for r in merge_best(arrow_map(self.entries.select("grid_row", "grid_col", "vec_id", "v"), run, "query_id bigint, ids array<bigint>, scores array<double>"),
+                            k, "double").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])  # here a cell
+        return [(v, np.array(found.get(i, []), np.int64)) for i, v in zip(q_ids.tolist(), q)]
+
+    def enough(self, queries: DataFrame, k: int, least: int) -> int:
+        """Entries that walks have to hold for a recall of ``RECALL`` at ``k``, ``least`` at least."""
+        if least >= self.sizes.sum():
+            return least  # every cell is walked
+        h = F.xxhash64("vec_id")
+        before = []
+        for v, cells in self.true_cells(queries.select("vec_id", "v").orderBy(h, "vec_id").limit(MEASURED).toArrow(), k):
+            cut = self.books[0].shape[1]
+            order = np.argsort(-((self.books[0] @ v[:cut])[:, None] + (self.books[1] @ v[cut:])[None, :]).ravel(), kind="stable")
+            held = np.zeros(len(order), np.int64)
+            held[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
+            before.append(held[cells])
+        return max(least, _quantile(np.concatenate(before)) + 1) if before else least
+
     def search(self, queries: DataFrame, k: int = 20, probe: int = PROBE) -> DataFrame:
         """(query_id, rank, vec_id, score): per query (vec_id, v) the ``k`` nearest entries found, own id apart."""
         books, sizes = self.books, self.sizes
         columns = len(books[1])
-        enough = max(2 * k, int(probe * np.sqrt(self.n)))
+        enough = self.enough(queries, k, max(2 * k, int(probe * np.sqrt(self.n))))
 
         def visits(batches):
             for b in batches:
@@ -154,6 +204,11 @@ class MultiIndex:
         return merge_best(arrow_map(both, rerank, "query_id bigint, ids array<bigint>, scores array<double>"), k, "double")
 
 
+def _quantile(before: np.ndarray) -> int:
+    """The least entry of ``before`` that a share of ``RECALL`` does not exceed; -1 if it is empty."""
+    return int(np.sort(before)[max(0, int(np.ceil(RECALL * len(before))) - 1)]) if len(before) else -1
+
+
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """(queries, entries) in double precision, summed component by component: equal vectors get equal scores."""
     out = np.zeros((len(q), len(x)))

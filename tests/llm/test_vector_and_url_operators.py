@@ -82,6 +82,28 @@ def test_multi_index_finds_the_nearest(spark, monkeypatch):
     assert few == {0: [(1, -1.5), (2, -1.5)]}
 
 
+def recall_of(got, want, queries=None):
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in queries or want])
+
+
+def brute_ids(x, every, k):
+    """Per query the (id, None) of its ``k`` nearest rows of ``x``, whose ids are their places."""
+    scores = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(scores, -np.inf)
+    return {q: [(int(i), None) for i in np.argsort(-scores[q], kind="stable")[:k]] for q in range(0, len(x), every)}
+
+
+def test_the_walk_is_as_long_as_the_measured_recall_asks(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(4000, 8)).astype(np.float32)
+    monkeypatch.setattr(multi_index.MultiIndex.search, "__defaults__", (20, 2))  # 126 entries a walk, 3 % of all
+    rows, want = table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), brute_ids(x, 20, 20)
+    assert recall_of(listed(multi_index.nearest_neighbours(rows, 20, 20)), want) >= 0.9
+    index = multi_index.MultiIndex(rows)
+    enough = index.enough(vectors.queries_of(index.entries, 20), 20, 126)
+    assert 126 < enough < 0.6 * len(x)
+    assert index.enough(vectors.queries_of(index.entries, 20), 20, len(x)) == len(x)
+
+
 def test_walk_takes_cells_by_summed_distance():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=9), rng.normal(size=7)
