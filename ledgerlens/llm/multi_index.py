@@ -6,7 +6,8 @@ the grid of pairs by summed distance with a heap, cell after cell, until the cel
 The entries of those cells are reranked by the exact inner product of the original vectors.
 
 What is enough is measured on the table at hand: ``MEASURED`` queries of least hash are answered by brute
-force, and the walk is made as long as finding ``RECALL`` of their true neighbours takes.
+force, and the walk is made as long as finding ``RECALL`` of their true neighbours takes. A cell counts with at
+most ``HOT`` times the mean, so one that holds a third of all rows is read whole and does not end the walk.
 
 Fitting: k-means on a sample that grows with the codebooks. Indexing: every row is assigned to a cell. Entries are stored by
 grid row (first centroid) in blocks of about ``BLOCK``, so a cell that holds a third of all rows is many
@@ -38,6 +39,8 @@ PROBE = 96
 #: Queries (of least hash) whose neighbours are found by brute force, and the share of these neighbours that
 #: the walk has to reach: 0.9 with a margin of about three standard errors of a mean over so many queries.
 MEASURED, RECALL = 256, 0.93
+#: A cell counts towards what a walk holds with so many times the mean of the cells in use at most.
+HOT = 4
 
 
 def fit_codebooks(rows: DataFrame, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +114,7 @@ class MultiIndex:
         self.sizes = np.zeros(len(books[0]) * len(books[1]), np.int64)
         for r in self.entries.groupBy("grid_row", "grid_col").count().collect():
             self.sizes[r["grid_row"] * len(books[1]) + r["grid_col"]] = r["count"]
+        self.counted = np.minimum(self.sizes, HOT * -(-self.n // max(1, np.count_nonzero(self.sizes))))
 
     def true_cells(self, queries: pa.Table, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query (vec_id, v) its vector and the cells of its ``k`` nearest entries, by brute force in blocks."""
@@ -141,22 +145,24 @@ class MultiIndex:
         return [(v, np.array(found.get(i, []), np.int64)) for i, v in zip(q_ids.tolist(), q)]
 
     def enough(self, queries: DataFrame, k: int, least: int) -> int:
-        """Entries that walks have to hold for a recall of ``RECALL`` at ``k``, ``least`` at least."""
-        if least >= self.sizes.sum():
+        """Entries, as counted, that walks have to hold for a recall of ``RECALL`` at ``k``, ``least`` at least: of all
+        neighbours, and of those outside hot cells, which the many alike queries of a hot cell would hide."""
+        if least >= self.counted.sum():
             return least  # every cell is walked
         h = F.xxhash64("vec_id")
-        before = []
+        before, cold = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for v, cells in self.true_cells(queries.select("vec_id", "v").orderBy(h, "vec_id").limit(MEASURED).toArrow(), k):
             cut = self.books[0].shape[1]
             order = np.argsort(-((self.books[0] @ v[:cut])[:, None] + (self.books[1] @ v[cut:])[None, :]).ravel(), kind="stable")
             held = np.zeros(len(order), np.int64)
-            held[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
+            held[order] = np.cumsum(self.counted[order]) - self.counted[order]
             before.append(held[cells])
-        return max(least, _quantile(np.concatenate(before)) + 1) if before else least
+            cold.append(held[cells[self.counted[cells] == self.sizes[cells]]])
+        return max(least, *(_quantile(np.concatenate(x)) + 1 for x in (before, cold)))
 
     def search(self, queries: DataFrame, k: int = 20, probe: int = PROBE) -> DataFrame:
         """(query_id, rank, vec_id, score): per query (vec_id, v) the ``k`` nearest entries found, own id apart."""
-        books, sizes = self.books, self.sizes
+        books, sizes = self.books, self.counted
         columns = len(books[1])
         enough = self.enough(queries, k, max(2 * k, int(probe * np.sqrt(self.n))))
 

@@ -104,6 +104,18 @@ def test_the_walk_is_as_long_as_the_measured_recall_asks(spark, monkeypatch):
     assert index.enough(vectors.queries_of(index.entries, 20), 20, len(x)) == len(x)
 
 
+def test_a_hot_cell_does_not_end_the_walk(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(4000, 8)).astype(np.float32)
+    x[::3] = x[0] + np.random.default_rng(8).normal(scale=1e-4, size=x[::3].shape)  # a third are near copies
+    monkeypatch.setattr(multi_index.MultiIndex.search, "__defaults__", (20, 2))
+    rows, want = table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), brute_ids(x, 20, 20)
+    others = [q for q in want if q % 3]
+    index = multi_index.MultiIndex(rows)
+    assert index.sizes.max() > 300 and 0 < index.counted.max() <= multi_index.HOT * (1 + 4000 / np.count_nonzero(index.sizes))
+    assert index.enough(vectors.queries_of(index.entries, 20), 20, 126) < 0.6 * index.counted.sum()
+    assert recall_of(listed(multi_index.nearest_neighbours(rows, 20, 20)), want, others) >= 0.9
+
+
 def test_walk_takes_cells_by_summed_distance():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=9), rng.normal(size=7)
