@@ -15,7 +15,7 @@ from ledgerlens.llm.tables import read_table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: no text or letters, or no language codes them better than plain bytes."""
+    """Drops documents in no language: no text or letters. Without labelled documents all stay."""
     return language.in_known_language(docs, language_model(docs))
 
 

@@ -200,9 +200,12 @@ def predict_languages(docs: DataFrame, model: ContextTrees, id_col: str = "doc_i
     return arrow_map(rows, run, f"doc_id {id_type(rows)}, lang_pred string, score double, bits_per_byte double")
 
 
-def in_known_language(docs: DataFrame, model: ContextTrees, text_col: str = "text", most_bits: float = 8.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a language: not ``und``, and some language codes it in
-    fewer than ``most_bits`` bits a byte (plain bytes take 8)."""
+def in_known_language(docs: DataFrame, model: ContextTrees, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not ``und``; all rows if the model has learnt no language.
+
+    Code lengths bound nothing here: clean texts that are short or unlike the sample code above 8 bits a byte too."""
+    if not model.langs:
+        return docs
     place = docs.columns.index(text_col)
 
     def run(batches):
@@ -214,7 +217,7 @@ def in_known_language(docs: DataFrame, model: ContextTrees, text_col: str = "tex
                 size += len(t or "")
                 if size >= step or i == len(texts) - 1:
                     scored = _scored(m, pa.nulls(i + 1 - start), texts[start:i + 1])
-                    keep = [x != "und" and r < most_bits for x, r in zip(scored.column(1).to_pylist(), scored.column(3).to_pylist())]
+                    keep = [x != "und" for x in scored.column(1).to_pylist()]
                     yield b.slice(start, i + 1 - start).filter(pa.array(keep, pa.bool_()))
                     start, size = i + 1, 0
 
