@@ -108,13 +108,16 @@ def set_signatures(docs: DataFrame, k: int, size: int, id_col: str, text_col: st
     return arrow_map(rows, run, f"doc_id {id_type(rows)}, text_key bigint, n_shingles bigint, cls binary, sig binary")
 
 
-def class_sets(docs: DataFrame, needed: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(v, shingles): the full sets of the needed classes, read from one document of each."""
+def class_sets(docs: DataFrame, needed: DataFrame, unnamed: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(v, shingles): the full sets of the needed classes, read from one document of each; ``unnamed``: (v, rep_key),
+    the key of a text for the classes without an id."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     wanted = needed.select("v", F.col("v.rep").alias("doc_id"))
     # repeated rows go while the join's partitioning by doc_id still holds
     texts = rows.join(wanted, "doc_id").dropDuplicates(["doc_id", "text_key", "v"]).select("v", "text")
+    keyed = needed.join(unnamed, "v").select("v", F.col("rep_key").alias("text_key"))
+    texts = texts.unionByName(rows.where("doc_id is null").join(keyed, "text_key").dropDuplicates(["text_key", "v"]).select("v", "text"))
 
     def run(batches):
         for b in batches:
@@ -266,34 +269,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     whether it is the row's own. ``text_key`` is the XXH64 of the text; ``representative`` marks the rows of one
     text per component (all rows without shingles). Null and empty texts have no shingles and no links: they are kept.
     Rows that repeat a doc_id are each returned; with different texts they are linked only through
-    their texts. A null doc_id names no component: such a row takes that of its equals or near ones
-    by equal set, else null. Other columns are not read. An empty table gives an empty result.
+    their texts. A null doc_id names no component: such a row links like any other and takes the least id
+    that links reach, else null; of a component without any id one text is the representative. Other columns are not read. An empty table gives an empty result.
     ``scratch`` collects the paths of the larger intermediate tables that the result still reads.
     """
     size = bands * rows
     bounds = least_matches(size, BATCH, percent / 100, miss)
     signed = written(set_signatures(docs, k, size, id_col, text_col), "dedup-signatures", scratch)
-    classes = written(signed.where("cls is not null and doc_id is not null").groupBy("cls")
-                      .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-                      .select(F.struct("rep", "cls").alias("v"), "sig"), "dedup-classes", scratch)
+    # a class that only rows without id have is found again by a text's key
+    classes = written(signed.where("cls is not null").groupBy("cls")
+                      .agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.first("sig").alias("sig"))
+                      .select(F.struct("rep", "cls").alias("v"), F.when(F.col("rep").isNull(), F.col("text_key")).alias("rep_key"), "sig"), "dedup-classes", scratch)
     members = written(bucket_members(classes, bands, rows), "dedup-members", scratch)
-    sets = written(class_sets(docs, members.select("v").distinct(), k, id_col, text_col), "dedup-sets", scratch)
+    unnamed = classes.where("v.rep is null").select("v", "rep_key")
+    sets = written(class_sets(docs, members.select("v").distinct(), unnamed, k, id_col, text_col), "dedup-sets", scratch)
     stars = pruned(members.where("v <> leader").select(F.col("leader").alias("u"), "v").distinct(), classes, bounds)
     links = written(verified(stars, sets, percent), "dedup-links")
     # the star's centre has been compared with all others; what is left are the others among each other
     joined = members.where("v <> leader").join(connected_components(links, "dedup-stars"), "v", "left").select("key", "band", "v", F.coalesce("component", "v").alias("c"))
     open_keys = joined.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "n")
-    mixed = joined.join(open_keys, "key").join(classes, "v").join(sets, "v")
+    mixed = joined.join(open_keys, "key").join(classes.drop("rep_key"), "v").join(sets, "v")
     more = cross_links(mixed.select("key", "band", "n", "v", "c", "sig", "shingles"), rows, percent, bounds)
     found = connected_components(written(links.unionByName(more).distinct(), "dedup-all-links"), "dedup-components")
-    named = (classes.join(found, "v", "left")
-             .select(F.col("v.cls").alias("cls"), F.coalesce("component", "v").alias("least"))
-             .select("cls", F.col("least.rep").alias("component_id"), (F.col("least.cls") == F.col("cls")).alias("least")))
+    # nulls sort first, so a class without id is the least of its component: the least one with an id takes its place
+    better = (found.where("component.rep is null and v.rep is not null").groupBy(F.col("component").alias("first"))
+              .agg(F.min("v").alias("with_id")))
+    named = (classes.join(found, "v", "left").select("v", "rep_key", F.coalesce("component", "v").alias("first"))
+             .join(better, "first", "left").select(F.col("v.cls").alias("cls"), "rep_key", F.coalesce("with_id", "first").alias("least"))
+             .select("cls", "rep_key", F.col("least.rep").alias("component_id"), (F.col("least.cls") == F.col("cls")).alias("least")))
     return (signed.drop("sig").join(named, "cls", "left")
             .withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select("doc_id", "n_shingles", "component_id", "kept", "text_key",
-                    (F.col("kept") & F.coalesce("least", F.lit(True))).alias("representative")))
+                    (F.col("kept") & F.coalesce("least", F.lit(True)) & F.coalesce(F.col("text_key") == F.col("rep_key"), F.lit(True))).alias("representative")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -139,6 +139,20 @@ def test_near_duplicates_repeated_rows_null_ids_and_empty_tables(spark):
     assert near_dedup.one_of_each(docs_of(spark, rows)).count() == 3
 
 
+def test_rows_with_null_ids_are_linked_like_others(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda at, word: " ".join(base[:at] + [word] + base[at + 1:])
+    lone = [f"z{i}" for i in range(60)]
+    rows = [(9, near(0, "a")), (None, near(59, "b")), (4, " ".join(base)),  # a null id near documents 4 and 9
+            (None, " ".join(lone)), (None, " ".join(lone[:-1])), (None, " ".join(lone).upper()),  # near and equal sets, no id at all
+            (None, "quite other words that stand alone here"), (None, None), (3, "one more text of its own kind")]
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(str((r["doc_id"], r["component_id"])) for r in got if r["component_id"] is not None) == ["(3, 3)", "(4, 4)", "(9, 4)", "(None, 4)"]
+    kept = {(r["doc_id"], r["text"]) for r in near_dedup.one_of_each(docs_of(spark, rows)).collect()}
+    assert len(kept) == 5 and {(4, " ".join(base)), (None, None), rows[6], rows[8]} <= kept
+    assert sum((t or "").lower().startswith("z0 ") for _, t in kept) == 1
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 240)]
