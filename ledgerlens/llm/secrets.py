@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking (operator 9, native).
 
 Strong spans (assignments, access identifiers, long hex) are found per text by regular expressions.
-Weak candidates (a bare 32 to 64 character token, an endpoint, an account name) mean little alone.
+Weak candidates (a bare token of 32 characters or more, plain or url-safe base64, an endpoint, an account name) mean little alone.
 Every candidate spans a scope of ``reach`` code points on both sides; an interval join inside each
 document links parts whose scopes meet, and a weak candidate is reported only if complementary
 parts co-occur: a bare token with an identifier (access or account), an account name with a secret
@@ -27,7 +27,8 @@ ACCESS = "AKIA[A-Z0-9]+"
 #: Runs are maximal, so asking for 16 characters at once gives the runs that reach 16.
 HEXRUN = "[0-9a-f]{16,}"
 # Weak kinds.
-TOKEN = "(?<![A-Za-z0-9+/=])(?=[A-Za-z/+]*[0-9])(?=[0-9/+]*[A-Za-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])"
+TOKEN = "(?<![A-Za-z0-9+/=])(?=[A-Za-z/+]*[0-9])(?=[0-9/+]*[A-Za-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])"
+URL_TOKEN = "(?<![A-Za-z0-9_=-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{32,}={0,2}(?![A-Za-z0-9_=-])"
 ENDPOINT = "(?:https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:@/?%&=+-]{4,}"
 ACCOUNT = "(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9._@-]{2,}"
 # Order of kinds where spans start together.
@@ -80,7 +81,8 @@ def candidate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = F.concat(regex_spans(text, ASSIGN, "assign", long_value),
                     regex_spans(text, ACCESS, "access", lambda m: F.length(m) >= 18),
                     regex_spans(text, HEXRUN, "hex"))
-    weak = F.concat(*[regex_spans(text, p, k) for k, p in (("token", TOKEN), ("endpoint", ENDPOINT), ("account", ACCOUNT))])
+    weak = F.array_distinct(F.concat(*[regex_spans(text, p, k) for k, p in (
+        ("token", TOKEN), ("token", URL_TOKEN), ("endpoint", ENDPOINT), ("account", ACCOUNT))]))
     return docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("text_key"),
                        base.alias("base"), weak.alias("weak"))
 
@@ -88,10 +90,13 @@ def candidate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def linked_weak(spans: DataFrame, reach: int = REACH) -> DataFrame:
     """(doc_id, text_key, linked): per document the weak spans whose complementary parts co-occur.
 
-    A bare token that lies inside a strong span is that span and no weak candidate.
+    A bare token that lies inside a strong span is that span and no weak candidate; one inside a longer bare
+    token (the two alphabets) is that token.
     """
+    inside = lambda w, x: (w["ord"] == x["ord"]) & (x["start"] <= w["start"]) & (w["end"] <= x["end"]) & (w != x)
     parts = (spans.where(F.size("weak") > 0).select("doc_id", "text_key", "base", F.filter("weak", lambda w: ~F.exists(
         "base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))).alias("weak")).distinct()
+        .withColumn("weak", F.filter("weak", lambda w: ~F.exists("weak", lambda x: inside(w, x))))
         .select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s"))
         .select("doc_id", "text_key", F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.end").alias("end"),
                 kind_name(F.col("s.ord")).alias("kind")))
