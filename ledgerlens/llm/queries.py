@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, kd_search, language, lm_score, mixing, multi_index, near_dedup, secrets, substrings, url_filter
+from ledgerlens.llm import (bpe, centroids, kd_search, language, lexical_search, line_dedup, lm_score, mixing, multi_index, near_dedup, secrets,
+                            substrings, url_filter)
 from ledgerlens.llm.tables import read_table
 
 # The rules that op7 judges by.
@@ -140,3 +141,71 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_class(F.col("doc_id"), 5) == 1, F.lit(True))
     return (lm_score.score_documents(docs, docs.where(~held_out))
             .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = f"regexp_extract_all(translate(text, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op11_lexical_search", f"""
+WITH b AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents),
+n AS (SELECT rid, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+t AS (SELECT count(*)::BIGINT AS total_docs, sum(n)::BIGINT AS total_terms FROM n),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) AS u WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * total_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term) AS f, t),
+i AS (SELECT p.rid, p.term, w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n.n * total_docs) // total_terms))) AS impact
+      FROM p JOIN w USING (term) JOIN n USING (rid), t),
+s AS (SELECT b.item_id, i.rid, sum(i.impact)::BIGINT AS score FROM b JOIN i USING (term) GROUP BY ALL HAVING sum(i.impact) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM s JOIN n USING (rid) QUALIFY rank <= 50""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item."""
+    return lexical_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op12_line_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(COALESCE(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10
+      GROUP BY key HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN rid END) >= 2),
+r AS (SELECT rid, doc_id, i, line, f.first IS NOT NULL AND f.first IS DISTINCT FROM k.doc_id AS dropped FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM r GROUP BY rid, doc_id""")
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document less those that a smaller document holds."""
+    return (line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), least=10, texts=False)
+            .withColumnRenamed("kept", "kept_sha256"))
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain rounds of assigning and moving, one group of common table expressions each."""
+    near = """a{r} AS (SELECT vec_id, rid, cluster, distance FROM (
+  SELECT x.vec_id, x.rid, c.cluster, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS distance FROM x JOIN c{r} AS c ON x.d = c.d GROUP BY ALL) AS s
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)"""
+    move = """c{s} AS (SELECT c.cluster, c.d, COALESCE(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN (
+  SELECT a.cluster, x.d, floor(sum(x.v)::DOUBLE / count(*)::DOUBLE)::BIGINT AS v FROM a{r} AS a JOIN x ON a.rid = x.rid GROUP BY ALL) AS m
+  ON m.cluster = c.cluster AND m.d = c.d)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [move.format(r=r, s=r + 1), near.format(r=r + 1)]
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64),
+u AS (SELECT rid, vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS f FROM e),
+x AS (SELECT rid, vec_id, d, floor(64 * f)::BIGINT AS v FROM u WHERE rid NOT IN (SELECT rid FROM u WHERE f IS NULL OR NOT isfinite(f))),
+g AS (SELECT rid, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR) NULLS LAST, l)::INTEGER - 1 AS cluster
+      FROM (SELECT rid, vec_id, list(v ORDER BY d) AS l FROM x GROUP BY ALL) AS o QUALIFY cluster < {k}),
+c0 AS (SELECT g.cluster, x.d, x.v FROM g JOIN x USING (rid)),
+{", ".join(steps)},
+h AS (SELECT cluster, sha256(string_agg(v::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (cluster)"""
+
+
+@query("op13_centroids", _lloyd_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds with 16 centroids."""
+    return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3).drop("centroid", "checked")
