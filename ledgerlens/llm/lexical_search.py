@@ -44,7 +44,7 @@ def terms_of(raw: bytes):
     while start < len(folded):
         end = start + CHUNK_BYTES
         if end < len(folded):
-            cut = folded.rfind(b" ", start, end)
+            cut = folded.rfind(b" ", start + 1, end)
             cut = folded.find(b" ", end) if cut < 0 else cut
             end = cut if cut >= 0 else len(folded)
         yield folded[start:end].split()
@@ -178,7 +178,7 @@ def impacts(n: list[int], doc: np.ndarray, term: np.ndarray, count: np.ndarray,
     return weights[term] * ((1_000_000_000 * count) // (1000 * count + 20 * m[doc]))
 
 
-def best_documents(counted: DataFrame, sent, weights: np.ndarray, total_docs: int, total_terms: int, k: int) -> DataFrame:
+def best_documents(counted: DataFrame, sent, weights: np.ndarray, total_docs: int, total_terms: int, k: int, shard_postings: int) -> DataFrame:
     """(item_id, doc_id, score): per task and item the ``k`` best of its documents."""
     weights_sent = counted.sparkSession.sparkContext.broadcast(weights)
 
@@ -208,14 +208,14 @@ def best_documents(counted: DataFrame, sent, weights: np.ndarray, total_docs: in
             sizes = np.diff(np.asarray(b.column("terms").offsets))
             first = 0
             while first < b.num_rows:  # as many rows as the shard at hand has room for, one at least
-                room = np.searchsorted(np.cumsum(sizes[first:]), SHARD_POSTINGS - postings, side="right")
+                room = np.searchsorted(np.cumsum(sizes[first:]), shard_postings - postings, side="right")
                 end = first + max(1, min(int(room), SHARD_DOCS - documents, b.num_rows - first))
                 some = b.slice(first, end - first)
                 ids = some.column("doc_id")
                 held.append((np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), some.column("n").to_pylist(), np.repeat(np.arange(end - first), sizes[first:end]),
                              np.asarray(some.column("terms").flatten()).astype(np.int64), np.asarray(some.column("counts").flatten())))
                 postings, documents, first = postings + int(sizes[first:end].sum()), documents + end - first, end
-                if postings >= SHARD_POSTINGS or documents >= SHARD_DOCS or first < b.num_rows:
+                if postings >= shard_postings or documents >= SHARD_DOCS or first < b.num_rows:
                     search()
                     postings = documents = 0
         if held:
@@ -228,7 +228,7 @@ def best_documents(counted: DataFrame, sent, weights: np.ndarray, total_docs: in
 
 
 def rank_documents(docs: DataFrame, items: DataFrame, k: int = 50, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text",
-                   group_terms: int = GROUP_TERMS) -> DataFrame:
+                   group_terms: int = GROUP_TERMS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """(item_id, rank, doc_id, score): per item the ``k`` documents of highest score above 0, exact, ties to the smaller id.
 
     Terms are runs of ASCII letters and digits and of all characters beyond ASCII, only A-Z lower-cased. The
@@ -257,6 +257,6 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 50, item_col: str
         held = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # one row per term of the group
         df[np.asarray(held.column("term"))] = np.asarray(held.column("df"))
         weights = np.array([math.floor(1000 * math.log((2 * total["docs"] + 2) / (2 * int(d) + 1))) for d in df], np.int64)
-        out = out.unionByName(best_documents(counted, sent, weights, total["docs"], total["terms"], k))
+        out = out.unionByName(best_documents(counted, sent, weights, total["docs"], total["terms"], k, shard_postings))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

@@ -88,16 +88,16 @@ def test_stages_return_the_columns_of_documents(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
-    assert {"op4_mixing", "op6_kd_search", "op7_url_filter"} <= set(SQL) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
+    assert {"op4_mixing", "op6_kd_search", "op7_url_filter", "op11_lexical_search", "op12_line_dedup", "op13_centroids"} <= set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
-@pytest.mark.parametrize("name", ["op4_mixing", "op6_kd_search", "op7_url_filter"])
+@pytest.mark.parametrize("name", ["op4_mixing", "op6_kd_search", "op7_url_filter", "op11_lexical_search", "op12_line_dedup", "op13_centroids"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     a, b = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     cols = sorted(a.columns)
