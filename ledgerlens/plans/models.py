@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import models as M
+from ledgerlens.operators.forest import LOCAL_ROWS, fold_forests
 from ledgerlens.operators.evaluate import auc
 from ledgerlens.operators.features import stage_stats_at_cutoff, stats_at_cutoff
 from ledgerlens.plans import delivery as D
@@ -76,12 +77,13 @@ def logit_split(encoded: DataFrame, features: Sequence[str] = D.BASELINE_FEATURE
 
 
 def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", with_stages: bool = False,
-                 categories: Sequence[str] = (), trees: int = 200) -> DataFrame:
+                 categories: Sequence[str] = (), trees: int = 200, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """W3 + M7 (+M8) + E8: expanding-window monthly evaluation.
 
     Seller stats for every cutoff come from one aggregate (``stats_at_cutoff``); each
     evaluated month filters it by its cutoff, so no per-month re-aggregation of history.
-    Training rows get the fold's whole-train rate (T15).
+    Training rows get the fold's whole-train rate (T15). Forests of months whose rows fit in a task are
+    grown together (``fold_forests``), larger ones one by one as distributed fits.
     """
     spark = df.sparkSession
     df = D.with_month(df)
@@ -89,7 +91,9 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
         df = D.with_stages(df)
     df = materialise_by(df, "year_month")  # a month's training rows are its earlier partitions
     plan = month_plan(df, "year_month", "is_late")
-    months = [r["year_month"] for r in plan.where("evaluated").orderBy("year_month").collect()]  # calendar-bounded
+    evaluated = plan.where("evaluated").orderBy("year_month").collect()  # calendar-bounded
+    months = [r["year_month"] for r in evaluated]
+    together = [r["year_month"] for r in evaluated if r["train_size"] + r["test_size"] <= local_rows] if fit == "forest" and len(categories) <= 1 else []
     cut = plan.where("evaluated").select(F.col("year_month").alias("cutoff"))
     rates = materialise(stats_at_cutoff(df, "primary_seller_id", "is_late", "year_month", cut, 5))
     stages = None
@@ -134,7 +138,18 @@ def walk_forward(df: DataFrame, features: Sequence[str], fit: str = "logit", wit
          .select(F.col("year_month").alias("test_month"), F.col("is_late").cast("int").alias("label"), "score")
          .write.mode("overwrite").parquet(f"{out_path}/fold={i}"))
 
-    M.run_parallel([lambda i=i, m=m: fit_month(i, m) for i, m in enumerate(months)])
+    def grow_together():
+        folds = F.array(*[ntz_lit(m) for m in together])
+        part = df.withColumn("test_month", F.explode(F.filter(folds, lambda c: c >= F.col("year_month"))))
+        r = rates.select(F.col("cutoff").alias("test_month"), "primary_seller_id", F.col("entity_on_time_rate").alias("seller_on_time_rate"))
+        whole = F.create_map(*[x for m in together for x in (ntz_lit(m), F.lit(overall.get(m)).cast("double"))])
+        part = part.join(r, ["test_month", "primary_seller_id"], "left").withColumn(
+            "seller_on_time_rate", F.coalesce(F.col("seller_on_time_rate"), whole[F.col("test_month")]))
+        (fold_forests(part, "test_month", F.col("year_month") == F.col("test_month"), "is_late", F.xxhash64("order_id"), features,
+                      categories[0] if categories else None, trees=trees, folds=len(together))
+         .write.mode("overwrite").parquet(f"{out_path}/fold=together"))
+
+    M.run_parallel([lambda i=i, m=m: fit_month(i, m) for i, m in enumerate(months) if m not in together] + ([grow_together] if together else []))
     if not months:
         return spark.createDataFrame([], "test_month timestamp_ntz, test_size long, test_late_rate double, auc double")
     res = materialise(auc(spark.read.parquet(out_path).drop("fold"), "label", "score", by=["test_month"]))  # one job for every month

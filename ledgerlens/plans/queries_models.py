@@ -20,7 +20,7 @@ from ledgerlens.plans.queries_causal import cdata, comparison_rows, windowed_eff
 from ledgerlens.plans.queries_drift import encoded
 from ledgerlens.plans.queries_eval import THRESHOLDS
 from ledgerlens.plans.queries_split import trimmed
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.registry import R, query
 
 
 def segmented(spark, sf_dir):
@@ -131,6 +131,40 @@ def q_walk_forward_forest_auc(spark, sf_dir):
     return forest_months(trimmed(spark, sf_dir))
 
 
+WALK_FOLDS = """
+SELECT year_month AS test_month, test_size, CAST(test_late AS DOUBLE) / test_size AS test_late_rate, true AS auc_in_range
+FROM (SELECT *, dense_rank() OVER (ORDER BY year_month) - 1 AS month_idx
+      FROM (SELECT CAST(date_trunc('month', order_purchase_timestamp) AS TIMESTAMP) AS year_month,
+                   count(*) AS test_size, CAST(sum(CAST(is_late AS INTEGER)) AS BIGINT) AS test_late
+            FROM c_trim GROUP BY 1))
+WHERE month_idx >= 9 AND test_late >= 5 AND test_size >= 50"""
+
+
+def checked_folds(months):
+    """Fold table with what SQL can state of it: months, sizes, late rates, and that every AUC is a probability."""
+    return months.select("test_month", "test_size", "test_late_rate", F.coalesce(F.col("auc").between(0, 1), F.lit(False)).alias("auc_in_range"))
+
+
+@query("walk_forward_forest_folds", WALK_FOLDS, mart=True, extra=SPLIT, rnd=R("test_late_rate"), ids="M11 W3 E8")
+def q_walk_forward_forest_folds(spark, sf_dir):
+    return checked_folds(forest_months(trimmed(spark, sf_dir)))
+
+
+@query("walk_forward_folds", WALK_FOLDS, mart=True, extra=SPLIT, rnd=R("test_late_rate"), ids="W3 M7 E8")
+def q_walk_forward_folds(spark, sf_dir):
+    return checked_folds(PM.walk_forward(trimmed(spark, sf_dir), PM.wf_features(), "logit"))
+
+
+@query("rolling_fold_checked", """
+SELECT chunk AS fold, min(order_purchase_timestamp) AS test_start, max(order_purchase_timestamp) AS test_end,
+       avg(CAST(is_late AS DOUBLE)) AS test_late_rate, true AS auc_in_range
+FROM c_folds WHERE chunk BETWEEN 1 AND 5 GROUP BY chunk
+""", mart=True, extra=SPLIT, rnd=R("test_late_rate"), ids="W2 M7 E8")
+def q_rolling_fold_checked(spark, sf_dir):
+    r = q_rolling_fold_auc(spark, sf_dir)
+    return r.select("fold", "test_start", "test_end", "test_late_rate", F.coalesce(F.col("auc").between(0, 1), F.lit(False)).alias("auc_in_range"))
+
+
 @query("logit_optimality", """
 SELECT split, count(*) AS n, CAST(sum(CAST(is_late AS INTEGER)) AS BIGINT) AS positives, true AS optimal
 FROM c_encoded GROUP BY split""", mart=True, extra=SPLIT, ids="M9 M12")

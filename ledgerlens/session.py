@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 # Settings every plan in this library relies on. ANSI mode stays at its default (on).
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,12 +58,18 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         spark.conf.get("spark.checkpoint.dir", None)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One JVM on one machine: ``local`` or ``local[n]``, but not ``local-cluster``, whose executors have folders of their own."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Use the session's checkpoint dir; a local master (tests) without one gets a scratch
     folder, any other raises: executors do not share a folder of the driver's machine."""
     d = checkpoint_dir(spark)
     if not d:
-        if fallback is None and not spark.sparkContext.master.startswith("local"):
+        if fallback is None and not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = fallback or tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not spark.sparkContext.getCheckpointDir():
@@ -77,3 +87,23 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that has served its purpose."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once per application, as ``--py-files`` would: Python functions
+    that run there are pickled by reference to it."""
+    app = spark.sparkContext.applicationId
+    root = os.path.dirname(os.path.abspath(__file__))
+    if app in _SHIPPED or not os.path.isdir(root):
+        return
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-src-"), "ledgerlens_src.zip")
+    with open(path, "wb") as f:
+        f.write(buffer.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
