@@ -3,18 +3,11 @@ Python functions on the executors."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-import ledgerlens
-from ledgerlens.session import scratch_path
-
-_SHIPPED: set[str] = set()
+from ledgerlens.session import scratch_path, ship_package
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,25 +40,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package's source to the executors, once per application, as ``--py-files`` would."""
-    app = spark.sparkContext.applicationId
-    root = os.path.dirname(os.path.abspath(ledgerlens.__file__))
-    if app in _SHIPPED or not os.path.isdir(root):
-        return
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(root)))
-    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-src-"), "ledgerlens_src.zip")
-    with open(path, "wb") as f:
-        f.write(buffer.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with this package importable on the executors."""
     ship_package(df.sparkSession)
