@@ -7,8 +7,8 @@ into partition offsets with a window over that tiny table, and add an in-partiti
 sum. Every row gets its exact cumulative position; no task ever holds more than one range
 partition.
 
-Built on it: exact row index (W2), chronological cut (W1), exact linear quantiles (V6, W5),
-and quantile bins. Resampling (W7) joins per-bucket counts to a generated calendar.
+Built on it: exact row index (W2). Values at a few wanted positions (chronological cut W1, exact linear
+quantiles V6 and W5, quantile bins) need no order of all rows: see ``selection``. Resampling (W7) joins per-bucket counts to a generated calendar.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.temporal import epoch_micros, ntz_lit
+from ledgerlens.operators.selection import select_ranks
 from ledgerlens.session import ensure_checkpoint_dir
 
 
@@ -87,19 +88,15 @@ def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), n_parts: in
     return out.withColumnRenamed("_b_cnt", "before").withColumnRenamed("_a_cnt", "total")
 
 
-def chrono_split(df: DataFrame, ts: str, frac: float = 0.8, n_parts: int | None = None):
+def chrono_split(df: DataFrame, ts: str, frac: float = 0.8):
     """Sort by ``ts``; split_ts = ts of row ``int(n * frac)``; train ``ts < split_ts``,
     test ``ts >= split_ts`` (a whole tie goes to test, T8).
 
     Returns ``(split_ts, n_rows)``; the caller compares with a literal.
     """
-    vp = value_positions(df, ts, n_parts=n_parts)
-    n = int(vp.agg(F.sum("cnt")).first()[0] or 0)
-    if n == 0:
-        return None, 0
-    pos = int(n * frac)
-    row = vp.where((F.col("before") <= pos) & (F.col("before") + F.col("cnt") > pos)).select("value").first()
-    return row["value"], n
+    share = lambda n: F.array(F.floor(n * F.lit(float(frac))).cast("long"))
+    row = select_ranks(df, ts, rank_code(df, ts), [], [(frac, share)]).first()
+    return (row["value"], row["total"]) if row else (None, 0)
 
 
 def with_split(df: DataFrame, ts: str, split_ts, name: str = "split") -> DataFrame:
@@ -131,32 +128,34 @@ def rolling_folds(df: DataFrame, ts: str, key: str, k: int = 5, n_parts: int | N
     return df.withColumn(name, F.when(passed <= k, passed))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    n_parts: int | None = None) -> DataFrame:
+def rank_code(df: DataFrame, col: str) -> Column:
+    """A double or long that orders like ``col`` (a timestamp or number)."""
+    kind = dict(df.dtypes)[col]
+    return epoch_micros(col).cast("long") if kind.startswith("timestamp") else F.col(col).cast(
+        "double" if kind in ("double", "float") or kind.startswith("decimal") else "long")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), narrow: bool = False) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default), exact and distributed.
 
     For each p, h = (n-1)p; q = v[floor h] + (h - floor h) * (v[ceil h] - v[floor h]).
-    Only the distinct values that hold positions floor(h)/ceil(h) are picked.
+    Only values near the positions floor(h)/ceil(h) are ordered (``selection.select_ranks``; ``narrow`` as there).
     Output: (by..., p, q).
     """
     by = list(by)
     x = df.select(*by, F.col(col).cast("double").alias("_x"))
-    vp = value_positions(x, "_x", by, n_parts)
-    # every value row knows its group's total, so it finds the targets it holds by itself: no
-    # join on the group, which may be as few as the described columns
-    target = lambda p: F.struct(p.alias("p"), (p * (F.col("total") - 1)).alias("_h"),
-                                F.floor(p * (F.col("total") - 1)).cast("long").alias("_lo"),
-                                F.ceil(p * (F.col("total") - 1)).cast("long").alias("_hi"))
-    targets = F.transform(F.array(*[F.lit(float(p)) for p in probs]), target)
-    both = F.flatten(F.transform(targets, lambda t: F.array_distinct(F.array(
-        *[F.struct(t["p"].alias("p"), t["_h"].alias("_h"), t["_lo"].alias("_lo"), t[e].alias("_pos")) for e in ("_lo", "_hi")]))))
-    held = F.filter(both, lambda t: (F.col("before") <= t["_pos"]) & (F.col("before") + F.col("cnt") > t["_pos"]))
-    hit = vp.select(*by, "value", F.explode(held).alias("_t")).select(*by, "value", "_t.*")
-    agg = hit.groupBy(*by, "p", "_h", "_lo").agg(
-        F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("value"))).alias("_vlo"),
-        F.max(F.when(F.col("_pos") != F.col("_lo"), F.col("value"))).alias("_vhi"))
-    vhi = F.coalesce(F.col("_vhi"), F.col("_vlo"))
-    return agg.select(*by, "p", (F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (vhi - F.col("_vlo"))).alias("q"))
+    h = lambda n, p: F.lit(float(p)) * (n - 1)
+    ranks = [(float(p), lambda n, p=p: F.array(F.floor(h(n, p)).cast("long"), F.ceil(h(n, p)).cast("long"))) for p in probs]
+    hit = select_ranks(x, "_x", F.col("_x"), by, ranks, narrow).withColumn("p", F.array(*[F.lit(p) for p, _ in ranks])[F.col("target")])
+    at = F.col("p") * (F.col("total") - 1)
+    low = F.floor(at).cast("long")
+    agg = hit.groupBy(*by, "p", at.alias("_h"), low.alias("_lo")).agg(
+        F.max(F.when(F.col("position") == low, F.col("value"))).alias("_vlo"),
+        F.max(F.when(F.col("position") != low, F.col("value"))).alias("_vhi"))
+    # a rank outside its bracket would be an error of the sketch beyond its bound: an error, not a null
+    vlo = F.coalesce(F.col("_vlo"), F.raise_error(F.lit("rank outside its bracket")).cast("double"))
+    vhi = F.coalesce(F.col("_vhi"), vlo)
+    return agg.select(*by, "p", (vlo + (F.col("_h") - F.col("_lo")) * (vhi - vlo)).alias("q"))
 
 
 def quantile_edges(df: DataFrame, col: str, n_bins: int, by: Sequence[str] = ()) -> DataFrame:

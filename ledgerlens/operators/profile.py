@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.selection import kept
 from ledgerlens.operators.ordering import exact_quantiles, null_safe_join
 
 
@@ -41,6 +42,8 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact:
     """
     by = list(by)
     long = unpivot_columns(df, cols, by)
+    if exact:
+        long, _ = kept(long, "described")  # read by the statistics and by the rank selection: the input runs once
     keys = by + ["column_name"]
     stats = long.groupBy(*keys).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
@@ -49,7 +52,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact:
     if not exact:
         return stats.select(*keys, "n", "mean", "std", "min", F.col("_q")[0].cast("double").alias("q25"),
                             F.col("_q")[1].cast("double").alias("q50"), F.col("_q")[2].cast("double").alias("q75"), "max")
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys)
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys, narrow=True)
     qw = q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
                                 for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     return null_safe_join(stats, qw, keys).select(*keys, "n", "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -121,12 +121,10 @@ def auto_trim_cutoff(df: DataFrame, ts: str = "order_purchase_timestamp", share:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a reused intermediate once (reliable checkpoint in the cluster's shared
-    ``spark.checkpoint.dir``): later eager steps read it instead of re-running its joins,
-    and lineage is cut, so a lost executor does not replay the whole plan."""
-    from ledgerlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a reused intermediate once as Parquet in the cluster's shared folder: later eager steps read the columns
+    they need instead of re-running its joins, and lineage is cut, so a lost executor does not replay the plan."""
+    from ledgerlens.operators.selection import kept
+    return kept(df)[0]
 
 
 def trimmed_mart(t: Tables) -> tuple[DataFrame, object]:
@@ -147,15 +145,15 @@ def comparison_windows(df: DataFrame, ts: str = "order_purchase_timestamp", k: i
                        name: str = "window_label") -> DataFrame:
     """Label the test windows of the last two rolling folds 'A' (chunk k-1) and 'B'
     (chunk k through the end of the data) in one pass."""
-    from ledgerlens.operators.ordering import value_positions
-    vp = value_positions(df, ts)  # distinct timestamps only: two of them are wanted
-    last = vp.agg(F.max(F.col("before") + F.col("cnt")).alias("n"), F.max("value").alias("e")).first()
-    size = (last["n"] or 0) // (k + 1)
-    if size == 0:
+    from ledgerlens.operators.ordering import rank_code
+    from ledgerlens.operators.selection import select_ranks
+    size = lambda n: F.floor(n / (k + 1)).cast("long")
+    begins = [(i / (k + 1), lambda n, i=i: F.array(size(n) * i)) for i in (k - 1, k)]
+    found = {r["target"]: r for r in select_ranks(df, ts, rank_code(df, ts), [], begins + [(1.0, lambda n: F.array(n - 1))]).collect()}
+    if not found or found[2]["total"] // (k + 1) == 0:
         return df.withColumn(name, F.lit(None).cast("string"))
-    at = lambda row: (F.col("before") <= row) & (F.col("before") + F.col("cnt") > row)
-    a, b = (vp.where(at(size * i)).first()["value"] for i in (k - 1, k))
+    a, b, last = (found[t]["value"] for t in range(3))
     c = F.col(ts)
     lab = (F.when((c >= ntz_lit(a)) & (c < ntz_lit(b)), F.lit("A"))
-            .when((c >= ntz_lit(b)) & (c <= ntz_lit(last["e"])), F.lit("B")))
+            .when((c >= ntz_lit(b)) & (c <= ntz_lit(last)), F.lit("B")))
     return df.withColumn(name, lab)

@@ -17,7 +17,7 @@ from ledgerlens.plans import delivery as D
 from ledgerlens.plans.segmentation import FINAL_CLUSTER_FEATURES
 from ledgerlens.functions.temporal import ntz_lit
 from ledgerlens.plans.walk_forward import month_plan
-from ledgerlens.session import ensure_checkpoint_dir, remove_path, scratch_path
+from ledgerlens.session import remove_path, scratch_path
 
 KMEANS_SEEDS = tuple(range(42, 52))   # ten restarts
 PROFILE_COLS = ["recency_days", "monetary", "avg_review_score", "category_diversity", "avg_installments",
@@ -25,9 +25,8 @@ PROFILE_COLS = ["recency_days", "monetary", "avg_review_score", "category_divers
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage before a fit loop: reliable checkpoint in the shared checkpoint dir."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage before a fit loop: written once in the shared folder, read column by column."""
+    return D.materialise(df)
 
 
 def materialise_by(df: DataFrame, key: str) -> DataFrame:
