@@ -68,7 +68,11 @@ def item_enrichment(items: DataFrame, products: DataFrame, translation: DataFram
 def order_rollup(items: DataFrame, products: DataFrame, translation: DataFrame | None,
                  item_order: Sequence[str], key: str = "order_id") -> DataFrame:
     """One row per order with counts, sums, mean price and primary seller/category."""
-    e = item_enrichment(items, products, translation)
+    return rollup_items(item_enrichment(items, products, translation), item_order, key)
+
+
+def rollup_items(e: DataFrame, item_order: Sequence[str], key: str = "order_id") -> DataFrame:
+    """A9 over items that carry their product's attributes."""
     return e.groupBy(key).agg(
         F.count("order_item_id").alias("item_count"),
         sum_zero("freight_value").alias("total_freight"),
@@ -103,10 +107,15 @@ def rfm(orders: DataFrame, customers: DataFrame, payments: DataFrame,
     generalising the reference's hard-coded exclusion of the one such customer).
     """
     o = orders if status is None else orders.filter(F.col("order_status") == status)
+    named = o.select("order_id", "customer_id", ts).join(customers.select("customer_id", person), "customer_id", "left")
+    return rfm_of_named(named, payments, person, ts, drop_unpaid)
+
+
+def rfm_of_named(named: DataFrame, payments: DataFrame, person: str = "customer_unique_id",
+                 ts: str = "order_purchase_timestamp", drop_unpaid: bool = True) -> DataFrame:
+    """A7 over orders that carry their person."""
     pay = payments.groupBy("order_id").agg(F.sum("payment_value").alias("payment_value"))
-    base = (o.select("order_id", "customer_id", ts)
-            .join(customers.select("customer_id", person), "customer_id", "left")
-            .where(F.col(person).isNotNull())
+    base = (named.select("order_id", person, ts).where(F.col(person).isNotNull())
             .join(pay, "order_id", "left"))
     ref = base.agg(F.max(ts).alias("m")).first()["m"]  # one-row global scalar (A21)
     if ref is None:
@@ -134,10 +143,15 @@ def customer_features(t, rfm_df: DataFrame | None = None, person: str = "custome
     """
     r = rfm_df if rfm_df is not None else rfm(t.orders, t.customers, t.payments, person)
     bridge = person_bridge(t.orders, t.customers, person).select("order_id", person)
+    named = (t.order_items.select("order_id", "product_id", "price", "freight_value")
+             .join(t.products.select("product_id", "product_category_name"), "product_id", "left"))
+    return enriched_people(r, bridge, named, t.payments, t.reviews, person, fill_unknown_category)
+
 
-    items = (t.order_items.select("order_id", "product_id", "price", "freight_value")
-             .join(t.products.select("product_id", "product_category_name"), "product_id", "left")
-             .join(bridge, "order_id", "inner"))
+def enriched_people(r: DataFrame, bridge: DataFrame, named_items: DataFrame, payments: DataFrame, reviews: DataFrame,
+                    person: str = "customer_unique_id", fill_unknown_category: bool = True) -> DataFrame:
+    """M14 from the RFM table, an (order_id, person) bridge, items with their category, payments and reviews."""
+    items = named_items.select("order_id", "product_category_name", "price", "freight_value").join(bridge, "order_id", "inner")
     cat = F.col("product_category_name")
     if fill_unknown_category:
         cat = F.coalesce(cat, F.lit("unknown"))
@@ -145,12 +159,12 @@ def customer_features(t, rfm_df: DataFrame | None = None, person: str = "custome
         F.countDistinct(cat).alias("category_diversity"),
         F.avg(safe_ratio("freight_value", "price")).alias("avg_freight_ratio"))
 
-    pays = t.payments.select("order_id", "payment_type", "payment_installments").join(bridge, "order_id", "inner")
+    pays = payments.select("order_id", "payment_type", "payment_installments").join(bridge, "order_id", "inner")
     pay_feats = pays.groupBy(person).agg(
         F.avg("payment_installments").alias("avg_installments"),
         F.mode("payment_type", True).alias("preferred_payment_type"))
 
-    rev = (t.reviews.select("order_id", "review_score").join(bridge, "order_id", "inner")
+    rev = (reviews.select("order_id", "review_score").join(bridge, "order_id", "inner")
            .groupBy(person).agg(F.avg("review_score").alias("avg_review_score")))
 
     return (r.join(item_feats, person, "left").join(pay_feats, person, "left").join(rev, person, "left")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.geo import haversine_km, in_box
 from ledgerlens.functions.temporal import hours_between, fractional_days, month_start, ntz_lit, weekday_mon0
-from ledgerlens.operators.features import (BRAZIL_BOX, attach_point, geo_centroid, max_per_key, order_rollup)
+from ledgerlens.operators.features import (BRAZIL_BOX, attach_point, geo_centroid, max_per_key, order_rollup,
+                                           rollup_items)
+from ledgerlens.sources.facts import Facts
 from ledgerlens.sources.tables import Tables
 
 MART_COLUMNS = [
@@ -41,7 +43,7 @@ def late_flag(delivered: str = "order_delivered_customer_date",
     return F.coalesce(F.col(delivered) > F.col(estimated), F.lit(False))
 
 
-def delivered_orders(t: Tables) -> DataFrame:
+def delivered_orders(t: Tables | Facts) -> DataFrame:
     """F2 + F9 + X3: delivered orders with the late flag and calendar features."""
     return (t.orders.where(F.col("order_status") == "delivered")
             .withColumn("is_late", late_flag())
@@ -58,10 +60,7 @@ def order_mart_unfiltered(t: Tables) -> DataFrame:
                               "seller_zip_code_prefix", "seller").drop("seller_zip_code_prefix")
     cust_geo = attach_point(t.customers.select("customer_id", "customer_zip_code_prefix"), cent,
                             "customer_zip_code_prefix", "customer").drop("customer_zip_code_prefix")
-    m = (delivered_orders(t)
-         .join(roll, "order_id", "left")
-         .join(inst, "order_id", "left")
-         .withColumn("primary_category", F.coalesce(F.col("primary_category"), F.lit("unknown")))
+    m = (attach_stars(delivered_orders(t), roll, inst)
          .join(seller_geo.withColumnRenamed("seller_id", "primary_seller_id"), "primary_seller_id", "left")
          .join(cust_geo, "customer_id", "left")
          .withColumn("seller_customer_distance_km",
@@ -69,14 +68,34 @@ def order_mart_unfiltered(t: Tables) -> DataFrame:
     return m.select(*MART_COLUMNS)
 
 
+def order_mart_of_facts(f: Facts) -> DataFrame:
+    """The mart from bucketed facts: orders, item roll-up and installments meet without a shuffle; only the points of
+    sellers and customers (dimensions) are joined by other keys."""
+    cent = geo_centroid(f.geolocation)
+    seller_geo = attach_point(f.sellers.select("seller_id", "seller_zip_code_prefix"), cent,
+                              "seller_zip_code_prefix", "seller").drop("seller_zip_code_prefix")
+    m = (attach_stars(delivered_orders(f), rollup_items(f.items, f.item_order), max_per_key(f.payments, "order_id", "payment_installments"))
+         .join(seller_geo.withColumnRenamed("seller_id", "primary_seller_id"), "primary_seller_id", "left"))
+    m = attach_point(m, cent, "customer_zip_code_prefix", "customer").withColumn(
+        "seller_customer_distance_km", haversine_km("seller_lat", "seller_lng", "customer_lat", "customer_lng"))
+    return in_scope(m.select(*MART_COLUMNS))
+
+
+def attach_stars(orders: DataFrame, roll: DataFrame, inst: DataFrame) -> DataFrame:
+    """J4 at order grain: the roll-ups beside their order."""
+    return (orders.join(roll, "order_id", "left").join(inst, "order_id", "left")
+            .withColumn("primary_category", F.coalesce(F.col("primary_category"), F.lit("unknown"))))
+
+
 def order_mart(t: Tables) -> DataFrame:
-    """The delivered-order feature mart (one row per order).
+    """The delivered-order feature mart (one row per order)."""
+    return in_scope(order_mart_unfiltered(t))
+
 
-    Exclusions, in the reference's order: orders without any payment row (F3), orders
-    without a distance (F4), and orders with either endpoint outside the box (F5).
-    """
+def in_scope(m: DataFrame) -> DataFrame:
+    """Exclusions, in the reference's order: orders without any payment row (F3), orders
+    without a distance (F4), and orders with either endpoint outside the box (F5)."""
     lat_lo, lat_hi, lng_lo, lng_hi = BRAZIL_BOX
-    m = order_mart_unfiltered(t)
     return m.where(F.col("payment_installments").isNotNull()
                    & F.col("seller_customer_distance_km").isNotNull()
                    & in_box("customer_lat", "customer_lng", lat_lo, lat_hi, lng_lo, lng_hi)
