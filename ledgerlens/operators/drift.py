@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +135,76 @@ def bootstrap_corr(df: DataFrame, key: str, x: str, y: str, reps: int = 20, frac
     return long.select("rep", F.when(vx * vy > 0, cov / F.sqrt(vx * vy)).alias("r"))
 
 
+# Fixed values of the draw hash (must stay as written for oracle parity): multipliers of the draw, replicate and block
+# numbers, then the same kinds of rounds as above.
+DRAW_MULS = (48271, 69621, 16807)
+DRAW_STEPS = (("square", 12345), ("mul", 48271), ("square", 54321), ("mul", 16807), ("square", 7919), ("mul", 48271))
+RESAMPLE_BLOCK = 1 << 17  # rows that one task resamples at once
+
+
+def draw_uniform(draw, rep, block, seed: int):
+    """u in [0, 1) from whole numbers; for columns and numpy arrays alike (every product stays below 2^62)."""
+    x = (draw % HASH_MOD * DRAW_MULS[0] + rep * DRAW_MULS[1] + block * DRAW_MULS[2] + seed * HASH_SEED_MUL % HASH_MOD) % HASH_MOD
+    for kind, c in DRAW_STEPS:
+        x = (x * x + c) % HASH_MOD if kind == "square" else (x * c) % HASH_MOD
+    return x / float(HASH_MOD)
+
+
+def draw_uniform_sql(draw: str, rep: str, block: str, seed: int) -> str:
+    """The same in SQL."""
+    x = f"(({draw}) % {HASH_MOD} * {DRAW_MULS[0]} + ({rep}) * {DRAW_MULS[1]} + ({block}) * {DRAW_MULS[2]} + {seed * HASH_SEED_MUL % HASH_MOD}) % {HASH_MOD}"
+    for kind, c in DRAW_STEPS:
+        x = f"((({x}) * {c}) % {HASH_MOD})" if kind == "mul" else f"(list_transform([{x}], lambda z: (z * z + {c}) % {HASH_MOD})[1])"
+    return f"(CAST({x} AS DOUBLE) / {float(HASH_MOD)})"
+
+
+def fixed_bootstrap(df: DataFrame, key: str, x: str, y: str, reps: int = 20, frac: float = 0.7, seed: int = 42,
+                    block: int = RESAMPLE_BLOCK) -> DataFrame:
+    """D4 as drawn by a sample with replacement: each replicate has exactly round(frac * rows) draws -> (rep, size, r).
+
+    Rows take their place in the order of their key's hash, in blocks of ``block`` places. A draw falls on a place
+    uniformly, hence on a block; draws are only counted per (replicate, block), combined before the shuffle. Each
+    block then draws its counts among its own rows and returns sums per replicate, so no draw meets a row in a join.
+    Rows with a null value are drawn and count in ``size``, not in ``r``; a constant replicate has a null ``r``.
+    """
+    from ledgerlens.operators.ordering import row_index
+    from ledgerlens.session import ship_package
+    spark = df.sparkSession
+    narrow = df.select(F.md5(F.col(key).cast("string").cast("binary")).alias("_h"), F.col(key).alias("_k"),
+                       F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    n = narrow.count()
+    if not n:
+        return spark.createDataFrame([], "rep int, size long, r double")
+    rows = row_index(narrow, ["_h", "_k", "_x", "_y"], name="_at").select(F.floor(F.col("_at") / block).cast("long").alias("block"),
+                                                                       (F.col("_at") % block).alias("_at"), "_x", "_y")
+    draws = int(n * frac + 0.5)
+    place = lambda r: F.floor(draw_uniform(F.col("id"), r.cast("long"), F.lit(0).cast("long"), seed) * n)
+    counts = (spark.range(draws).select("id", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+              .groupBy("rep", F.floor(place(F.col("rep")) / block).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("draws")))
+
+    def run(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("rep", "size", "w", "sx", "sy", "sxx", "syy", "sxy")}
+        order = np.argsort(np.asarray(mine.column("_at")))
+        xs, ys = (np.asarray(mine.column(c).combine_chunks().cast(pa.float64()).fill_null(float("nan")))[order] for c in ("_x", "_y"))
+        good = ~np.isnan(xs) & ~np.isnan(ys)
+        xs, ys = np.where(good, xs, 0.0), np.where(good, ys, 0.0)
+        for rep, many, number in zip(asked.column("rep").to_pylist(), asked.column("draws").to_pylist(), asked.column("block").to_pylist()):
+            at = (draw_uniform(np.arange(many, dtype=np.int64), rep, number + 1, seed) * len(xs)).astype(np.int64)
+            w = np.bincount(at, minlength=len(xs)) * good
+            for c, v in zip(out, (rep, many, w.sum(), (w * xs).sum(), (w * ys).sum(), (w * xs * xs).sum(), (w * ys * ys).sum(), (w * xs * ys).sum())):
+                out[c].append(v)
+        return pa.table({"rep": pa.array(out["rep"], pa.int32()), "size": pa.array(out["size"], pa.int64()),
+                         **{c: pa.array([float(v) for v in out[c]], pa.float64()) for c in ("w", "sx", "sy", "sxx", "syy", "sxy")}})
+
+    ship_package(spark)
+    parts = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+        run, "rep int, size long, w double, sx double, sy double, sxx double, syy double, sxy double")
+    s = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("size", "w", "sx", "sy", "sxx", "syy", "sxy")])
+    mean = lambda c: F.try_divide(F.col(c), F.col("w"))
+    vx, vy = mean("sxx") - mean("sx") * mean("sx"), mean("syy") - mean("sy") * mean("sy")
+    return s.select("rep", "size", F.when(vx * vy > 0, (mean("sxy") - mean("sx") * mean("sy")) / F.sqrt(vx * vy)).alias("r"))
+
+
 def bootstrap_summary(reps: DataFrame) -> DataFrame:
     """D4 summary: mean, population std (ddof 0, T11), min, max of the replicate r."""
     return reps.agg(F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r"),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.scaling import scale_apply, scale_fit
+from ledgerlens.operators.silhouette import SAMPLE, sampled_silhouette
 
 # fixed segment labels of the final five-cluster solution
 SEGMENT_NAMES = {
@@ -96,18 +97,29 @@ def _kmeans_once(df: DataFrame, k: int, seed: int, features_col: str = "features
     return m, m.summary.trainingCost
 
 
-def select_k(df: DataFrame, ks: Sequence[int], seeds: Sequence[int], features_col: str = "features") -> DataFrame:
-    """M2 + M3 (+T22: one fit per k gives both): k, inertia, silhouette (squared Euclidean,
-    O(n k) closed form from ``ClusteringEvaluator``)."""
+def select_k(df: DataFrame, ks: Sequence[int], seeds: Sequence[int], features_col: str = "features", key: str | None = None,
+             sample: int = SAMPLE) -> DataFrame:
+    """M2 + M3 (+T22: one fit per k gives both): k, inertia, silhouette (mean Euclidean, of ``sample`` points against
+    all rows) with its standard error, and silhouette_squared (squared Euclidean, the closed form of
+    ``ClusteringEvaluator``). ``key`` names the rows; without it their features do."""
     ev = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
     ks, seeds = [int(k) for k in ks], list(seeds)
     # every (k, restart) fit goes to one pool; the best restart per k keeps the earlier seed on ties
     fits = run_parallel([lambda k=k, s=s: _kmeans_once(df, k, s, features_col) for k in ks for s in seeds])
     best = [min(fits[i * len(seeds):(i + 1) * len(seeds)], key=lambda mc: mc[1]) for i in range(len(ks))]
-    sil = run_parallel([lambda m=m: ev.evaluate(m.transform(df)) for m, _ in best])
-    rows = [(k, float(cost), float(si)) for k, (_, cost), si in zip(ks, best, sil)]
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    width = len(best[0][0].clusterCenters()[0]) if best else 0
+    columns = [f"_f{i}" for i in range(width)]
+
+    def measured(model):
+        out = model.transform(df)
+        x = vector_to_array(F.col(features_col))
+        flat = out.select(F.col("prediction"), (F.col(key).cast("string") if key else x.cast("string")).alias("_key"), *[x[i].alias(c) for i, c in enumerate(columns)])
+        return ev.evaluate(out), sampled_silhouette(flat, columns, "prediction", "_key", sample).first()
+
+    sil = run_parallel([lambda m=m: measured(m) for m, _ in best])
+    rows = [(k, float(cost), e["silhouette"], e["standard_error"], float(squared)) for k, (_, cost), (squared, e) in zip(ks, best, sil)]
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, standard_error double, silhouette_squared double")
 
 
 def name_segments(profile_rows: list[dict], cluster: str = "cluster") -> dict[int, str]:

@@ -60,8 +60,8 @@ def kmeans_select_k(ready: DataFrame, ks=range(2, 11), seeds: Sequence[int] = KM
                     features=FINAL_CLUSTER_FEATURES) -> DataFrame:
     base = materialise(ready)
     vec, _, _ = M.scaled_vectors(base, None, features)
-    vec = materialise(vec.select("features"))
-    return M.select_k(vec, list(ks), seeds)
+    vec = materialise(vec.select("customer_unique_id", "features"))
+    return M.select_k(vec, list(ks), seeds, key="customer_unique_id")
 
 
 def logit_split(encoded: DataFrame, features: Sequence[str] = D.BASELINE_FEATURES):

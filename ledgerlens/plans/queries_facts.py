@@ -1,4 +1,4 @@
-"""Registered queries over bucketed facts, observed writes and quarantined loads."""
+"""Registered queries over bucketed facts, observed writes, quarantined loads, publications, running state, resampling."""
 
 from __future__ import annotations
 
@@ -6,14 +6,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import drift as DR
 from ledgerlens.operators import features as FE
+from ledgerlens.operators import history as HI
 from ledgerlens.operators import observed as OB
 from ledgerlens.plans import delivery as D
-from ledgerlens.plans.oracle_views import CUSTOMER
+from ledgerlens.operators.silhouette import sampled_silhouette
+from ledgerlens.plans import segmentation as S
+from ledgerlens.plans.oracle_views import CUSTOMER, SPLIT
 from ledgerlens.plans.queries_base import T, _MART_DOUBLES
 from ledgerlens.plans.queries_customer import _CUST_DOUBLES
+from ledgerlens.plans.queries_drift import _EXTRA as DRIFT_EXTRA, windows
+from ledgerlens.plans.queries_split import trimmed
 from ledgerlens.plans.registry import R, query
 from ledgerlens.session import remove_path, scratch_path
+from ledgerlens.sources import publish as PB
 from ledgerlens.sources import quarantine as QU
 from ledgerlens.sources.facts import facts_of, joined_by_order
 from ledgerlens.sources.tables import COMMERCE_SCHEMAS
@@ -145,3 +152,91 @@ def q_csv_checksums(spark, sf_dir):
         out = row if out is None else out.unionByName(row)
     remove_path(spark, base)
     return out
+
+
+# ------------------------------------------------------------------ Euclidean silhouette (M3)
+
+_SIL = ["recency_days", "monetary_log", "avg_review_score"]
+
+
+@query("silhouette_by_payment", f"""
+SELECT * FROM (WITH p AS (SELECT customer_unique_id AS k, preferred_payment_type AS c, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SIL)} FROM c_ready
+           WHERE preferred_payment_type IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in _SIL)}),
+s AS (SELECT * FROM p ORDER BY md5(CAST(k AS VARCHAR)) LIMIT 200),
+z AS (SELECT c, count(*) AS size FROM p GROUP BY c),
+d AS (SELECT s.k, s.c AS mine, p.c AS other, sum(sqrt({" + ".join(f"pow(s.{c} - p.{c}, 2)" for c in _SIL)})) AS total FROM s CROSS JOIN p GROUP BY 1, 2, 3),
+m AS (SELECT d.k, d.mine, max(z0.size) AS size, max(CASE WHEN d.other = d.mine THEN d.total / nullif(z.size - 1, 0) END) AS a,
+             min(CASE WHEN d.other <> d.mine THEN d.total / z.size END) AS b
+      FROM d JOIN z ON z.c = d.other JOIN z AS z0 ON z0.c = d.mine GROUP BY 1, 2),
+v AS (SELECT CASE WHEN size > 1 THEN (b - a) / greatest(a, b) ELSE 0 END AS v FROM m)
+SELECT avg(v) AS silhouette, stddev_samp(v) / sqrt(count(*)) * sqrt(1 - count(*) / (SELECT count(*) FROM p)::DOUBLE) AS standard_error,
+       count(*) AS sampled, (SELECT count(*) FROM p) AS n FROM v)""", extra=CUSTOMER, rnd=R("silhouette", "standard_error"), ids="M3")
+def q_silhouette_by_payment(spark, sf_dir):
+    """Euclidean silhouette of customers grouped by preferred payment type, from 200 points against all."""
+    return sampled_silhouette(S.clustering_ready(T(spark, sf_dir)), _SIL, "preferred_payment_type", "customer_unique_id", 200)
+
+
+# ------------------------------------------------------------------ fixed-size bootstrap
+
+def _fixed_sql(reps: int = 20, frac: float = 0.7, seed: int = 42) -> str:
+    block = DR.RESAMPLE_BLOCK
+    return f"""
+SELECT * FROM (WITH w AS (SELECT row_number() OVER (ORDER BY md5(CAST(order_id AS VARCHAR)), order_id) - 1 AS pos,
+                  CAST(seller_customer_distance_km AS DOUBLE) AS x, CAST(CAST(is_late AS INTEGER) AS DOUBLE) AS y FROM c_wfull WHERE window_label = 'B'),
+n AS (SELECT count(*) AS n FROM w),
+g AS (SELECT rep, unnest(range(CAST(floor((SELECT n FROM n) * {frac} + 0.5) AS BIGINT))) AS id FROM (SELECT range AS rep FROM range({reps}))),
+b AS (SELECT rep, CAST(floor(floor({DR.draw_uniform_sql("id", "rep", "0", seed)} * (SELECT n FROM n)) / {block}) AS BIGINT) AS block FROM g),
+c AS (SELECT rep, block, unnest(range(count(*))) AS id, least({block}, (SELECT n FROM n) - block * {block}) AS many FROM b GROUP BY rep, block),
+h AS (SELECT rep, block * {block} + CAST(floor({DR.draw_uniform_sql("id", "rep", "block + 1", seed)} * many) AS BIGINT) AS pos FROM c),
+r AS (SELECT rep, count(*) AS size, avg(x) AS mx, avg(y) AS my, avg(x * x) AS mxx, avg(y * y) AS myy, avg(x * y) AS mxy FROM h JOIN w USING (pos) GROUP BY rep)
+SELECT CAST(rep AS INTEGER) AS rep, size, CASE WHEN (mxx - mx * mx) * (myy - my * my) > 0 THEN (mxy - mx * my) / sqrt((mxx - mx * mx) * (myy - my * my)) END AS r FROM r)"""
+
+
+@query("bootstrap_fixed_size", _fixed_sql(), mart=True, extra=DRIFT_EXTRA, rnd=R("r", d=5), ids="D4")
+def q_bootstrap_fixed_size(spark, sf_dir):
+    """Twenty replicates of exactly 70 % of window B, drawn with replacement: size and correlation of each."""
+    w = windows(spark, sf_dir).where(F.col("window_label") == "B")
+    return DR.fixed_bootstrap(w, "order_id", "seller_customer_distance_km", "is_late", 20, 0.7, 42)
+
+
+# ------------------------------------------------------------------ publication
+
+@query("published_orders", """
+SELECT CAST(count(DISTINCT date_trunc('month', order_purchase_timestamp)) AS BIGINT) AS first_written, CAST(1 AS BIGINT) AS then_written, CAST(0 AS BIGINT) AS last_written,
+       count(*) AS "rows", CAST(sum(item_count) + count(*) FILTER (WHERE date_trunc('month', order_purchase_timestamp) = TIMESTAMP '1995-03-01') AS BIGINT) AS items,
+       CAST(sum(item_count) AS BIGINT) AS items_before
+FROM c_mart""", mart=True, ids="S4 P1")
+def q_published_orders(spark, sf_dir):
+    """The mart published by month, again after one month changed, and again unchanged: partitions written each time, and
+    the sums that readers of the newest and of the first version see."""
+    root = scratch_path(spark, f"published/{uuid.uuid4().hex}")
+    m = D.materialise(D.with_month(D.order_mart(T(spark, sf_dir))))
+    hit = F.col("year_month") == F.lit("1995-03-01").cast("timestamp_ntz")
+    later = m.withColumn("item_count", F.col("item_count") + F.when(hit, 1).otherwise(0))
+    written = [len(PB.publish(df, root, "year_month")) for df in (m, later, later)]
+    row = PB.read_published(spark, root).agg(F.count(F.lit(1)).alias("n"), F.sum("item_count").alias("i")).first()
+    first = PB.read_published(spark, root, version=0).agg(F.sum("item_count").alias("i")).first()
+    remove_path(spark, root)
+    return spark.createDataFrame([(*written, row["n"], row["i"], first["i"])],
+                                 "first_written long, then_written long, last_written long, rows long, items long, items_before long")
+
+
+# ------------------------------------------------------------------ running state
+
+@query("seller_history_extended", """
+SELECT m.primary_seller_id, count(*) AS entity_orders, count(*) >= 5 AS has_sufficient_history, max(o.r) AS overall_on_time_rate,
+       CASE WHEN count(*) >= 5 THEN 1 - avg(CAST(is_late AS DOUBLE)) ELSE max(o.r) END AS entity_on_time_rate
+FROM c_trim m, (SELECT 1 - avg(CAST(is_late AS DOUBLE)) AS r FROM c_trim WHERE order_purchase_timestamp < TIMESTAMP '1996-04-01') o
+WHERE order_purchase_timestamp < TIMESTAMP '1996-04-01' GROUP BY 1
+""", mart=True, extra=SPLIT, rnd=R("overall_on_time_rate", "entity_on_time_rate"), ids="M7 A15")
+def q_seller_history_extended(spark, sf_dir):
+    """Seller statistics at a cutoff from a running state: built up to a month, then extended by three months one by one."""
+    path = scratch_path(spark, f"history/{uuid.uuid4().hex}")
+    m = D.materialise(D.with_month(trimmed(spark, sf_dir)).select("primary_seller_id", "is_late", F.date_format("year_month", "yyyy-MM").alias("month")))
+    state = HI.RunningState(spark, path, "primary_seller_id", {"n_late": F.col("is_late").cast("long")})
+    state.extend("1995-12", m.where("month <= '1995-12'"))
+    for month in ("1996-01", "1996-02", "1996-03"):
+        state.extend(month, m.where(F.col("month") == month))
+    out = D.materialise(HI.rates_of_state(state.before("1996-04"), "primary_seller_id"))
+    remove_path(spark, path)
+    return out

@@ -89,6 +89,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's source to the executors, once per application, as ``--py-files`` would: Python functions
     that run there are pickled by reference to it."""
