@@ -93,7 +93,7 @@ def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42,), features_col
 
 
 def _kmeans_once(df: DataFrame, k: int, seed: int, features_col: str = "features", max_iter: int = 300):
-    m = KMeans(k=k, seed=int(seed), featuresCol=features_col, maxIter=max_iter, initMode="k-means||").fit(df)
+    m = KMeans(k=k, seed=int(seed), featuresCol=features_col, maxIter=max_iter, tol=1e-9, initMode="k-means||").fit(df)  # until no centre moves
     return m, m.summary.trainingCost
 
 

@@ -30,7 +30,7 @@ c_items AS (
   FROM lineitem),
 c_payments AS (
   SELECT l_orderkey AS order_id, l_linenumber AS payment_sequential,
-         CASE WHEN l_returnflag = 'A' THEN 'boleto' WHEN l_returnflag = 'N' THEN 'credit_card'
+         CASE WHEN l_orderkey % 61 = 0 THEN 'not_defined' WHEN l_returnflag = 'A' THEN 'boleto' WHEN l_returnflag = 'N' THEN 'credit_card'
               WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'voucher'
               WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'debit_card' END AS payment_type,
          CAST(1 + l_quantity % 10 AS INTEGER) AS payment_installments,
@@ -142,7 +142,7 @@ c_item_person AS (SELECT b.person, coalesce(p.product_category_name, 'unknown')
                          i.freight_value / nullif(i.price, 0) AS fr
                   FROM c_items i LEFT JOIN c_products p ON i.product_id = p.product_id
                   JOIN c_bridge b ON i.order_id = b.order_id),
-c_item_feats AS (SELECT person, count(DISTINCT cat) AS category_diversity, avg(fr) AS avg_freight_ratio
+c_person_items AS (SELECT person, count(DISTINCT cat) AS category_diversity, avg(fr) AS avg_freight_ratio
                  FROM c_item_person GROUP BY person),
 c_pay_counts AS (SELECT b.person, p.payment_type, count(*) AS n FROM c_payments p JOIN c_bridge b ON p.order_id = b.order_id
                  WHERE p.payment_type IS NOT NULL GROUP BY b.person, p.payment_type),
@@ -155,7 +155,7 @@ c_rev AS (SELECT b.person, avg(r.review_score) AS avg_review_score
 c_cust AS (SELECT r.customer_unique_id, r.recency_days, r.frequency, r.monetary, r.is_repeat_customer,
                   i.category_diversity, i.avg_freight_ratio, pf.avg_installments, rv.avg_review_score,
                   pr.preferred_payment_type
-           FROM c_rfm r LEFT JOIN c_item_feats i ON r.customer_unique_id = i.person
+           FROM c_rfm r LEFT JOIN c_person_items i ON r.customer_unique_id = i.person
            LEFT JOIN c_pay_feats pf ON r.customer_unique_id = pf.person
            LEFT JOIN c_rev rv ON r.customer_unique_id = rv.person
            LEFT JOIN c_pref pr ON r.customer_unique_id = pr.person),

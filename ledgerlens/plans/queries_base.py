@@ -166,7 +166,7 @@ def q_late_rate_by_state(spark, sf_dir):
 @query("late_rate_min_support", """
 SELECT primary_category, count(is_late) AS orders, avg(CAST(is_late AS DOUBLE)) AS late_rate
 FROM c_mart WHERE primary_category IS NOT NULL GROUP BY primary_category HAVING count(is_late) >= 300
-""", mart=True, rnd=R("late_rate"), ids="A12 O1")
+""", mart=True, rnd=R("late_rate"), ids="A12")
 def q_late_rate_min_support(spark, sf_dir):
     return P.rate_by(mart(spark, sf_dir), "primary_category", "is_late", min_n=300)
 

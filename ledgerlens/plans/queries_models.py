@@ -15,7 +15,7 @@ from ledgerlens.plans import delivery as D
 from ledgerlens.plans import models as PM
 from ledgerlens.plans import segmentation as S
 from ledgerlens.plans.queries_base import T
-from ledgerlens.plans.oracle_views import CUSTOMER, SPLIT
+from ledgerlens.plans.oracle_views import CAUSAL, CUSTOMER, SPLIT
 from ledgerlens.plans.queries_causal import cdata, comparison_rows, windowed_effect
 from ledgerlens.plans.queries_drift import encoded
 from ledgerlens.plans.queries_eval import THRESHOLDS
@@ -195,7 +195,52 @@ def q_kmeans_optimality(spark, sf_dir):
     own = F.coalesce(*[F.when(F.col("cluster_final") == k, dist(m)) for k, m in means.items()])
     least = F.least(*[dist(m) for m in means.values()])
     return x.agg(F.count(F.lit(1)).alias("n"), F.lit(sum(r["size"] for r in prof.select("size").collect())).cast("long").alias("in_clusters"),
-                 F.lit(len(means)).cast("long").alias("clusters"), F.count_if(own > least + 0.05).alias("nearer_elsewhere"))
+                 F.lit(len(means)).cast("long").alias("clusters"), F.count_if(own > least + 1e-6).alias("nearer_elsewhere"))
+
+
+@query("kmeans_segments_checked", """
+SELECT count(*) AS n, count(DISTINCT customer_unique_id) AS persons, CAST(5 AS BIGINT) AS clusters, CAST(5 AS BIGINT) AS segments, count(*) AS in_profile FROM c_ready""",
+       extra=CUSTOMER, ids="M5 F11 A11 P2 T14")
+def q_kmeans_segments_checked(spark, sf_dir):
+    """Every person once, five clusters with names of their own, and a profile whose sizes add up."""
+    lab, prof = segmented(spark, sf_dir)
+    sizes = prof.agg(F.sum("size")).first()[0]  # of five rows
+    return lab.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("customer_unique_id").alias("persons"), F.countDistinct("cluster_final").alias("clusters"),
+                   F.countDistinct("customer_segment").alias("segments"), F.lit(sizes).cast("long").alias("in_profile"))
+
+
+@query("logit_score_equations", "SELECT unnest([" + ", ".join(f"'{f}'" for f in D.BASELINE_FEATURES) + "]) AS feature, true AS solved", ids="M9 M10 M1")
+def q_logit_score_equations(spark, sf_dir):
+    """At the optimum each coefficient equals C times the weighted sum of residual times scaled feature (C = 1): the fitted
+    coefficients are held against the training rows, feature by feature."""
+    from ledgerlens.operators.scaling import scale_apply, scale_fit
+    model, sc = PM.logit_split(encoded(spark, sf_dir))
+    train = encoded(spark, sf_dir).withColumn("is_new_or_thin_history_seller", F.col("is_new_or_thin_history_seller").cast("int")).where(F.col("split") == "train")
+    y = F.col("is_late").cast("double")
+    x = scale_apply(train, scale_fit(train, D.BASELINE_FEATURES))
+    t = x.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("p")).first()
+    w = F.when(y == 1, F.lit(t["n"] / (2.0 * t["p"]))).otherwise(F.lit(t["n"] / (2.0 * (t["n"] - t["p"]))))
+    z = sum((F.col(f).cast("double") * F.lit(float(c)) for f, c in zip(D.BASELINE_FEATURES, model.coefficients)), F.lit(float(model.intercept)))
+    gap = w * (y - 1 / (1 + F.exp(-z)))
+    sums = x.agg(*[F.sum(gap * F.col(f)).alias(f) for f in D.BASELINE_FEATURES]).first()
+    rows = [(f, bool(abs(sums[f] - float(c)) < 1e-3 * t["n"])) for f, c in zip(D.BASELINE_FEATURES, model.coefficients)]
+    return spark.createDataFrame(rows, "feature string, solved boolean")
+
+
+@query("propensity_checked", """
+SELECT count(*) AS n, count(*) AS inside, CAST(sum(CAST(is_late AS INTEGER)) AS BIGINT) AS treated, CAST(sum(CAST(is_late AS INTEGER)) AS BIGINT) AS pairs,
+       CAST(0 AS BIGINT) AS pairs_of_a_kind FROM c_cd""", mart=True, extra=SPLIT + "," + CAUSAL, ids="C4 C8 M9")
+def q_propensity_checked(spark, sf_dir):
+    """Scores inside (0, 1) for every order, one pair for every treated order, and no pair of two treated or two controls."""
+    p = fitted_propensity(spark, sf_dir)
+    pairs = PM.materialise(C.match_pairs(p, "order_id", "is_late", "propensity_score"))
+    late = p.select(F.col("order_id").alias("id"), "is_late")
+    both = (pairs.join(late.withColumnRenamed("id", "treated_id").withColumnRenamed("is_late", "a"), "treated_id")
+            .join(late.withColumnRenamed("id", "control_id").withColumnRenamed("is_late", "b"), "control_id"))
+    n = both.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("kind")).first()
+    s = F.col("propensity_score")
+    return p.agg(F.count(F.lit(1)).alias("n"), F.count_if((s > 0) & (s < 1)).alias("inside"), F.count_if("is_late").alias("treated"),
+                 F.lit(n["pairs"]).cast("long").alias("pairs"), F.lit(n["kind"]).cast("long").alias("pairs_of_a_kind"))
 
 
 @query("logit_class_report", ids="E2 M9")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans import products as PR
 from ledgerlens.plans.models import PROFILE_COLS
-from ledgerlens.plans.oracle_views import CAUSAL, SPLIT
+from ledgerlens.plans.oracle_views import CAUSAL, CUSTOMER, SPLIT
 from ledgerlens.plans.queries_base import T
 from ledgerlens.plans.queries_causal import cdata
 from ledgerlens.plans.queries_models import segmented
@@ -107,3 +107,33 @@ def q_dashboard_spotlight(spark, sf_dir):
     _, prof = segmented(spark, sf_dir)
     two = [SEGMENT_NAMES["dissatisfied"], SEGMENT_NAMES["core"]]
     return prof.where(F.col("customer_segment").isin(two)).select("customer_segment", "size", "avg_review_score")
+
+
+@query("order_delivery_risk_checked", """
+SELECT count(*) AS "rows", count(DISTINCT order_id) AS orders, count(*) AS with_person,
+       count(*) FILTER (WHERE c.customer_unique_id IN (SELECT customer_unique_id FROM c_ready)) AS with_segment
+FROM c_cd d JOIN c_customers c USING (customer_id)""", mart=True, extra=_EXTRA + "," + CUSTOMER, ids="P1 F11 J1")
+def q_order_delivery_risk_checked(spark, sf_dir):
+    """The export's grain: an order once, with its person, and with a segment exactly where the person has one."""
+    _, o = orders_export(spark, sf_dir, with_segments=True)
+    return o.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("order_id").alias("orders"), F.count("customer_unique_id").alias("with_person"),
+                 F.count("customer_segment").alias("with_segment"))
+
+
+_PAYMENTS = ["boleto", "credit_card", "debit_card", "not_defined", "voucher"]
+
+
+@query("regional_payment_mix", """
+SELECT customer_state, total_orders, """ + ", ".join(f"coalesce(100.0 * n_{v} / nullif(labelled, 0), 0.0) AS pct_{v}" for v in _PAYMENTS) + """
+FROM (SELECT c.customer_state, count(d.order_id) AS total_orders, count(f.preferred_payment_type) AS labelled, """
+       + ", ".join(f"count(*) FILTER (WHERE f.preferred_payment_type = '{v}') AS n_{v}" for v in _PAYMENTS) + """
+      FROM c_cd d LEFT JOIN c_customers c ON d.customer_id = c.customer_id LEFT JOIN c_cust f ON f.customer_unique_id = c.customer_unique_id
+      WHERE c.customer_state IS NOT NULL GROUP BY c.customer_state)
+""", mart=True, extra=_EXTRA + "," + CUSTOMER, rnd=R(*[f"pct_{v}" for v in _PAYMENTS]), ids="P4 R4 X13")
+def q_regional_payment_mix(spark, sf_dir):
+    """The regional summary's mix in percent, by a label that SQL can state: the person's preferred payment type."""
+    from ledgerlens.plans.segmentation import customer_table
+    t, o = orders_export(spark, sf_dir)
+    label = customer_table(t).select("customer_unique_id", F.col("preferred_payment_type").alias("customer_segment"))
+    out = PR.regional_summary(o.join(label, "customer_unique_id", "left"), _PAYMENTS)
+    return out.select("customer_state", "total_orders", *[f"pct_{v}" for v in _PAYMENTS])

@@ -13,7 +13,7 @@ Fixed values of the mapping (must stay as written for oracle parity):
   delivered       null if orderkey % 101 == 0, else purchase + (120 + (orderkey*37 + custkey*11) % 600) hours
   estimated       purchase + (20 + orderkey % 9) days
   item price      0.0 when partkey % 211 == 0, else extendedprice; freight = extendedprice * tax
-  payments        every lineitem; type by (returnflag, linestatus):
+  payments        every lineitem; type not_defined when orderkey % 61 == 0, else by (returnflag, linestatus):
                   A -> boleto, N -> credit_card, R+F -> voucher, R+O -> debit_card
                   installments = 1 + quantity % 10; value = extendedprice * (1 - discount)
   reviews         order_id = (event_id - event_id % 4) * 2 + event_id % 3;
@@ -82,7 +82,7 @@ def proxy_tables(spark: SparkSession, sf_dir: str) -> Tables:
     payments = li.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("payment_sequential"),
-        F.when(rf == "A", "boleto").when(rf == "N", "credit_card")
+        F.when(F.col("l_orderkey") % 61 == 0, "not_defined").when(rf == "A", "boleto").when(rf == "N", "credit_card")
          .when((rf == "R") & (ls == "F"), "voucher").when((rf == "R") & (ls == "O"), "debit_card")
          .alias("payment_type"),
         (1 + F.col("l_quantity") % 10).cast("int").alias("payment_installments"),

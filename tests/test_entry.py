@@ -47,3 +47,11 @@ def test_queries_against_duckdb_small(spark):
         b = con.execute(s[k]).df()
         assert sorted(a.columns) == sorted(b.columns), k
         assert norm(a) == norm(b), k
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as E; assert len(E.queries()) > 100 and set(E.oracle_sql()) <= set(E.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -124,3 +124,28 @@ def test_split_counts_come_from_the_value_table(spark):
     split, n = ordering.chrono_split(df, "ts", 0.8)
     assert n == 101 and split == rows[int(101 * 0.8)][0]
     assert ordering.chrono_split(df.where(F.lit(False)), "ts") == (None, 0)
+
+
+def test_t15_training_rows_get_the_folds_whole_train_rate(spark):
+    """A training row's rate includes its own and later rows of the fold's training set, not only earlier ones."""
+    from ledgerlens.operators.features import rate_encode
+    train = spark.createDataFrame([(i, "s", i >= 4) for i in range(8)], "id int, seller string, late boolean")
+    got = {r["seller_on_time_rate"] for r in rate_encode(train, train, "seller", "late", 5).collect()}
+    assert got == {0.5}
+
+
+def test_t16_feature_list_per_pipeline():
+    from ledgerlens.plans import causal, delivery, models
+    assert "is_new_or_thin_history_seller" in delivery.BASELINE_FEATURES and "is_new_or_thin_history_seller" not in models.wf_features()
+    assert len(models.wf_features()) == 10 and [f for f in models.wf_features(True) if f not in models.wf_features()] == [
+        "seller_avg_stage2_approval_to_carrier_hrs", "seller_avg_stage3_carrier_to_customer_hrs"]
+    assert len(causal.CONFOUNDERS) == 6 and "seller_on_time_rate" in causal.CONFOUNDERS
+
+
+def test_t22_one_fit_per_k_and_restart_gives_inertia_and_silhouette(spark, monkeypatch):
+    from ledgerlens.operators import models as M
+    calls, once = [], M._kmeans_once
+    monkeypatch.setattr(M, "_kmeans_once", lambda df, k, s, *a, **b: (calls.append((k, s)), once(df, k, s, *a, **b))[1])
+    vec = M.assemble(spark.createDataFrame([(float(i % 3) * 5, float(i % 5)) for i in range(60)], "a double, b double"), ["a", "b"])
+    out = M.select_k(vec, [2, 3], seeds=[1, 2])
+    assert sorted(calls) == [(2, 1), (2, 2), (3, 1), (3, 2)] and out.count() == 2
