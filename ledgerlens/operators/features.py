@@ -217,7 +217,15 @@ def rate_encode(train: DataFrame, apply: DataFrame, entity: str, label: str, min
             .drop("has_sufficient_history"))
 
 
-def _as_of_cutoffs(per: DataFrame, entity: str, period: str, sums: Sequence[str], cutoffs: DataFrame) -> DataFrame:
+def _cutoff_values(cutoffs: DataFrame) -> Column:
+    """The sorted distinct cutoffs as one array literal: months, bounded by the calendar."""
+    col = cutoffs.columns[0]
+    kind = cutoffs.schema[col].dataType
+    values = sorted(r[0] for r in cutoffs.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    return F.array(*[F.lit(str(v)).cast(kind) for v in values]).cast(f"array<{kind.simpleString()}>")
+
+
+def _as_of_cutoffs(per: DataFrame, entity: str, period: str, sums: Sequence[str], cuts: Column | DataFrame) -> DataFrame:
     """For every (cutoff, entity): the entity's sums over all periods strictly before the
     cutoff.
 
@@ -229,11 +237,8 @@ def _as_of_cutoffs(per: DataFrame, entity: str, period: str, sums: Sequence[str]
     w = Window.partitionBy(entity).orderBy(period)
     run = per.select(entity, period, F.lead(period).over(w).alias("_next"),
                      *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in sums])
-    col = cutoffs.columns[0]
-    kind = cutoffs.schema[col].dataType
-    # the sorted cutoffs are months (calendar-bounded): each row explodes its own slice of them
-    values = sorted(r[0] for r in cutoffs.select(col).where(F.col(col).isNotNull()).distinct().collect())
-    cuts = F.array(*[F.lit(str(v)).cast(kind) for v in values]).cast(f"array<{kind.simpleString()}>")
+    cuts = _cutoff_values(cuts) if isinstance(cuts, DataFrame) else cuts
+    # each row explodes its own slice of the cutoffs
     mine = F.filter(cuts, lambda c: (c > F.col(period)) & (F.col("_next").isNull() | (c <= F.col("_next"))))
     return run.withColumn("cutoff", F.explode(mine)).select("cutoff", entity, *sums)
 
@@ -250,9 +255,10 @@ def stats_at_cutoff(df: DataFrame, entity: str, label: str, period: str, cutoffs
     """
     lab = F.col(label).cast("int")
     per = df.groupBy(entity, period).agg(F.count(label).alias("n"), F.sum(lab).cast("long").alias("n_late"))
-    ent = _as_of_cutoffs(per, entity, period, ["n", "n_late"], cutoffs).withColumnRenamed("n", "entity_orders")
+    cuts = _cutoff_values(cutoffs)
+    ent = _as_of_cutoffs(per, entity, period, ["n", "n_late"], cuts).withColumnRenamed("n", "entity_orders")
     tot_p = per.groupBy(period).agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late")).withColumn("_all", F.lit(0))
-    tot = (_as_of_cutoffs(tot_p, "_all", period, ["n", "n_late"], cutoffs)
+    tot = (_as_of_cutoffs(tot_p, "_all", period, ["n", "n_late"], cuts)
            .select("cutoff", (1 - F.col("n_late") / F.col("n")).alias("overall_on_time_rate")))
     return (ent.join(F.broadcast(tot), "cutoff", "left")
             .withColumn("has_sufficient_history", F.col("entity_orders") >= min_n)
@@ -273,7 +279,7 @@ def stage_stats_at_cutoff(df: DataFrame, entity: str, stages: Sequence[str], per
     clean = df.filter(ok)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(s).alias(f"_s_{s}") for s in stages]
     per = clean.groupBy(entity, period).agg(*aggs)
-    ent = _as_of_cutoffs(per, entity, period, ["n"] + [f"_s_{s}" for s in stages], cutoffs)
+    ent = _as_of_cutoffs(per, entity, period, ["n"] + [f"_s_{s}" for s in stages], _cutoff_values(cutoffs))
     ent = ent.select("cutoff", entity, F.col("n").alias("stage_orders"),
                      *[(F.col(f"_s_{s}") / F.col("n")).alias(f"avg_{s}") for s in stages])
     fb = ent.groupBy("cutoff").agg(*[F.avg(f"avg_{s}").alias(f"fallback_{s}") for s in stages])

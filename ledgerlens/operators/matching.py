@@ -4,8 +4,9 @@ No cross join, no single-partition sort:
 
 1. controls collapse to their distinct scores, keeping the lowest control id per score
    (T20 tie rule); treated rows collapse to distinct scores too and are joined back at the
-   end (a score that many rows share is a skewed key there, which AQE splits);
-2. the union of both is range-partitioned on (by, score) and checkpointed;
+   end. A score that more than one of ``HOT`` treated rows share is joined back by broadcast: there are fewer than
+   ``HOT`` of these, so no task of the other join holds more than that share of the rows under one score;
+2. the union of both is range-partitioned on (by, score) and written once;
 3. inside each range partition a running ``last`` (preceding frame) / ``first`` (following
    frame) of the control struct gives the nearest control at-or-below / at-or-above;
 4. a tiny per-partition table of min/max controls, scanned with running windows over the
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import null_safe_join
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.operators.selection import kept
+
+HOT = 1000
 
 
 def nearest_join(treated: DataFrame, control: DataFrame, id_col: str, score: str,
@@ -32,14 +35,13 @@ def nearest_join(treated: DataFrame, control: DataFrame, id_col: str, score: str
     n = int(n_parts or treated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ctrl = (control.where(F.col(score).isNotNull())
             .groupBy(*by, F.col(score).alias("_s")).agg(F.min(id_col).alias("_cid"))
-            .withColumn("_kind", F.lit(0)))
-    tsc = (treated.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("_s")).distinct()
+            .withColumn("_kind", F.lit(0)).withColumn("_n", F.lit(0).cast("long")))
+    tsc = (treated.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
            .withColumn("_cid", F.lit(None).cast(ctrl.schema["_cid"].dataType)).withColumn("_kind", F.lit(1)))
     u = ctrl.unionByName(tsc)
     u = u.repartitionByRange(n, *[F.col(c) for c in by], F.col("_s"), F.col("_kind")) \
          .withColumn("_rp", F.spark_partition_id())
-    ensure_checkpoint_dir(u.sparkSession)
-    u = u.checkpoint(eager=True)
+    u, _ = kept(u, "matching")  # the partition number depends on sampled bounds: written, it stays what it is
 
     cstruct = F.when(F.col("_kind") == 0, F.struct(F.col("_s").alias("s"), F.col("_cid").alias("id")))
     order = [F.col("_s"), F.col("_kind")]
@@ -64,16 +66,22 @@ def nearest_join(treated: DataFrame, control: DataFrame, id_col: str, score: str
     j = null_safe_join(inpart, carry, by + ["_rp"])
     below = F.coalesce(F.col("_bl"), F.col("_cb"))
     above = F.coalesce(F.col("_ab"), F.col("_ca"))
-    j = j.select(*by, "_s", below.alias("b"), above.alias("a"))
+    j = j.select(*by, "_s", "_n", below.alias("b"), above.alias("a"))
     db = F.col("_s") - F.col("b.s")
     da = F.col("a.s") - F.col("_s")
     take_below = F.col("b").isNotNull() & (F.col("a").isNull() | (db <= da))
-    best = j.select(*by, "_s",
+    best = j.select(*by, "_s", "_n",
                     F.when(take_below, F.col("b.id")).otherwise(F.col("a.id")).alias("control_id"),
                     F.when(take_below, F.col("b.s")).otherwise(F.col("a.s")).alias("control_score"))
     best = best.withColumn("distance", F.abs(F.col("_s") - F.col("control_score")))
-    best = best.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_s", "control_id", "control_score", "distance")
+    best, _ = kept(best.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_s", "_n", "control_id", "control_score", "distance"), "matched")
     t = treated.select(*by, F.col(id_col).alias("treated_id"), F.col(score).alias("treated_score"))
     cond = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by] + [F.col("treated_score") == F.col("_s")]
-    out = t.join(best, cond, "left")
+    total = best.agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+    if total["n"] and total["most"] * HOT > total["n"]:
+        is_hot = F.col("_n") * HOT > total["n"]
+        hot = F.broadcast(best.where(is_hot))  # fewer than HOT rows
+        out = t.join(hot, cond, "inner").unionByName(t.join(hot, cond, "left_anti").join(best.where(~is_hot), cond, "left"))
+    else:
+        out = t.join(best, cond, "left")
     return out.select(*by, "treated_id", "treated_score", "control_id", "control_score", "distance")

@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.temporal import epoch_micros, ntz_lit
-from ledgerlens.operators.selection import select_ranks
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.operators.selection import kept, select_ranks
 
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
@@ -50,10 +49,9 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
     r = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in by + order_cols]) \
           .withColumn("_rp", F.spark_partition_id())
     # The partition id depends on the sampled range bounds, which depend on upstream row
-    # order; materialise once (reliable checkpoint in the shared checkpoint dir) so the
-    # totals and the in-partition sums see the same assignment, also after a lost executor.
-    ensure_checkpoint_dir(df.sparkSession)
-    r = r.checkpoint(eager=True)
+    # order; written once to the shared folder, so the totals and the in-partition sums see
+    # the same assignment, also after a lost executor.
+    r, _ = kept(r, "ranges")
     tot = r.groupBy(*by, "_rp").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     wo = Window.partitionBy(*by).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_rp", *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
@@ -88,14 +86,14 @@ def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), n_parts: in
     return out.withColumnRenamed("_b_cnt", "before").withColumnRenamed("_a_cnt", "total")
 
 
-def chrono_split(df: DataFrame, ts: str, frac: float = 0.8):
+def chrono_split(df: DataFrame, ts: str, frac: float = 0.8, n_parts: int | None = None):
     """Sort by ``ts``; split_ts = ts of row ``int(n * frac)``; train ``ts < split_ts``,
     test ``ts >= split_ts`` (a whole tie goes to test, T8).
 
     Returns ``(split_ts, n_rows)``; the caller compares with a literal.
     """
     share = lambda n: F.array(F.floor(n * F.lit(float(frac))).cast("long"))
-    row = select_ranks(df, ts, rank_code(df, ts), [], [(frac, share)]).first()
+    row = select_ranks(df, ts, rank_code(df, ts), [], [(frac, share)], n_parts=n_parts).first()
     return (row["value"], row["total"]) if row else (None, 0)
 
 
@@ -135,7 +133,8 @@ def rank_code(df: DataFrame, col: str) -> Column:
         "double" if kind in ("double", "float") or kind.startswith("decimal") else "long")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), narrow: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                    n_parts: int | None = None, narrow: bool = False) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default), exact and distributed.
 
     For each p, h = (n-1)p; q = v[floor h] + (h - floor h) * (v[ceil h] - v[floor h]).
@@ -146,7 +145,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     x = df.select(*by, F.col(col).cast("double").alias("_x"))
     h = lambda n, p: F.lit(float(p)) * (n - 1)
     ranks = [(float(p), lambda n, p=p: F.array(F.floor(h(n, p)).cast("long"), F.ceil(h(n, p)).cast("long"))) for p in probs]
-    hit = select_ranks(x, "_x", F.col("_x"), by, ranks, narrow).withColumn("p", F.array(*[F.lit(p) for p, _ in ranks])[F.col("target")])
+    hit = select_ranks(x, "_x", F.col("_x"), by, ranks, narrow, n_parts).withColumn("p", F.array(*[F.lit(p) for p, _ in ranks])[F.col("target")])
     at = F.col("p") * (F.col("total") - 1)
     low = F.floor(at).cast("long")
     agg = hit.groupBy(*by, "p", at.alias("_h"), low.alias("_lo")).agg(

@@ -31,7 +31,7 @@ def kept(df: DataFrame, name: str = "kept") -> tuple[DataFrame, str]:
 
 
 def select_ranks(df: DataFrame, value: str, code: Column, by: Sequence[str], targets: Sequence[tuple[float, Callable[[Column], Column]]],
-                 narrow: bool = False) -> DataFrame:
+                 narrow: bool = False, n_parts: int | None = None) -> DataFrame:
     """(by..., target, position, value, total): the values at the 0-based positions that each target asks for.
 
     ``code``: a double or long in the order of ``value``. A target is (share, from the group's row count to an array of
@@ -66,7 +66,7 @@ def select_ranks(df: DataFrame, value: str, code: Column, by: Sequence[str], tar
         *[F.count_if(F.coalesce(F.col("_c") < F.col("_low")[i], F.lit(False))) for i in range(len(targets))]).alias("_below")), "below")
     inside = F.filter(F.sequence(F.lit(0), F.lit(len(targets) - 1)), lambda t: F.coalesce(F.col("_c") >= F.get("_low", t), F.lit(True))
                       & F.coalesce(F.col("_c") <= F.get("_high", t), F.lit(True)))
-    places = value_positions(joined.select(*by, "_v", F.explode(inside).alias("target")), "_v", by + ["target"])
+    places = value_positions(joined.select(*by, "_v", F.explode(inside).alias("target")), "_v", by + ["target"], n_parts)
     positions = F.array(*[rank(F.col("_n")) for _, rank in targets])
     if by:
         found = null_safe_join(places, F.broadcast(below) if groups <= GROUPS_SENT else below, by)

@@ -127,11 +127,9 @@ def auto_trim_cutoff(df: DataFrame, ts: str = "order_purchase_timestamp", share:
     part of that day too, T10)."""
     import datetime as _dt
     from ledgerlens.operators.ordering import resample_count
-    from ledgerlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     # the daily series has one row per calendar day (bounded by the time span, not by the
     # data volume), so an exact percentile over it is a small single aggregate
-    daily = resample_count(df, ts, "D").checkpoint(eager=True)
+    daily = materialise(resample_count(df, ts, "D"))
     med = daily.agg(F.percentile("n", 0.5).alias("q")).first()["q"]
     if med is None:
         return None

@@ -170,6 +170,8 @@ def effect_by_window(cd):
 
 def windowed_effect(qw, score):
     from ledgerlens.operators.matching import nearest_join
+    # read by the naive, treated, control and pair sides: five columns, written once
+    qw = D.materialise(qw.select("order_id", "time_window", "is_late", "review_score", score))
     late = F.col("is_late")
     naive = qw.groupBy("time_window").agg(
         F.count_if(late).alias("n_late"), F.count_if(~late).alias("n_ontime"),

@@ -44,3 +44,19 @@ def test_first_in_row_order_invariant(spark, scored):
     import pyspark.sql.functions as F
     f = lambda d: sorted(d.groupBy("g").agg(first_non_null("id", ["score", "id"]).alias("x")).collect())
     assert f(scored) == f(scored.repartition(11)) == f(scored.orderBy(F.rand(5)))
+
+
+def test_nearest_join_with_a_third_of_the_treated_at_one_score(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.matching import nearest_join
+    t = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0.5).otherwise((F.col("id") % 977) / 977.0).alias("s"))
+    c = spark.range(5000, 5300).select("id", ((F.col("id") - 5000) / 300.0).alias("s"))
+    controls = [(r["s"], r["id"]) for r in c.collect()]
+    out = nearest_join(t, c, "id", "s").collect()
+    assert len(out) == 3000
+    for r in out[::37]:
+        apart, score, control = min((abs(s - r["treated_score"]), s, i) for s, i in controls)
+        assert abs(r["distance"] - apart) < 1e-12
+        if r["control_score"] == score:
+            assert r["control_id"] == control
