@@ -41,6 +41,7 @@ PROBE = 96
 MEASURED, RECALL = 256, 0.93
 #: A cell counts towards what a walk holds with so many times the mean of the cells in use at most.
 HOT = 4
+TILE = 8  # pairs of a tile, each way, that the walk takes at once
 
 
 def fit_codebooks(rows: DataFrame, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -75,22 +76,30 @@ def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def walk(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
-    """Cells (i * len(b) + j) by ascending a[i] + b[j] until they hold ``enough`` entries. A pair enters the
-    heap when its two predecessors on the sorted grid have been taken."""
+    """Cells (i * len(b) + j) by ascending a[i] + b[j] until they hold ``enough`` entries, empty ones left out.
+
+    The heap holds tiles of ``TILE`` x ``TILE`` pairs of the sorted grid, keyed by their least sum: a tile enters when the one
+    before it in its row (or column, at the left edge) has been taken. Pairs of taken tiles whose sum is not
+    above the heap's least key have their final place, so the walk ends when these hold enough."""
     x, y = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    heap, taken, cells, held = [(a[x[0]] + b[y[0]], 0, 0)], {}, [], 0
-    while heap and held < enough:
+    rows, cols = a[x], b[y]
+    heap, sums, cells, held = [(rows[0] + cols[0], 0, 0)], [], [], 0
+    while heap:
+        if held >= enough:
+            final = np.concatenate(sums) <= heap[0][0]
+            if sizes[np.concatenate(cells)[final]].sum() >= enough:
+                break
         _, i, j = heapq.heappop(heap)
-        cell = int(x[i]) * len(b) + int(y[j])
-        taken[i] = j
-        if sizes[cell]:
-            cells.append(cell)
-            held += int(sizes[cell])
-        if i + 1 < len(x) and (j == 0 or taken.get(i + 1, -1) == j - 1):
-            heapq.heappush(heap, (a[x[i + 1]] + b[y[j]], i + 1, j))
-        if j + 1 < len(y) and (i == 0 or taken.get(i - 1, -1) >= j + 1):
-            heapq.heappush(heap, (a[x[i]] + b[y[j + 1]], i, j + 1))
-    return cells
+        sums.append((rows[i:i + TILE, None] + cols[None, j:j + TILE]).ravel())
+        cells.append((x[i:i + TILE, None] * len(b) + y[None, j:j + TILE]).ravel())
+        held += int(sizes[cells[-1]].sum())
+        if j + TILE < len(y):
+            heapq.heappush(heap, (rows[i] + cols[j + TILE], i, j + TILE))
+        if j == 0 and i + TILE < len(x):
+            heapq.heappush(heap, (rows[i + TILE] + cols[0], i + TILE, 0))
+    cells = np.concatenate(cells)[np.argsort(np.concatenate(sums), kind="stable")]
+    cells = cells[:int(np.searchsorted(np.cumsum(sizes[cells]), enough)) + 1]
+    return cells[sizes[cells] > 0].tolist()
 
 
 class MultiIndex:
@@ -180,8 +189,9 @@ class MultiIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(out["grid_row"], pa.int32()), b.column(0).take(at), b.column(1).take(at),
                                                   pa.array(out["cols"], pa.list_(pa.int32()))], ["grid_row", "query_id", "v", "cols"])
 
-        # few bytes but long walks: dealt out by a fixed number of partitions, which are not merged by size
-        dealt = queries.select("vec_id", "v").repartition(shuffle_partitions(queries.sparkSession), "vec_id")
+        # few bytes but long walks: dealt by another expression than the queries are grouped by, so that Spark keeps this
+        # shuffle, whose number of partitions is fixed and not merged by size
+        dealt = queries.select("vec_id", "v").repartition(shuffle_partitions(queries.sparkSession), F.xxhash64("vec_id", F.lit(1)))
         met = written(arrow_map(dealt, visits, "grid_row int, query_id bigint, v array<double>, cols array<int>"), "multi-index-visits")
 
         def packed(rows: DataFrame, key: str, *fields: str) -> DataFrame:
