@@ -90,7 +90,7 @@ SELECT table_name, CAST(sum(c) AS BIGINT) AS "rows", count(*) AS distinct_keys,
   SELECT 'products', count(*) FROM c_products GROUP BY product_id UNION ALL
   SELECT 'sellers', count(*) FROM c_sellers GROUP BY seller_id)
 GROUP BY table_name
-""", ids="V1")
+""", ids="U1 V1")
 def q_duplicate_keys(spark, sf_dir):
     t = T(spark, sf_dir)
     return Q.union_all([
@@ -108,7 +108,7 @@ SELECT 'orders->customers' AS relation, count(*) AS orphans FROM c_orders o WHER
 UNION ALL SELECT 'order_items->orders', count(*) FROM c_items i WHERE NOT EXISTS (SELECT 1 FROM c_orders o WHERE o.order_id = i.order_id)
 UNION ALL SELECT 'payments->orders', count(*) FROM c_payments p WHERE NOT EXISTS (SELECT 1 FROM c_orders o WHERE o.order_id = p.order_id)
 UNION ALL SELECT 'reviews->orders', count(*) FROM c_reviews r WHERE NOT EXISTS (SELECT 1 FROM c_orders o WHERE o.order_id = r.order_id)
-""", ids="V2 J6")
+""", ids="U1 V2 J6")
 def q_orphan_keys(spark, sf_dir):
     t = T(spark, sf_dir)
     return Q.union_all([

@@ -115,7 +115,7 @@ def q_fanout(spark, sf_dir):
 SELECT p.* FROM c_payments p JOIN (
   SELECT order_id FROM c_payments GROUP BY order_id HAVING count(*) > 1 ORDER BY order_id LIMIT 5) k
 ON p.order_id = k.order_id
-""", rnd=R("payment_value", d=4), ids="V10 J5 O2")
+""", rnd=R("payment_value", d=4), ids="O1 V10 J5 O2")
 def q_violator_sample(spark, sf_dir):
     t = T(spark, sf_dir)
     multi = t.payments.groupBy("order_id").count().where(F.col("count") > 1).select("order_id")
