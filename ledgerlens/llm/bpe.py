@@ -29,7 +29,7 @@ from ledgerlens.llm.tables import arrow_map, id_type
 # Fixed value: the published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a generation of the cache; two generations and as many pieces are kept at most.
-GENERATION = 1 << 18
+GENERATION = 1 << 19
 SHORT = 32  # symbols of pieces that share the numpy trees
 NONE = np.int64(1) << 40
 
@@ -270,7 +270,7 @@ class Encoder:
 
 
 def decode_bytes(v: Vocabulary, ids: list[int]) -> bytes:
-    return b"".join(v.bytes_of[i] for i in ids)
+    return b"".join(map(v.bytes_of.__getitem__, ids))
 
 
 def chunks(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -343,7 +343,8 @@ def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
     spec = _spec(vocab_path)
 
     def form(v):
-        return lambda ids: ("".join(f"{i}," for i in ids).encode(), decode_bytes(v, ids))
+        decimal = [b"%d," % i for i in range(len(v.bytes_of))]
+        return lambda ids: (b"".join(map(decimal.__getitem__, ids)), decode_bytes(v, ids))
 
     def run(batches):
         enc = worker_encoder("digest", spec, form)
@@ -356,7 +357,8 @@ def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
                     decimal = b"".join([f[0] for f in forms])
                     n.append(decimal.count(b","))
                     one.append(sha(decimal[:-1]))
-                    two.append(sha(b"".join([f[1] for f in forms]).decode("utf-8", "replace").encode()))
+                    raw = b"".join([f[1] for f in forms])
+                    two.append(sha(raw if raw.isascii() else raw.decode("utf-8", "replace").encode()))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
                                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
