@@ -2,12 +2,15 @@
 
 ``DataFrame.observe`` adds the counts to the job that writes the rows, as mergeable aggregates of its last stage. Each
 report alone would scan the input, or run its joins, again.
+
+A session that has observed a DataFrame cannot serialise the functions of Spark ML's transformers any more (they hold
+their session, and with it what watches the observations), so the write runs in a session of its own.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +35,28 @@ def count_columns(nulls: Sequence[str] = (), numbers: Sequence[str] = (), rules:
     return out
 
 
-def write_observed(df: DataFrame, name: str, path: str | None = None, **reports) -> tuple[DataFrame, dict[tuple[str, str], int]]:
-    """Writes ``df`` as Parquet (to ``path``, else to shared scratch); returns the table and its counts by (report, item).
+#: Settings of the caller's session that the writing session takes over.
+SHARED_CONF = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+
+
+def write_observed(spark: SparkSession, build: Callable[[SparkSession], DataFrame], name: str, path: str | None = None,
+                   **reports) -> tuple[DataFrame, dict[tuple[str, str], int]]:
+    """Writes the DataFrame that ``build`` makes as Parquet (to ``path``, else to shared scratch); returns the table and its
+    counts by (report, item). ``build`` gets the writing session; ``reports``: as ``count_columns`` takes them.
 
-    An empty table gives zero for every count. ``reports``: as ``count_columns`` takes them.
+    An empty table gives zero for every count.
     """
-    spark = df.sparkSession
     path = path or scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    writer = spark.newSession()
+    for key in SHARED_CONF:
+        writer.conf.set(key, spark.conf.get(key))
+    df = build(writer)
     counts = count_columns(**reports)
     seen = Observation(f"{name}-{uuid.uuid4().hex}")
     df.observe(seen, *[c.alias(f"m{i}") for i, c in enumerate(counts.values())]).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), {at: int(seen.get[f"m{i}"] or 0) for i, at in enumerate(counts)}
+    found = {at: int(seen.get[f"m{i}"] or 0) for i, at in enumerate(counts)}
+    spark.createDataFrame([], "n int")  # makes the caller's session the active one again
+    return spark.read.schema(df.schema).parquet(path), found
 
 
 def long_report(spark: SparkSession, counts: dict[tuple[str, str], int], name: str) -> DataFrame:

@@ -81,7 +81,7 @@ _RULES = {"late": "is_late", "no weight": "total_weight_g = 0", "distance above
 def q_mart_reports_observed(spark, sf_dir):
     """Row count, null profile, inf and NaN guard, rule violations and a cutoff's row count, all taken while the mart is written."""
     cut = F.col(TS) <= F.lit("1996-01-01").cast("timestamp_ntz")
-    kept, counts = OB.write_observed(D.order_mart(T(spark, sf_dir)), "mart", nulls=D.MART_COLUMNS, numbers=_CHECKED, rules={n: F.expr(e) for n, e in _RULES.items()}, extra={("until cutoff", "1996-01-01"): cut})
+    kept, counts = OB.write_observed(spark, lambda s: D.order_mart(T(s, sf_dir)), "mart", nulls=D.MART_COLUMNS, numbers=_CHECKED, rules={n: F.expr(e) for n, e in _RULES.items()}, extra={("until cutoff", "1996-01-01"): cut})
     remove_path(spark, kept.inputFiles()[0].rsplit("/", 1)[0]) if kept.inputFiles() else None
     return OB.long_report(spark, counts, "mart")
 

@@ -72,7 +72,8 @@ ROWS = [(1, 1.0, "a", True), (2, None, None, None), (3, float("inf"), "b", False
 def test_observed_counts_are_those_of_the_single_reports(spark):
     df = spark.createDataFrame(ROWS, "id long, x double, s string, flag boolean").repartition(3)
     rules = {"flagged": F.col("flag"), "large": F.col("x") > 0}
-    kept, counts = OB.write_observed(df, "t", nulls=df.columns, numbers=["id", "x"], rules=rules, extra={("until", "3"): F.col("id") <= 3})
+    make = lambda s: s.createDataFrame(ROWS, df.schema).repartition(3)
+    kept, counts = OB.write_observed(spark, make, "t", nulls=df.columns, numbers=["id", "x"], rules=rules, extra={("until", "3"): F.col("id") <= 3})
     same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert same(OB.null_profile_of(spark, counts), Q.null_profile(df))
     assert same(OB.inf_nan_of(spark, counts), Q.inf_nan_guard(df, ["id", "x"]))
@@ -88,15 +89,24 @@ def test_observed_write_is_one_job_over_the_input(spark):
         for b in rows:
             seen.add(b.num_rows)
             yield b
-    df = spark.createDataFrame(ROWS, "id long, x double, s string, flag boolean").coalesce(1)
-    once = df.mapInArrow(tick, df.schema)
-    OB.write_observed(once, "t", nulls=df.columns, numbers=["x"])
+    schema = "id long, x double, s string, flag boolean"
+    OB.write_observed(spark, lambda s: s.createDataFrame(ROWS, schema).coalesce(1).mapInArrow(tick, schema), "t", nulls=["id", "s"], numbers=["x"])
     assert seen.value == len(ROWS)
 
 
+def test_models_still_run_in_a_session_that_wrote_observed_tables(spark):
+    from pyspark.sql import SparkSession
+
+    from ledgerlens.operators import models as M
+    OB.write_observed(spark, lambda s: s.createDataFrame(ROWS, "id long, x double, s string, flag boolean"), "t", nulls=["id"])
+    assert SparkSession.active()._jsparkSession.equals(spark._jsparkSession)
+    df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(20)], "x double, c string")
+    cat = M.category_vector(df, ["c"])
+    M.assemble(cat.transform(df), ["x"], vectors=["c_vec"]).select("features").write.format("noop").mode("overwrite").save()
+
+
 def test_observed_counts_of_an_empty_table(spark):
-    df = spark.createDataFrame([], "id long, x double")
-    kept, counts = OB.write_observed(df, "t", nulls=["id"], numbers=["x"], rules={"r": F.col("x") > 1})
+    kept, counts = OB.write_observed(spark, lambda s: s.createDataFrame([], "id long, x double"), "t", nulls=["id"], numbers=["x"], rules={"r": F.col("x") > 1})
     assert set(counts.values()) == {0} and kept.count() == 0
     assert OB.null_profile_of(spark, counts).collect()[0]["share"] is None
 
