@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, language, mixing, near_dedup, secrets
-from ledgerlens.llm.queries import MIX_SEED, language_model, vocabulary_path
+from ledgerlens.llm.queries import MIX_SEED, crc_class, language_model, vocabulary_path
 from ledgerlens.llm.tables import read_table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: no text or letters. Without labelled documents all stay."""
-    return language.in_known_language(docs, language_model(docs))
+    """Drops documents in no learnt language: no text or letters, or far more bits per byte than any held-out labelled
+    text of their length needs; a null lang becomes the predicted one. Without labelled documents all stay."""
+    model = language_model(docs)
+    held_out = docs.where(F.col("lang").isNotNull() & (crc_class(F.col("doc_id"), 4) == 2))
+    return language.in_known_language(docs, model, language.rate_bounds(held_out, model))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,13 +201,35 @@ def predict_languages(docs: DataFrame, model: ContextTrees, id_col: str = "doc_i
     return arrow_map(rows, run, f"doc_id {id_type(rows)}, lang_pred string, score double, bits_per_byte double")
 
 
-def in_known_language(docs: DataFrame, model: ContextTrees, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not ``und``; all rows if the model has learnt no language.
+#: Texts of fewer bytes are not judged by their code length, which says little of them; the others by class of length.
+JUDGED = (400, 1600)
+#: A text is in no learnt language if it needs this many times the bits per byte of the worst held-out labelled text.
+SLACK = 1.5
+FEWEST = 30  # held-out labelled texts of a class, for a bound to be learnt
 
-    Code lengths bound nothing here: clean texts that are short or unlike the sample code above 8 bits a byte too."""
+
+def rate_bounds(held_out: DataFrame, model: ContextTrees, text_col: str = "text") -> list[float]:
+    """Per class of ``JUDGED`` the bits per byte that a text in a learnt language stays under: ``SLACK`` times the greatest
+    of all ``held_out`` rows (labelled, not learnt from); infinite for a class with fewer than ``FEWEST`` of them."""
+    size = F.octet_length(F.col(text_col).cast("string"))
+    scored = predict_languages(held_out.select(size.alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id") >= JUDGED[0]), model)
+    kind = sum((F.col("doc_id") >= least).cast("int") for least in JUDGED) - 1
+    found = scored.groupBy(kind.alias("kind")).agg(F.count("bits_per_byte").alias("n"), F.max("bits_per_byte").alias("most")).collect()  # one row a class
+    known = {r["kind"]: r["most"] * SLACK for r in found if r["n"] >= FEWEST}
+    return [known.get(k, float("inf")) for k in range(len(JUDGED))]
+
+
+def in_known_language(docs: DataFrame, model: ContextTrees, bounds: list[float] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a language the model has learnt; all rows if it has learnt none.
+
+    Texts without a letter go, and texts of at least ``JUDGED[0]`` bytes whose best language needs more bits per byte than
+    ``bounds`` (of ``rate_bounds``) allows for their length. A null ``lang_col`` becomes the predicted language.
+    """
     if not model.langs:
         return docs
     place = docs.columns.index(text_col)
+    named = docs.columns.index(lang_col) if lang_col in docs.columns else None
+    limits = np.array([float("inf"), *(bounds or [float("inf")] * len(JUDGED))])
 
     def run(batches):
         m = _MODELS.setdefault(model.key, model)
@@ -216,9 +239,16 @@ def in_known_language(docs: DataFrame, model: ContextTrees, text_col: str = "tex
             for i, t in enumerate(texts):
                 size += len(t or "")
                 if size >= step or i == len(texts) - 1:
-                    scored = _scored(m, pa.nulls(i + 1 - start), texts[start:i + 1])
-                    keep = [x != "und" for x in scored.column(1).to_pylist()]
-                    yield b.slice(start, i + 1 - start).filter(pa.array(keep, pa.bool_()))
+                    part = b.slice(start, i + 1 - start)
+                    scored = _scored(m, pa.nulls(len(part)), texts[start:i + 1])
+                    lengths = [len(x.encode()) if x else 0 for x in texts[start:i + 1]]
+                    limit = limits[np.searchsorted(JUDGED, lengths, side="right")]
+                    rate = np.array([x or 0.0 for x in scored.column(3).to_pylist()])
+                    keep = [p != "und" and r <= most for p, r, most in zip(scored.column(1).to_pylist(), rate, limit)]
+                    if named is not None and part.column(named).null_count:
+                        filled = pa.compute.coalesce(part.column(named), scored.column(1).cast(part.column(named).type))
+                        part = part.set_column(named, part.schema.field(named), filled)
+                    yield part.filter(pa.array(keep, pa.bool_()))
                     start, size = i + 1, 0
 
     return arrow_map(docs, run, docs.schema)

@@ -104,3 +104,19 @@ def test_queries_equal_their_sql(spark, name):
     assert cols == sorted(b.columns)
     rows = lambda d: sorted(map(tuple, d[cols].astype(object).where(d[cols].notna(), None).map(lambda v: round(v, 6) if isinstance(v, float) else v).astype(str).values.tolist()))
     assert rows(a) == rows(b)
+
+
+def test_the_language_stage_uses_its_model(spark):
+    """Long text in no learnt language goes, a missing label is filled in, and without the model neither happens."""
+    rng = random.Random(3)
+    sounds = {"xx": "ka ti mo ru sel", "yy": "str pfl ung eit och"}
+    say = lambda lang, n: " ".join("".join(rng.choice(sounds[lang].split()) for _ in range(3)) for _ in range(n))
+    rows = [(i, say("xx" if i % 2 else "yy", 60 + i % 50), "xx" if i % 2 else "yy", "s", 0) for i in range(400)]
+    noise = "".join(chr(rng.randrange(0x400, 0x480)) for _ in range(600))
+    rows += [(1000, say("xx", 80), None, "s", 0), (1001, noise, None, "s", 0), (1002, "short \u0436\u0449", "xx", "s", 0), (1003, say("xx", 70) + ' key = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"', "xx", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    out = {r["doc_id"]: r["lang"] for r in stage(spark, docs, "").collect()}
+    assert 1001 not in out and len(out) == len(rows) - 1 and out[1000] == "xx" and {1002, 1003} <= set(out)
+    bare = {r["doc_id"]: r["lang"] for r in stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()}
+    assert 1001 in bare and bare[1000] is None  # nothing learnt: nothing is rejected or filled in
