@@ -7,8 +7,8 @@ No cross join, no single-partition sort:
    end. A score that more than one of ``HOT`` treated rows share is joined back by broadcast: there are fewer than
    ``HOT`` of these, so no task of the other join holds more than that share of the rows under one score;
 2. the union of both is range-partitioned on (by, score) and written once;
-3. inside each range partition a running ``last`` (preceding frame) / ``first`` (following
-   frame) of the control struct gives the nearest control at-or-below / at-or-above;
+3. inside each range partition a running ``last`` of the control struct, in rising and in falling
+   order, gives the nearest control at-or-below / at-or-above;
 4. a tiny per-partition table of min/max controls, scanned with running windows over the
    partition index, supplies the carry-in when a partition has no control on one side;
 5. choose the closer side; on equal distance the lower control score wins (then lower id).
@@ -46,9 +46,10 @@ def nearest_join(treated: DataFrame, control: DataFrame, id_col: str, score: str
     cstruct = F.when(F.col("_kind") == 0, F.struct(F.col("_s").alias("s"), F.col("_cid").alias("id")))
     order = [F.col("_s"), F.col("_kind")]
     w_below = Window.partitionBy(*by, "_rp").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    w_above = Window.partitionBy(*by, "_rp").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # a frame that ends at the last row is evaluated anew for every row: the rows above are those before in falling order
+    w_above = Window.partitionBy(*by, "_rp").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     inpart = u.select("*", F.last(cstruct, ignorenulls=True).over(w_below).alias("_bl"),
-                      F.first(cstruct, ignorenulls=True).over(w_above).alias("_ab")).where(F.col("_kind") == 1)
+                      F.last(cstruct, ignorenulls=True).over(w_above).alias("_ab")).where(F.col("_kind") == 1)
 
     # carry-in across range partitions: table of (by, partition) -> extreme controls
     ext = u.where(F.col("_kind") == 0).groupBy(*by, "_rp").agg(
@@ -60,7 +61,8 @@ def nearest_join(treated: DataFrame, control: DataFrame, id_col: str, score: str
     carry = ext.select(*by, "_rp",
                        F.last(F.col("_mx"), ignorenulls=True)
                        .over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("_cb"),
-                       F.first(F.col("_mn"), ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing)).alias("_ca"))
+                       F.last(F.col("_mn"), ignorenulls=True)
+                       .over(Window.partitionBy(*by).orderBy(F.col("_rp").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_ca"))
     carry = F.broadcast(carry) if not by else carry  # n_parts rows when ungrouped
 
     j = null_safe_join(inpart, carry, by + ["_rp"])

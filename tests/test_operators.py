@@ -97,3 +97,14 @@ def test_one_hot_and_crosstab(spark):
     assert sorted(r["cat_b"] for r in oh.collect()) == [0, 0, 1, 1]
     ct = {(r["r"], r["c"]): r["pct"] for r in crosstab_pct(df, "r", "c").collect()}
     assert ct == {("x", "a"): 50.0, ("x", "b"): 50.0}  # null keys dropped (T3)
+
+
+def test_nearest_join_evaluates_no_frame_anew_for_every_row(spark, monkeypatch):
+    from ledgerlens.operators import matching
+    plans, write = [], matching.kept
+    monkeypatch.setattr(matching, "kept", lambda df, *a: (plans.append(df._jdf.queryExecution().analyzed().toString()), write(df, *a))[1])
+    treated, control = [(i, (i * 37 % 91) / 10) for i in range(200)], [(1000 + i, (i * 53 % 83) / 8) for i in range(150)]
+    t, c = (spark.createDataFrame(rows, "id long, s double") for rows in (treated, control))
+    got = {r["treated_id"]: (r["control_id"], r["control_score"]) for r in nearest_join(t, c, "id", "s", n_parts=1).collect()}
+    assert got == {i: min((abs(s - cs), cs, cid) for cid, cs in control)[:0:-1] for i, s in treated}
+    assert any("windowspecdefinition" in p for p in plans) and not any("unboundedfollowing" in p.lower() for p in plans)
