@@ -20,6 +20,8 @@ from ledgerlens.session import remove_path, scratch_path
 from ledgerlens.sources.tables import Tables
 
 KEY = "order_id"
+#: Items of one bucket, about 400 MB of rows where a task sorts them: more would spill.
+BUCKET_ITEMS = 1 << 21
 
 
 @dataclass
@@ -51,12 +53,13 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> str:
 
 
 def bucketed_facts(t: Tables, buckets: int | None = None) -> Facts:
-    """``buckets`` defaults to the session's shuffle partitions: tasks of a join without shuffle are as many.
+    """``buckets`` defaults to the session's shuffle partitions, or as many as hold ``BUCKET_ITEMS`` items each if
+    these are more: tasks of a join without shuffle are as many.
 
     Rows with a null order id are kept, in one bucket of their own value; duplicates stay duplicates.
     """
     spark = t.orders.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t.order_items.count() // BUCKET_ITEMS))
     people = t.customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix").dropDuplicates(["customer_id"])
     parts = {"orders": t.orders.join(people, "customer_id", "left"),
              "items": item_enrichment(t.order_items, t.products, t.category_translation),

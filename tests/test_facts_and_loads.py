@@ -146,3 +146,24 @@ def test_checksum_sees_values_and_not_order(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a\nb")], "i int, s string")
     sums = [QU.checksum(d).first() for d in (df, df.orderBy(F.desc("i")).repartition(3), df.withColumn("s", F.coalesce("s", F.lit(""))), df.limit(2))]
     assert sums[0] == sums[1] and sums[0] != sums[2] and sums[0] != sums[3]
+
+
+def test_buckets_follow_the_number_of_items(spark, monkeypatch):
+    t = proxy_tables(spark, SF)
+    monkeypatch.setattr(FA, "BUCKET_ITEMS", 500)
+    f = FA.bucketed_facts(t)
+    wanted = -(-t.order_items.count() // 500)
+    assert wanted > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in f.names.values():
+        assert {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}["Num Buckets"] == str(wanted)
+    assert FA.joined_by_order(f).count() == t.orders.count()
+    f.drop(spark)
+
+
+def test_csv_files_with_line_feeds_stay_small(spark, monkeypatch, tmp_path):
+    from ledgerlens.plans import queries_facts as QF
+    monkeypatch.setattr(QF, "CSV_RECORDS", 100, raising=False)
+    n = proxy_tables(spark, SF).reviews.count()
+    path = QF.planted_csv(spark, SF, str(tmp_path))["reviews"]
+    import glob
+    assert len(glob.glob(f"{path}/*.csv")) >= n / 100 > 1
