@@ -71,3 +71,21 @@ def test_keep_first(spark):
     df = spark.createDataFrame([("p", 2, "B"), ("p", 1, "A"), ("q", 5, "C")], "k string, o int, v string")
     got = {r["k"]: r["v"] for r in O.keep_first(df, ["k"], ["o"]).collect()}
     assert got == {"p": "A", "q": "C"}
+
+
+def test_a_folds_seller_rates_go_to_its_rows(spark):
+    from ledgerlens.operators.features import rate_encode
+    from ledgerlens.plans.queries_models import fold_rates
+    df = spark.range(600).select("id", F.when(F.col("id") % 13 > 0, F.col("id") % 40).alias("primary_seller_id"),
+                                 (F.col("id") % 5 == 0).alias("is_late"), (F.col("id") % 3).alias("chunk"))
+    train = df.where("chunk < 2 AND primary_seller_id < 30")
+    want = {r["id"]: (r["seller_on_time_rate"], int(r["is_new_or_thin_history_seller"])) for r in rate_encode(train, df, "primary_seller_id", "is_late", 5).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = fold_rates(df, train)
+        assert "Exchange hashpartitioning" not in sent._jdf.queryExecution().executedPlan().toString()
+        for got in (sent, fold_rates(df, train, most=0)):
+            assert {r["id"]: (r["seller_on_time_rate"], r["is_new_or_thin_history_seller"]) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
