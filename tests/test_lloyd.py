@@ -43,3 +43,15 @@ def test_a_cluster_without_rows_keeps_its_centre(spark):
     vec = vectors(spark, 20)
     (centres, _), = lloyd(vec, [np.array([[0.0, 0, 0], [1e6, 1e6, 1e6]])])
     assert centres[1].tolist() == [1e6] * 3
+
+
+def test_distances_are_summed_apart_from_the_iterations():
+    from ledgerlens.operators.lloyd import distances, moments
+    rs = np.random.RandomState(5)
+    x, centres = rs.randn(900, 3), rs.randn(4, 3)
+    at = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    sums, far = np.zeros((4, 4)), np.zeros(4)
+    moments(x, [centres], [sums])
+    distances(x, [centres], [far])
+    for c in range(4):
+        assert np.allclose(sums[c], [(at == c).sum(), *x[at == c].sum(axis=0)]) and far[c] == pytest.approx(((x[at == c] - centres[c]) ** 2).sum())
