@@ -10,6 +10,7 @@ from ledgerlens.operators import drift as DR
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import history as HI
 from ledgerlens.operators import observed as OB
+from ledgerlens.operators.models import run_parallel
 from ledgerlens.plans import delivery as D
 from ledgerlens.operators.silhouette import sampled_silhouette
 from ledgerlens.plans import segmentation as S
@@ -89,6 +90,7 @@ def q_mart_reports_observed(spark, sf_dir):
 # ------------------------------------------------------------------ quarantined loads
 
 _MESSAGE = "review_comment_message"
+CSV_RECORDS = 1 << 20
 
 
 def planted_csv(spark, sf_dir, base):
@@ -105,7 +107,8 @@ def planted_csv(spark, sf_dir, base):
     paths = {}
     for n, df in texts.items():
         paths[n] = f"{base}/{n}"
-        df.write.option("header", True).option("escape", '"').csv(paths[n])
+        # a file with line feeds inside its values is read by one task: files are kept small
+        df.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", CSV_RECORDS).csv(paths[n])
     return paths
 
 
@@ -139,17 +142,18 @@ def q_csv_checksums(spark, sf_dir):
     loaded = QU.load_quarantined(spark, planted_csv(spark, sf_dir, base), f"{base}/loaded", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
     source, k = T(spark, sf_dir).as_dict(), F.col("order_id")
     good = {"orders": (k % 97 != 0) & (k % 89 != 0), "order_items": ~((k % 83 == 0) & (F.col("order_item_id") == 1)), "payments": k % 79 != 0, "reviews": F.lit(True)}
-    out = None
-    for n, keep in good.items():
+
+    def compared(n, keep):
         df = source[n].where(keep)
         df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in COMMERCE_SCHEMAS[n]])
         if n == "reviews":
             df = df.withColumn(_MESSAGE, F.concat(F.lit('said "'), F.coalesce(_MESSAGE, F.lit("")), F.lit('",\nand left')))
         a, b = QU.checksum(df).first(), QU.checksum(loaded.good[n]).first()
-        row = spark.createDataFrame([(n, b["rows"], a == b)], "table_name string, rows long, same boolean")
-        out = row if out is None else out.unionByName(row)
+        return n, b["rows"], a == b
+
+    rows = run_parallel([lambda n=n, keep=keep: compared(n, keep) for n, keep in good.items()])  # tables are independent jobs
     remove_path(spark, base)
-    return out
+    return spark.createDataFrame(rows, "table_name string, rows long, same boolean")
 
 
 # ------------------------------------------------------------------ Euclidean silhouette (M3)
