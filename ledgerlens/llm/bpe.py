@@ -30,6 +30,8 @@ from ledgerlens.llm.tables import arrow_map, id_type
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a generation of the cache; two generations and as many pieces are kept at most.
 GENERATION = 1 << 19
+#: The same where the ids themselves are wanted, beside whose arrays a worker has less room.
+IDS_GENERATION = 1 << 16
 SHORT = 32  # symbols of pieces that share the numpy trees
 NONE = np.int64(1) << 40
 
@@ -203,9 +205,10 @@ class Encoder:
     distinct unit. Other texts go through the pattern whole.
     """
 
-    def __init__(self, spec: str, form):
+    def __init__(self, spec: str, form, generation: int | None = None):
         self.v = vocabulary(spec)
         self.form = form
+        self.generation = generation or GENERATION
         self.forms: dict = {}
         self.old: dict = {}
         self.pieces: dict = {}
@@ -225,7 +228,7 @@ class Encoder:
         """Puts the units that the cache lacks into it. A full generation becomes the old one, from
         which units that are met again are taken over: the bound holds and frequent units stay."""
         lacking = units.difference(self.forms)
-        if len(self.forms) + len(lacking) > GENERATION:
+        if len(self.forms) + len(lacking) > self.generation:
             self.forms, self.old, lacking = {}, self.forms, units
         v, new, wanted = self.v, [], []
         findall, forms, old = v.pieces.findall, self.forms, self.old
@@ -239,7 +242,7 @@ class Encoder:
                 new.append((u, findall(u if u[:1] == "\n" else " " + u)))
         for _, ps in new:
             wanted += ps or ()
-        if len(self.pieces) + len(new) > GENERATION:
+        if len(self.pieces) + len(new) > self.generation:
             self.pieces.clear()
         self.merge(list(set(wanted).difference(self.pieces)))
         pieces = self.pieces
@@ -288,12 +291,12 @@ def chunks(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
 _ENCODERS: dict = {}
 
 
-def worker_encoder(kind: str, spec: str, form) -> Encoder:
+def worker_encoder(kind: str, spec: str, form, generation: int | None = None) -> Encoder:
     """One encoder a worker and use, so its cache serves all batches of the worker."""
     key = (kind, hash(spec))
     if key not in _ENCODERS:
         gc.disable()  # encoding makes no cycles, and collections over a full cache cost a third of the time
-        _ENCODERS[key] = Encoder(spec, form(vocabulary(spec)))
+        _ENCODERS[key] = Encoder(spec, form(vocabulary(spec)), generation)
     return _ENCODERS[key]
 
 
@@ -307,7 +310,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     spec = _spec(vocab_path)
 
     def run(batches):
-        enc = worker_encoder("ids", spec, lambda v: lambda ids: np.array(ids, np.int32).tobytes())
+        enc = worker_encoder("ids", spec, lambda v: lambda ids: np.array(ids, np.int32).tobytes(), IDS_GENERATION)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for a, z in chunks(texts):

@@ -457,3 +457,17 @@ def test_copies_follow_the_inverted_poisson_distribution(spark):
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
     assert "copy_no" in mixed.columns and mixed.columns.count("rate") == 1
     mixed.unpersist()
+
+
+def test_the_cache_of_ids_is_smaller_than_that_of_digests(spark, monkeypatch):
+    rng = random.Random(6)
+    spec, texts = bpe._spec(vocabulary_path()), [" ".join("%x" % rng.randrange(1 << 40) for _ in range(30)) for _ in range(40)]
+    whole, small = bpe.Encoder(spec, lambda ids: ids), bpe.Encoder(spec, lambda ids: ids, 100)
+    assert [small.encode([t])[0] for t in texts] == [whole.encode([t])[0] for t in texts]
+    assert max(len(small.forms), len(small.old), len(small.pieces)) <= 200 < len(whole.forms)
+    made = []
+    monkeypatch.setattr(bpe, "arrow_map", lambda df, run, schema: made.append(run))
+    monkeypatch.setattr(bpe, "worker_encoder", lambda *a: made.append(a[3]) or whole)
+    bpe.encode_documents(docs_of(spark, [(1, "a")]), vocabulary_path())
+    list(made[0]([]))
+    assert made[1] * 8 <= bpe.GENERATION
