@@ -17,7 +17,8 @@ segment sums its counts, sets its bits of the filter and keeps its exact unigram
 The filter has between one and two bits per training byte at every size. One of at most 2^``MAX_BITS`` bits is
 broadcast. A larger one stays the table of its segments: the texts are cut into slices, a slice's distinct
 grams are packed by groups of segments, packs of many slices (salted, so a pack is bounded) meet the bits of
-their group, and the levels go back to the slices. Both ways give the same levels. Of the words the most frequent,
+their group, and the levels, written once, go back to the slices. Both ways give the same levels. Keys that are
+shuffled ascend, so they go as the steps between them, and a step's shuffle files go when its result is written. Of the words the most frequent,
 ``TOP_WORDS`` at most, are broadcast with their exact counts, all others are joined with the table of counts.
 """
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import arrow_map, id_type, written
+from ledgerlens.llm.tables import arrow_map, id_type, shuffles_removed, written
 from ledgerlens.llm.text import Words, mix, text_chunks
 
 END = np.uint64(0x5A17E4D0E4D05A17)  # hash of the end token
@@ -37,12 +38,12 @@ LOG_BASE = 1.2
 PROBES = 3
 PRIOR = 20.0
 MIN_BITS = 16  # of a bit's number in the filter
-MAX_BITS = 29  # of a filter that is broadcast; larger ones are joined
+MAX_BITS = 26  # of a filter that is broadcast (8 MB a worker, and in the driver); larger ones are joined
 SEGMENT_BYTES = 1 << 20  # of training text per segment
 TOP_WORDS = 1 << 18
 FLUSH_TOKENS = 1 << 22
 SCORE_BYTES = 1 << 20
-SLICE_TOKENS = 1 << 16  # of a slice whose grams are joined with the filter; a longer text is one slice
+SLICE_TOKENS = 1 << 20  # of a slice whose grams are joined with the filter; a longer text is one slice
 GROUP_BITS = 24  # segments of so many bits (2 MB) together are one group that a pack of grams meets
 PACK_BYTES = 1 << 24  # of grams that meet one copy of a group's bits
 SLICE_FILE = {"parquet.block.size": 8 << 20}  # slices are long rows, and readers take a row group at once
@@ -134,11 +135,10 @@ def packed_counts(training: DataFrame, shape: Filter) -> DataFrame:
         keys, counts, segment = keys[order], counts[order], segment[order]
         cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(keys) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(keys))
-        small = counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
         return pa.RecordBatch.from_arrays(
             [pa.array(segment[cuts], pa.int64()), pa.array(np.full(len(cuts), kind), pa.int32()),
-             pa.array([keys[a:z].tobytes() for a, z in zip(cuts, ends)], pa.binary()),
-             pa.array([_narrow(small[a:z]) for a, z in zip(cuts, ends)], pa.binary())], ["segment", "kind", "keys", "counts"])
+             pa.array([_steps(keys[a:z]) for a, z in zip(cuts, ends)], pa.binary()),
+             pa.array([_narrow(counts[a:z]) for a, z in zip(cuts, ends)], pa.binary())], ["segment", "kind", "keys", "counts"])
 
     def run(batches):
         words, pairs, held = [], [], 0
@@ -159,16 +159,26 @@ def packed_counts(training: DataFrame, shape: Filter) -> DataFrame:
     return arrow_map(training.select("text"), run, "segment bigint, kind int, keys binary, counts binary")
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """A leading byte for the width, then the counts: most are small."""
-    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
-        if int(counts.max(initial=0)) <= np.iinfo(kind).max:
-            return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
-    raise OverflowError
+def _narrow(values: np.ndarray) -> bytes:
+    """A leading byte for the width, then so many bytes of each value: most are small."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _widen(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+    out = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    out[:, :raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    return out.reshape(-1).view("<i8")
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one and the steps between them: the closer they lie, the fewer bytes each."""
+    return keys[:1].tobytes() + _narrow(np.diff(keys))
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1), _widen(raw[8:]).view(np.uint64)]), dtype=np.uint64)
 
 
 def built_segments(packed: DataFrame, shape: Filter) -> DataFrame:
@@ -176,7 +186,7 @@ def built_segments(packed: DataFrame, shape: Filter) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         kind = np.asarray(table.column("kind"))
         keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-        part = lambda k: _sums([np.frombuffer(x, np.uint64) for x, y in zip(keys, kind) if y == k], [_widen(x) for x, y in zip(counts, kind) if y == k])
+        part = lambda k: _sums([_keys(x) for x, y in zip(keys, kind) if y == k], [_widen(x) for x, y in zip(counts, kind) if y == k])
         (words, word_counts), (pairs, pair_counts) = part(0), part(1)
         bits = shape.built_segment(np.concatenate([unigram_keys(words), pairs]), np.concatenate([word_counts, pair_counts]))
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary()),
@@ -217,7 +227,8 @@ class Model:
         size = int(training.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
         bits = max(MIN_BITS, size.bit_length())
         shape = self.shape = Filter(bits, min(bits - 3, (size // segment_bytes).bit_length()))
-        segments = self.segments = written(built_segments(packed_counts(training, shape), shape), "lm-segments")
+        with shuffles_removed(training.sparkSession):
+            segments = self.segments = written(built_segments(packed_counts(training, shape), shape), "lm-segments")
         totals = segments.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v")).first()
         self.tokens, self.words = int(totals["n"] or 0), int(totals["v"] or 0)
         self.counts = word_counts(segments)
@@ -304,8 +315,8 @@ def slice_keys(words: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def token_slices(rows: DataFrame) -> DataFrame:
-    """(slice, ids, row_keys, lengths, words, places): rows of about ``SLICE_TOKENS`` tokens together; ``places`` of the
-    tokens among the distinct ``words``."""
+    """(slice, tokens, ids, row_keys, lengths, words, places): rows of about ``SLICE_TOKENS`` tokens together; ``places`` of
+    the tokens among the distinct ``words``."""
     kind = id_type(rows)
 
     def run(batches):
@@ -315,9 +326,9 @@ def token_slices(rows: DataFrame) -> DataFrame:
             ids, keys = (pa.concat_arrays([h[c] for h in held]) for c in (0, 1))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             words, places = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
-            binary = [pa.array([x], pa.binary()) for x in (_narrow(np.concatenate([h[2] for h in held])), words.tobytes(), _narrow(places))]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), one(ids), one(keys), *binary],
-                                              ["slice", "ids", "row_keys", "lengths", "words", "places"])
+            binary = [pa.array([x], pa.binary()) for x in (_narrow(np.concatenate([h[2] for h in held])), _steps(words), _narrow(places))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), pa.array([len(places)], pa.int64()), one(ids), one(keys), *binary],
+                                              ["slice", "tokens", "ids", "row_keys", "lengths", "words", "places"])
 
         for b in batches:
             for first, end, raw, offsets in text_chunks(b.column(2), SLICE_TOKENS):
@@ -331,7 +342,7 @@ def token_slices(rows: DataFrame) -> DataFrame:
             yield packed()
 
     return arrow_map(rows.select("doc_id", "row_key", "text"), run,
-                     f"slice bigint, ids array<{kind}>, row_keys array<bigint>, lengths binary, words binary, places binary")
+                     f"slice bigint, tokens bigint, ids array<{kind}>, row_keys array<bigint>, lengths binary, words binary, places binary")
 
 
 def slice_probes(slices: DataFrame, groups: Filter) -> DataFrame:
@@ -339,12 +350,12 @@ def slice_probes(slices: DataFrame, groups: Filter) -> DataFrame:
     def run(batches):
         for b in batches:
             for at, words, places in zip(*(b.column(c).to_pylist() for c in range(3))):
-                keys = slice_keys(np.frombuffer(words, np.uint64), _widen(places))
+                keys = slice_keys(_keys(words), _widen(places))
                 group = groups.segment(keys)
                 cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
                 ends = np.append(cuts[1:], len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), at, np.int64)), pa.array(group[cuts]),
-                                                  pa.array([keys[a:z].tobytes() for a, z in zip(cuts, ends)], pa.binary())], ["slice", "group", "keys"])
+                                                  pa.array([_steps(keys[a:z]) for a, z in zip(cuts, ends)], pa.binary())], ["slice", "group", "keys"])
 
     return arrow_map(slices.select("slice", "words", "places"), run, "slice bigint, group bigint, keys binary")
 
@@ -354,8 +365,8 @@ def probed_levels(probes: DataFrame, segments: DataFrame, shape: Filter, groups:
     each, width = shape.segments - groups.segments, 1 << (shape.bits - shape.segments - 3)
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        keys = asked.column("keys").to_pylist()
-        distinct, back = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
+        keys = [_keys(k) for k in asked.column("keys").to_pylist()]
+        distinct, back = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_inverse=True)
         level = np.zeros(len(distinct), np.uint8)
         if held.num_rows and len(distinct):
             first = held.column("group")[0].as_py() << each
@@ -363,7 +374,7 @@ def probed_levels(probes: DataFrame, segments: DataFrame, shape: Filter, groups:
             for at, raw in zip(held.column("segment").to_pylist(), held.column("bits").to_pylist()):
                 bits[(at - first) * width:(at - first + 1) * width] = np.frombuffer(raw, np.uint8)
             level = Filter(shape.bits, shape.segments, bits).levels(distinct, first).astype(np.uint8)
-        ends = np.cumsum([len(k) // 8 for k in keys])
+        ends = np.cumsum([len(k) for k in keys])
         parts = [x.tobytes() for x in np.split(level[back], ends[:-1])] if keys else []
         return pa.table({"slice": asked.column("slice"), "group": asked.column("group"), "levels": pa.array(parts, pa.binary())})
 
@@ -379,10 +390,11 @@ def rows_scored_by_join(rows: DataFrame, model: Model, schema: str) -> DataFrame
     sent, denominator, shape = model.sent, model.denominator, model.shape
     groups = Filter(shape.bits, min(shape.segments, max(0, shape.bits - GROUP_BITS)))
     slices = written(token_slices(rows), "lm-slices", options=SLICE_FILE)  # numbered by task, so kept before anything joins them
-    # a token has one bigram and two bytes of ``places`` (one only where a slice has few words, so few grams)
-    asked = int(slices.agg(F.sum(F.octet_length("places") * 4 + F.octet_length("words"))).first()[0] or 0)
+    # eight bytes a gram, and a slice has no more bigrams than tokens
+    asked = int(slices.agg(F.sum(F.col("tokens") * 8 + F.octet_length("words"))).first()[0] or 0)
     salts = max(1, -(-asked // (PACK_BYTES << groups.segments)))
-    levels = probed_levels(slice_probes(slices, groups), model.segments, shape, groups, salts)
+    with shuffles_removed(rows.sparkSession):  # the grams have gone from the disk when the slices are shuffled
+        levels = written(probed_levels(slice_probes(slices, groups), model.segments, shape, groups, salts), "lm-levels")
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(found.column("group")), kind="stable")
@@ -391,7 +403,7 @@ def rows_scored_by_join(rows: DataFrame, model: Model, schema: str) -> DataFrame
         _, _, _, top, top_counts = sent.value
         ids, row_keys = (texts.column(c)[0].values for c in ("ids", "row_keys"))
         lengths, places = (_widen(texts.column(c)[0].as_py()) for c in ("lengths", "places"))
-        words = np.frombuffer(texts.column("words")[0].as_py(), np.uint64)
+        words = _keys(texts.column("words")[0].as_py())
         keys = slice_keys(words, places)
         scores = slice_scores(words[places], np.concatenate([[0], np.cumsum(lengths)]), lambda k: level[np.searchsorted(keys, k)], top, top_counts, denominator)
         return pa.table([ids, row_keys, *scores], SCORED)
@@ -417,6 +429,8 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
             .groupBy("word", "row_key").agg(F.max("times").alias("times"), F.max(unknown).alias("c"))
             .groupBy("row_key").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
                                     F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(model.denominator))).alias("rare_score")))
+    with shuffles_removed(docs.sparkSession):
+        rare = written(rare, "lm-rare")
     return (scored_rows(rows, model).join(rare, "row_key", "left")
             .select("doc_id", "n_tokens", (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
                     F.lit(model.tokens).cast("long").alias("train_tokens"),

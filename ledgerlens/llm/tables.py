@@ -4,6 +4,7 @@ Python functions on the executors."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,18 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None, options: d
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Inside, a query's shuffle files go from the disk as it ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like ``written``, in buckets of ``key`` (an external table in the shared scratch folder): later
     joins on ``key`` shuffle only their other side. ``df`` should already be partitioned by ``key``."""

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -370,6 +371,31 @@ def test_a_filter_too_large_to_broadcast_is_joined_and_scores_the_same(spark, mo
     assert lm_score.score_documents(docs_of(spark, []), docs).count() == 0
 
 
+def test_grams_go_as_steps_and_their_shuffle_files_are_removed(spark, monkeypatch):
+    for keys in ([7], [0, (1 << 64) - 1], range(1 << 40, (1 << 40) + 999 * 300, 300)):
+        keys = np.array(keys, np.uint64)
+        assert (lm_score._keys(lm_score._steps(keys)) == keys).all()
+    assert len(lm_score._steps(keys)) == 8 + 1 + 2 * 998
+    rng = random.Random(12)
+    docs = docs_of(spark, [(i, prose(rng, 300, 30_000)) for i in range(120)])
+    rows = docs.withColumn("row_key", F.col("doc_id"))
+    grams = lm_score.slice_probes(lm_score.token_slices(rows), lm_score.Filter(18, 0)).collect()
+    assert len(grams) > 0 and sum(len(r["keys"]) for r in grams) < 7.5 * sum(len(lm_score._keys(r["keys"])) for r in grams)
+
+    def shuffled():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        files = [p for d in folders for p in Path(str(d)).glob("*/shuffle_*")]
+        return {str(p): p.stat().st_size for p in files}
+
+    monkeypatch.setattr(lm_score.Model.__init__, "__defaults__", (12, 50, 10_000))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = shuffled(), spark.conf.get(setting)
+    result = lm_score.score_documents(docs, docs)
+    assert spark.conf.get(setting) == kept
+    assert sum(n for p, n in shuffled().items() if p not in before) < 100_000 < 8 * 300 * 120
+    assert result.count() == 120 and result.count() == 120
+
+
 def test_scoring_without_training_and_empty_tables(spark):
     docs = docs_of(spark, [(1, "a b"), (1, "a b"), (None, "a b")])
     got = lm_score.score_documents(docs, docs.limit(0)).collect()
