@@ -148,8 +148,9 @@ def pruned(pairs: DataFrame, sigs: DataFrame, bounds) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= ``percent`` * union."""
-    both = (pairs.join(sets.select("v", F.col("shingles").alias("set_v")), "v")
-            .join(sets.select(F.col("v").alias("u"), F.col("shingles").alias("set_u")), "u").select("u", "v", "set_u", "set_v"))
+    # a star's centre is a hot u: where it is joined first, only rows are split over tasks, not the Python step
+    both = (pairs.join(sets.select(F.col("v").alias("u"), F.col("shingles").alias("set_u")), "u")
+            .join(sets.select("v", F.col("shingles").alias("set_v")), "v").select("u", "v", "set_u", "set_v"))
 
     def run(batches):
         for b in batches:
@@ -190,7 +191,9 @@ def cross_links(mixed: DataFrame, rows: int, percent: int, bounds) -> DataFrame:
              .agg(F.collect_list(F.struct("v", "c", "sig", "shingles")).alias("pack")))
     left = packs.select("key", "band", F.col("block").alias("i"), F.col("pack").alias("pack_i"))
     right = packs.select("key", F.col("block").alias("j"), F.col("pack").alias("pack_j"))
-    both = left.join(right, "key").where("i <= j").select("band", "i", "j", "pack_i", "pack_j")
+    # every pack finds itself, so the outer join has the inner one's rows; but of a large bucket the planner splits
+    # the left side alone, where it made a task of every piece of one side with every piece of the other
+    both = left.join(right, "key", "left").where("j is null or i <= j").select("band", "i", "j", "pack_i", "pack_j")
 
     def run(batches):
         for b in batches:
@@ -286,11 +289,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = pruned(members.where("v <> leader").select(F.col("leader").alias("u"), "v").distinct(), classes, bounds)
     links = written(verified(stars, sets, percent), "dedup-links")
     # the star's centre has been compared with all others; what is left are the others among each other
-    joined = members.where("v <> leader").join(connected_components(links, "dedup-stars"), "v", "left").select("key", "band", "v", F.coalesce("component", "v").alias("c"))
+    centred = connected_components(links, "dedup-stars")
+    joined = members.where("v <> leader").join(centred, "v", "left").select("key", "band", "v", F.coalesce("component", "v").alias("c"))
     open_keys = joined.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "n")
     mixed = joined.join(open_keys, "key").join(classes.drop("rep_key"), "v").join(sets, "v")
-    more = cross_links(mixed.select("key", "band", "n", "v", "c", "sig", "shingles"), rows, percent, bounds)
-    found = connected_components(written(links.unionByName(more).distinct(), "dedup-all-links"), "dedup-components")
+    more = written(cross_links(mixed.select("key", "band", "n", "v", "c", "sig", "shingles"), rows, percent, bounds), "dedup-more-links")
+    # the components so far, as stars, connect what the links did
+    found = connected_components(centred.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more), "dedup-components")
     # nulls sort first, so a class without id is the least of its component: the least one with an id takes its place
     better = (found.where("component.rep is null and v.rep is not null").groupBy(F.col("component").alias("first"))
               .agg(F.min("v").alias("with_id")))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, language, lm_score, mixing, near_dedup, secrets, substrings, text
+from ledgerlens.llm import bpe, components, language, lm_score, mixing, near_dedup, secrets, substrings, text
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.queries import vocabulary_path
 
@@ -126,6 +126,29 @@ def test_blocks_find_the_links_that_pairs_have(monkeypatch):
     assert {p for p in got if p in want} == want
 
 
+def test_a_large_buckets_blocks_are_dealt_to_about_as_many_tasks(spark):
+    """Both sides of the blocks' join are skewed alike: split both, and tasks grow with the square of the blocks."""
+    rng, n = np.random.default_rng(5), 10 * near_dedup.BLOCK
+    hashes = rng.integers(0, 1 << 62, (n + 60, 16)).astype(np.uint64)
+    hashes[1] = hashes[0]
+    rows = [(1 if i < n else i, 0, n if i < n else 1, i, (i,), near_dedup.signature(h, 120).tobytes(), np.sort(h).tobytes()) for i, h in enumerate(hashes)]
+    mixed = spark.createDataFrame([(*r[:2], int(r[2]), *r[3:]) for r in rows],
+                                  "key bigint, band int, n bigint, v bigint, c struct<rep: bigint>, sig binary, shingles binary").repartition(8)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = near_dedup.cross_links(mixed, 5, 85, near_dedup.least_matches(120, 24, 0.85, 1e-4))
+        tasks = links.rdd.getNumPartitions()
+        assert sorted(map(tuple, links.collect())) in ([(0, 1)], [(1, 0)])
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert 24 < tasks <= 24 + 10
+
+
 def test_posterior_bounds_grow_and_spare_likely_pairs():
     bounds = near_dedup.least_matches(120, 24, 0.85, 1e-4)
     assert [n for n, _ in bounds] == [24, 48, 72, 96, 120] and all(0 < m < 0.85 * n for n, m in bounds)
@@ -168,6 +191,19 @@ def test_components_equal_brute_force(spark):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_that_are_stars_take_no_more_rounds(spark, monkeypatch):
+    rounds, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, *a: rounds.append(1) or write(df, *a))
+    stars = [(1, i) for i in range(2, 20)] + [(50, 30)]
+    found = {r["v"]: r["component"] for r in connected_components(spark.createDataFrame(stars, "u bigint, v bigint")).collect()}
+    assert found == {i: 1 for i in range(2, 20)} | {50: 30} and not rounds
+    # twice the same edge, a vertex that points twice, one that points and is pointed at
+    for edges, want in (([(1, 2), (2, 1)], {2: 1}), ([(3, 1), (3, 2)], {2: 1, 3: 1}), ([(3, 2), (2, 1)], {2: 1, 3: 1})):
+        rounds.clear()
+        found = {r["v"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+        assert found == want and len(rounds) == 1
+
+
 # ---- 2: BPE
 
 
