@@ -197,12 +197,7 @@ def cross_links(mixed: DataFrame, rows: int, percent: int, bounds) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            u, v = [], []
-            for row in range(b.num_rows):
-                x, y = (_unpack(b.column(k)[row].values) for k in (3, 4))
-                for a, z in _links_of_blocks(x, y, b.column(0)[row].as_py(), b.column(1)[row] == b.column(2)[row], rows, percent, bounds):
-                    u.append(x[0][a])
-                    v.append(y[0][z])
+            u, v = _links_of_rows(b, rows, percent, bounds)
             kind = b.schema.field(3).type.value_type.field("v").type
             yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], ["u", "v"])
 
@@ -210,6 +205,20 @@ def cross_links(mixed: DataFrame, rows: int, percent: int, bounds) -> DataFrame:
     return arrow_map(both, run, f"u {kind}, v {kind}")
 
 
+def _links_of_rows(b: pa.RecordBatch, rows: int, percent: int, bounds):
+    """Links of a batch of (band, i, j, pack_i, pack_j). A block meets itself by its left pack alone: the right one
+    is collected on its own, and its rows need not be in the same order."""
+    u, v = [], []
+    for row in range(b.num_rows):
+        same = b.column(1)[row] == b.column(2)[row]
+        x = _unpack(b.column(3)[row].values)
+        y = x if same else _unpack(b.column(4)[row].values)
+        for a, z in _links_of_blocks(x, y, b.column(0)[row].as_py(), same, rows, percent, bounds):
+            u.append(x[0][a])
+            v.append(y[0][z])
+    return u, v
+
+
 def _unpack(pack: pa.StructArray):
     """(classes, components as small numbers by value, signatures, sets) of a block."""
     v, c, sig, sets = (pack.field(k) for k in ("v", "c", "sig", "shingles"))

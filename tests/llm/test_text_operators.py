@@ -126,6 +126,19 @@ def test_blocks_find_the_links_that_pairs_have(monkeypatch):
     assert {p for p in got if p in want} == want
 
 
+def test_a_block_meets_itself_whatever_the_order_of_its_two_packs():
+    """The two sides of the join collect a block each for itself, in the order in which rows arrive."""
+    hashes = np.arange(1, 41, dtype=np.uint64)
+    sets = [hashes, np.append(hashes, np.uint64(99)), np.arange(500, 540, dtype=np.uint64)]
+    pack = [{"v": i, "c": {"rep": i}, "sig": near_dedup.signature(s, 120).tobytes(), "shingles": s.tobytes()} for i, s in enumerate(sets)]
+    kind = pa.list_(pa.struct([("v", pa.int64()), ("c", pa.struct([("rep", pa.int64())])), ("sig", pa.binary()), ("shingles", pa.binary())]))
+    bounds = near_dedup.least_matches(120, 24, 0.85, 1e-4)
+    for order in itertools.permutations(range(3)):
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([7]), pa.array([7]), pa.array([pack], kind),
+                                            pa.array([[pack[i] for i in order]], kind)], ["band", "i", "j", "pack_i", "pack_j"])
+        assert near_dedup._links_of_rows(batch, 5, 85, bounds) == ([0], [1])
+
+
 def test_a_large_buckets_blocks_are_dealt_to_about_as_many_tasks(spark):
     """Both sides of the blocks' join are skewed alike: split both, and tasks grow with the square of the blocks."""
     rng, n = np.random.default_rng(5), 10 * near_dedup.BLOCK
