@@ -65,6 +65,31 @@ def test_trees_bound_their_boxes():
     assert sorted(tree.ids.tolist()) == list(range(300))
 
 
+def test_shards_are_not_broadcast_however_small_their_files(spark, monkeypatch):
+    """Files of alike vectors are many times smaller than their rows, which do not fit the driver: nothing of the search is broadcast."""
+    plans, arrow_map = [], kd_search.arrow_map
+    monkeypatch.setattr(kd_search, "arrow_map", lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), arrow_map(df, *rest))[1])
+    monkeypatch.setattr(kd_search, "SHARD", 60)
+    alike = [(i, [float(i % 3), 1.0, -2.0]) for i in range(400)]
+    got = listed(kd_search.top_k(table(spark, alike), 5, 10))
+    assert got == brute([(i, [256 * int(x) for x in v]) for i, v in alike], 10, 5, lambda v, w: sum(a * b for a, b in zip(v, w)))
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_block_is_searched_as_each_of_its_queries(spark):
+    rng = np.random.default_rng(3)
+    x = np.floor(40 * rng.normal(size=(500, 3)))
+    x[100:300] = x[100]
+    ids = rng.permutation(500) // 2  # ids come twice
+    tree = kd_search.Tree(ids, x, leaf=16)
+    q_ids, q = np.arange(40), np.floor(40 * rng.normal(size=(40, 3)))
+    for kth in (np.full(40, -np.inf), rng.normal(scale=3000, size=40).round()):
+        at, found, scores = tree.search(q_ids, q, kth, 7)
+        for i in range(40):
+            want = sorted((-int(s), int(n)) for s, n in zip(x @ q[i], ids) if n != q_ids[i] and s >= kth[i])[:7]
+            assert [(-s, n) for s, n in zip(scores[at == i].tolist(), found[at == i].tolist())] == want
+
+
 def test_multi_index_finds_the_nearest(spark, monkeypatch):
     rows = [(i, v) for i, v in some_vectors(600, 3)]
     usable = [(i, [float(np.float32(x)) for x in v]) for i, v in rows if any(v)]
