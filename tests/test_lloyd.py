@@ -55,3 +55,33 @@ def test_distances_are_summed_apart_from_the_iterations():
     distances(x, [centres], [far])
     for c in range(4):
         assert np.allclose(sums[c], [(at == c).sum(), *x[at == c].sum(axis=0)]) and far[c] == pytest.approx(((x[at == c] - centres[c]) ** 2).sum())
+
+
+def sums_one_by_one(x, centres):
+    out = np.zeros((len(centres), 1 + x.shape[1]))
+    for row in x:
+        at = ((centres ** 2).sum(axis=1) - 2 * (centres @ row)).argmin()
+        out[at] += [1, *row]
+    return out
+
+
+def test_moments_are_products_of_matrices(monkeypatch):
+    from ledgerlens.operators import lloyd as L
+    rng = np.random.default_rng(4)
+    x, models = rng.normal(size=(700, 3)), [rng.normal(size=(k, 3)) for k in (2, 5)]
+    monkeypatch.setattr(L, "STEP", 256, raising=False)
+    sums, count = [np.zeros((k, 4)) for k in (2, 5)], np.bincount
+    monkeypatch.setattr(np, "bincount", None)  # a count a feature and model took longer than the distances
+    L.moments(x, models, sums)
+    monkeypatch.setattr(np, "bincount", count)
+    assert all(np.allclose(s, sums_one_by_one(x, c)) for s, c in zip(sums, models))
+    x = rng.integers(0, 3, (700, 3)).astype(float)  # many rows as near to two centres, and centres that come twice
+    models = [np.array([[0.0, 0, 0], [2, 2, 2], [0, 0, 0]]), np.array([[1.0, 0, 0], [0, 1, 0], [0, 0, 1]])]
+    sums = [np.zeros((3, 4)) for _ in models]
+    L.moments(x, models, sums)
+    assert all((s == sums_one_by_one(x, c)).all() for s, c in zip(sums, models))
+    odd = x[:5].copy()
+    odd[2, 1] = np.nan
+    sums = [np.zeros((3, 4))]
+    L.moments(odd, models[:1], sums)
+    assert sums[0][:, 0].sum() == 5 and np.isfinite(sums[0][1]).all()
